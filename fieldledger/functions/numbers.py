@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from fieldledger.functions.text import blank_to_null, strip
+from fieldledger.functions.text import let, strip
 
 # Accepted date layouts, tried in this order. The second entry of each pair is
 # the shape the text must have, so that a four-digit-year layout never reads a two-digit year.
@@ -36,24 +36,32 @@ def parse_money(c: Column) -> Column:
     stands last is the decimal separator, the other one only groups digits.
     """
     kept = F.regexp_replace(c.cast("string"), r"[^0-9.,\-]", "")
-    backwards = F.reverse(kept)
-    comma, dot = F.instr(backwards, ","), F.instr(backwards, ".")
-    comma_is_decimal = (comma > 0) & ((dot == 0) | (comma < dot))
-    plain = F.when(
-        comma_is_decimal, F.translate(F.translate(kept, ".", ""), ",", ".")
-    ).otherwise(F.translate(kept, ",", ""))
-    return F.round(blank_to_null(plain).try_cast("double"), 2)
+
+    def plain(s: Column) -> Column:
+        comma, dot = F.instr(F.reverse(s), ","), F.instr(F.reverse(s), ".")
+        comma_is_decimal = (comma > 0) & ((dot == 0) | (comma < dot))
+        european = F.translate(F.translate(s, ".", ""), ",", ".")
+        return F.when(comma_is_decimal, european).otherwise(F.translate(s, ",", ""))
+
+    return F.round(let(kept, plain).try_cast("double"), 2)
 
 
 def parse_date(c: Column) -> Column:
     """Date in one of the accepted layouts (first that fits wins), or null."""
-    s = strip(c)
-    squeezed = F.regexp_replace(F.regexp_replace(s, " +", " "), ", *", ", ")
-    tries = []
-    for layout, shape in DATE_LAYOUTS:
-        parsed = F.when(s.rlike(shape), F.try_to_date(squeezed, layout))
-        if "yyyy" not in layout:
-            # Two-digit years from 69 on belong to the last century.
-            parsed = F.when(F.year(parsed) >= 2069, F.add_months(parsed, -1200)).otherwise(parsed)
-        tries.append(parsed)
-    return F.coalesce(*tries)
+
+    def attempts(s: Column) -> Column:
+        squeezed = F.regexp_replace(F.regexp_replace(s, " +", " "), ", *", ", ")
+        tries = []
+        for layout, shape in DATE_LAYOUTS:
+            parsed = F.when(s.rlike(shape), F.try_to_date(squeezed, layout))
+            if "yyyy" not in layout:
+                parsed = let(parsed, _last_century)
+            tries.append(parsed)
+        return F.coalesce(*tries)
+
+    return let(strip(c), attempts)
+
+
+def _last_century(d: Column) -> Column:
+    """Two-digit years from 69 on belong to the last century."""
+    return F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d)

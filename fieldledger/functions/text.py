@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Fixed value: the characters counted as white space (Unicode, including the four separators
@@ -14,6 +16,11 @@ WHITESPACE = (
 WS_RUN = f"[{WHITESPACE}]+"
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(c)`` with ``c`` written and evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Remove leading and trailing Unicode white space."""
     return F.btrim(c, F.lit(WHITESPACE))
@@ -25,12 +32,12 @@ def blank_to_null(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Collapse white space to single blanks; nothing left means null."""
-    return blank_to_null(F.btrim(F.regexp_replace(c, WS_RUN, " "), F.lit(" ")))
+    return let(F.btrim(F.regexp_replace(c, WS_RUN, " "), F.lit(" ")), blank_to_null)
 
 
 def upper_code(c: Column) -> Column:
     """Trimmed, upper-cased code (currency, ticker, state); blank means null."""
-    return blank_to_null(F.upper(strip(c)))
+    return let(F.upper(strip(c)), blank_to_null)
 
 
 def filing_currency(c: Column) -> Column:
@@ -39,9 +46,9 @@ def filing_currency(c: Column) -> Column:
 
 def pad_cik(c: Column) -> Column:
     """Left-pad an all-digit company key to ten digits, leave anything else alone."""
-    s = strip(c)
-    short = s.rlike("^[0-9]+$") & (F.length(s) < 10)
-    return F.when(short, F.lpad(s, 10, "0")).otherwise(s)
+    return let(
+        strip(c), lambda s: F.when(s.rlike("^[0-9]{1,9}$"), F.lpad(s, 10, "0")).otherwise(s)
+    )
 
 
 def normalize(c: Column) -> Column:

@@ -395,6 +395,19 @@ def with_cost(pairs: DataFrame, prices: dict[str, tuple[float, float]] | None =
     )
 
 
+def metrics_view(calls: DataFrame, *ids: str) -> DataFrame:
+    """Token total, latency and cost of each call, rounded for display."""
+    return calls.select(
+        *ids,
+        "model",
+        "input_tokens",
+        "output_tokens",
+        (F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"),
+        F.round("latency_ms", 1).alias("latency_ms"),
+        F.round("cost_usd", 6).alias("cost_usd"),
+    )
+
+
 def run_statistics(scored: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     """Unrounded run-level numbers in one pass over the documents.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldledger.plans import evaluation, oracle_eval
+from fieldledger.plans import evaluation, oracle_eval, oracle_prep, receipts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,15 @@ QUERIES: dict[str, Query] = {
     "eval_doc_stats": evaluation.eval_doc_stats,
     "eval_micro_macro": evaluation.eval_micro_macro,
     "eval_run_summary": evaluation.eval_run_summary,
+    "parse_money_styles": receipts.parse_money_styles,
+    "parse_date_formats": receipts.parse_date_formats,
+    "clean_text_docs": receipts.clean_text_docs,
+    "currency_cik_norm": receipts.currency_cik_norm,
+    "normalize_receipts_flat": receipts.normalize_receipts_flat,
+    "normalize_receipts_menu": receipts.normalize_receipts_menu,
+    "prepared_receipts": receipts.prepared_receipts,
+    "first_flat_receipts": receipts.first_flat_receipts,
+    "row_positions": receipts.row_positions,
 }
 
-ORACLES: dict[str, str] = {**oracle_eval.STATEMENTS}
+ORACLES: dict[str, str] = {**oracle_eval.STATEMENTS, **oracle_prep.STATEMENTS}
