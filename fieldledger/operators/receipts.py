@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fieldledger.functions.labels import default_id
 from fieldledger.functions.numbers import parse_date, parse_money, round_money
-from fieldledger.functions.text import clean_text, strip
+from fieldledger.functions.text import clean_text, let, strip
+from fieldledger.operators.stages import compute_once
 from fieldledger.schemas import RECEIPT, struct_type
 
 # Currencies and fallback names of the two sources.
@@ -28,7 +29,7 @@ def member(v: Column, name: str) -> Column:
 
 def truthy(v: Column) -> Column:
     """The value itself, or null when it is empty, zero, false or missing."""
-    return F.when(~F.to_json(v).isin(*_EMPTY_JSON), v)
+    return let(v, lambda x: F.when(~F.to_json(x).isin(*_EMPTY_JSON), x))
 
 
 def first_truthy(v: Column, *names: str) -> Column:
@@ -51,18 +52,25 @@ def as_text(v: Column) -> Column:
 
 def amount(v: Column) -> Column:
     """Money from a JSON value: numbers are only rounded, strings are parsed."""
-    number = F.when(kind(v) != "STRING", F.try_variant_get(v, "$", "double"))
-    return F.coalesce(round_money(number), parse_money(as_text(v)))
+
+    def read(x: Column) -> Column:
+        number = F.when(kind(x) != "STRING", F.try_variant_get(x, "$", "double"))
+        return F.coalesce(round_money(number), parse_money(as_text(x)))
+
+    return let(v, read)
 
 
 def unwrap(v: Column, *names: str) -> Column:
     """First non-empty member among ``names``, else the value itself; text is decoded."""
-    inner = F.coalesce(first_truthy(v, *names), v)
-    return F.when(kind(inner) == "STRING", F.try_parse_json(as_text(inner))).otherwise(inner)
+
+    def decoded(x: Column) -> Column:
+        return F.when(kind(x) == "STRING", F.try_parse_json(as_text(x))).otherwise(x)
+
+    return let(F.coalesce(first_truthy(v, *names), v), decoded)
 
 
 def as_object(v: Column) -> Column:
-    return F.when(kind(v) == "OBJECT", v)
+    return let(v, lambda x: F.when(kind(x) == "OBJECT", x))
 
 
 def _receipt(**values: Column) -> Column:
@@ -92,17 +100,18 @@ def normalize_flat(
 
     pos, id, source, ground_truth, reason; reason is null exactly when the record is usable.
     """
-    parsed = df.withColumn("v", F.try_parse_json(raw))
-    opened = parsed.withColumn("src", as_object(unwrap(F.col("v"), "parsed_data", "ground_truth")))
     src = F.col("src")
-    fields = opened.select(
-        "*",
-        clean_text(as_text(first_truthy(src, "company", "merchant"))).alias("company"),
-        clean_text(as_text(truthy(member(src, "address")))).alias("address"),
-        as_text(member(src, "date")).alias("date_text"),
-        either(src, "total", "amount").alias("total_raw"),
+    parsed = compute_once(df, v=F.try_parse_json(raw))
+    opened = compute_once(
+        parsed, src=as_object(unwrap(F.col("v"), "parsed_data", "ground_truth"))
+    )
+    fields = compute_once(
+        opened,
+        company=clean_text(as_text(first_truthy(src, "company", "merchant"))),
+        address=clean_text(as_text(truthy(member(src, "address")))),
+        date=parse_date(as_text(member(src, "date"))),
+        total=amount(either(src, "total", "amount")),
     )
-    fields = fields.withColumn("total", amount(F.col("total_raw")))
     reason = (
         F.when(F.col("v").isNull(), "invalid_json")
         .when(src.isNull(), "not_an_object")
@@ -120,12 +129,12 @@ def normalize_flat(
     receipt = _receipt(
         merchant=F.col("company"),
         merchant_address=F.when(F.col("address").isNotNull(), address),
-        transaction_date=parse_date(F.col("date_text")),
+        transaction_date=F.col("date"),
         line_items=F.array(),
         total=F.col("total"),
         currency=F.lit(FLAT_CURRENCY),
     )
-    out = fields.withColumn("reason", reason).withColumn("receipt", receipt)
+    out = compute_once(fields, reason=reason).withColumn("receipt", receipt)
     ids = [as_text(truthy(member(F.col("v"), n))) for n in ("id", "image_id")]
     return _result(out, source, position, default_id(source, F.col(position), *ids))
 
@@ -158,25 +167,25 @@ def normalize_menu(
     Malformed records (also a negative count, or menu entries that are not objects) are set
     aside with a reason instead of ending the load.
     """
-    parsed = df.withColumn("v", F.try_parse_json(raw))
-    opened = parsed.withColumn("gt", as_object(unwrap(F.col("v"), "ground_truth", "gt_parse")))
-    opened = opened.withColumn(
-        "src",
-        as_object(F.coalesce(first_truthy(F.col("gt"), "gt_parse", "valid_line"), F.col("gt"))),
+    gt, src = F.col("gt"), F.col("src")
+    parsed = compute_once(df, v=F.try_parse_json(raw))
+    opened = compute_once(
+        parsed, gt=as_object(unwrap(F.col("v"), "ground_truth", "gt_parse"))
     )
-    src = F.col("src")
-    fields = opened.select(
-        "*",
-        _menu_items(src).alias("menu"),
-        amount(member(member(src, "sub_total"), "subtotal_price")).alias("subtotal"),
-        amount(member(member(src, "sub_total"), "tax_price")).alias("tax"),
-        amount(either(member(src, "total"), "total_price", "cashprice")).alias("total"),
-        clean_text(as_text(first_truthy(src, "merchant", "nm"))).alias("merchant"),
+    opened = compute_once(
+        opened, src=as_object(F.coalesce(first_truthy(gt, "gt_parse", "valid_line"), gt))
     )
-    fields = fields.withColumn(
-        "items",
-        F.filter(F.transform("menu", _line_item), lambda x: x["description"].isNotNull()),
+    sub_total, totals = member(src, "sub_total"), member(src, "total")
+    fields = compute_once(
+        opened,
+        menu=_menu_items(src),
+        subtotal=amount(member(sub_total, "subtotal_price")),
+        tax=amount(member(sub_total, "tax_price")),
+        total=amount(either(totals, "total_price", "cashprice")),
+        merchant=clean_text(as_text(first_truthy(src, "merchant", "nm"))),
     )
+    items = F.filter(F.transform("menu", _line_item), lambda x: x["description"].isNotNull())
+    fields = compute_once(fields, items=items)
     reason = (
         F.when(F.col("v").isNull(), "invalid_json")
         .when(src.isNull(), "not_an_object")
@@ -193,7 +202,7 @@ def normalize_menu(
         total=F.col("total"),
         currency=F.lit(MENU_CURRENCY),
     )
-    out = fields.withColumn("reason", reason).withColumn("receipt", receipt)
+    out = compute_once(fields, reason=reason).withColumn("receipt", receipt)
     ids = as_text(truthy(member(F.col("v"), "id")))
     return _result(out, source, position, default_id(source, F.col(position), ids))
 

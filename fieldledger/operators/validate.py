@@ -18,6 +18,7 @@ from fieldledger.functions.text import (
     upper_code,
 )
 from fieldledger.operators.flatten import list_length
+from fieldledger.operators.stages import compute_once
 from fieldledger.schemas import Group, Leaf, envelope, struct_type
 
 # Layouts of dates and times inside JSON, and the limit on the kept source text.
@@ -172,16 +173,16 @@ def validate_envelopes(df: DataFrame, doc_type: str, raw: str = "raw") -> DataFr
     otherwise.
     """
     schema = envelope(doc_type)
-    parsed = df.withColumn("_v", F.try_parse_json(raw))
+    parsed = compute_once(df, _v=F.try_parse_json(raw))
     v = F.col("_v")
     reasons = (
         F.when(v.isNull(), F.array(F.lit("invalid_json")))
         .when(_kind(v) != "OBJECT", F.array(F.lit("type:envelope")))
         .otherwise(F.array_sort(F.array_distinct(_problems(v, schema))))
     )
-    checked = parsed.withColumn("reasons", reasons)
+    checked = compute_once(parsed, reasons=reasons)
     ok = F.size("reasons") == 0
-    typed = checked.withColumn("_r", F.when(ok, _record(v, schema)))
+    typed = compute_once(checked, _r=F.when(ok, _record(v, schema)))
     return typed.select(
         *df.columns,
         F.col("_r.data").alias("data"),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldledger.plans import evaluation, oracle_eval, oracle_prep, receipts
+from fieldledger.plans import evaluation, oracle_eval, oracle_prep, oracle_texts, receipts, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,21 @@ QUERIES: dict[str, Query] = {
     "prepared_receipts": receipts.prepared_receipts,
     "first_flat_receipts": receipts.first_flat_receipts,
     "row_positions": receipts.row_positions,
+    "sections": texts.section_rows,
+    "sections_lookup": texts.sections_lookup,
+    "filing_requests": texts.filing_requests,
+    "document_requests": texts.document_requests,
+    "html_to_text": texts.html_to_text,
+    "admit_documents": texts.admit_documents,
+    "route_documents": texts.route_documents,
+    "ft_rows": texts.ft_rows,
+    "ft_split_sizes": texts.ft_split_sizes,
+    "text_similarity": texts.text_similarity,
+    "infer_partitions": texts.infer_partitions,
 }
 
-ORACLES: dict[str, str] = {**oracle_eval.STATEMENTS, **oracle_prep.STATEMENTS}
+ORACLES: dict[str, str] = {
+    **oracle_eval.STATEMENTS,
+    **oracle_prep.STATEMENTS,
+    **oracle_texts.STATEMENTS,
+}
