@@ -25,8 +25,59 @@ DATE_LAYOUTS = (
 )
 
 
+def round_exact(c: Column, places: int) -> Column:
+    """Round a double by its exact binary value, exact ties to even (2.675 -> 2.67).
+
+    The built-in ``round`` works on the shortest decimal text instead (2.675 -> 2.68). Here the
+    fraction is split so that its distance from the midpoint has an exact sign.
+    """
+    unit, scale = float(10**places), float(2 * 10**places)
+
+    def body(x: Column) -> Column:
+        def from_scaled(k: Column) -> Column:
+            return F.signum(x) * k / F.lit(unit)
+
+        def settle(v: Column) -> Column:
+            below, side = v["below"], v["side"]
+            up = (side > 0) | ((side == 0) & (below % 2 == 1))
+            return from_scaled(F.when(up, below + 1.0).otherwise(below))
+
+        size = F.abs(x)
+        scaled = size * F.lit(unit)
+        below = F.floor(scaled).cast("double")
+        whole = F.floor(size).cast("double")
+        coarse = F.floor((size - whole) * F.lit(2.0**26)).cast("double") / F.lit(2.0**26)
+        midpoint = below * 2.0 + 1.0 - whole * F.lit(scale)
+        side = (coarse * F.lit(scale) - midpoint) + (size - whole - coarse) * F.lit(scale)
+        near_tie = F.abs(scaled - below - 0.5) < 1e-3
+        exact = let(F.struct(below.alias("below"), side.alias("side")), settle)
+        return (
+            F.when(F.isnan(x) | (scaled > 2.0**40), F.round(x, places))
+            .when(near_tie, exact)
+            .otherwise(from_scaled(F.floor(scaled + 0.5)))
+        )
+
+    return let(c.cast("double"), body)
+
+
 def round_money(c: Column) -> Column:
-    return F.round(c.cast("double"), 2)
+    return round_exact(c, 2)
+
+
+def fixed_4(c: Column) -> Column:
+    """Number as text with at most four decimals and no trailing zeros."""
+    shown = F.regexp_replace(F.format_string("%.4f", round_exact(c, 4)), r"\.?0+$", "")
+    return F.when(c.isNotNull(), shown)
+
+
+def fixed(c: Column, places: int, before: str = "", after: str = "") -> Column:
+    """Number as text with a fixed number of decimals; null stays null."""
+    shown = F.format_string(f"{before}%.{places}f{after}", round_exact(c, places))
+    return F.when(c.isNotNull(), shown)
+
+
+def percent(c: Column, places: int) -> Column:
+    return fixed(c * 100, places, after="%%")
 
 
 def parse_money(c: Column) -> Column:
@@ -43,7 +94,7 @@ def parse_money(c: Column) -> Column:
         european = F.translate(F.translate(s, ".", ""), ",", ".")
         return F.when(comma_is_decimal, european).otherwise(F.translate(s, ",", ""))
 
-    return F.round(let(kept, plain).try_cast("double"), 2)
+    return round_exact(let(kept, plain).try_cast("double"), 2)
 
 
 def parse_date(c: Column) -> Column:

@@ -56,12 +56,6 @@ def normalize(c: Column) -> Column:
     return F.lower(strip(c))
 
 
-def fixed_4(c: Column) -> Column:
-    """Number as text with at most four decimals and no trailing zeros."""
-    shown = F.regexp_replace(F.format_string("%.4f", c), r"\.?0+$", "")
-    return F.when(c.isNotNull(), shown)
-
-
 def snippet(c: Column, limit: int = 2000) -> Column:
     """Leading piece of the source text kept beside an extraction; null when there is none."""
     return blank_to_null(F.substring(c, 1, limit))

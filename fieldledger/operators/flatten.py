@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldledger.functions.text import fixed_4
+from fieldledger.functions.numbers import fixed_4
 from fieldledger.schemas import Group, Items, Leaf, field_type
 
 LEAF_TYPE = "array<struct<path:string,ftype:string,v_str:string,v_num:double>>"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldledger.operators.rollup import percent
+from fieldledger.functions.numbers import fixed, percent, round_exact
 from fieldledger.operators.score import RUN
 
 
@@ -19,8 +19,8 @@ def field_table(stats: DataFrame) -> DataFrame:
         "fn",
         "tn",
         "support",
-        *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")],
-        F.col("f1").alias("f1_exact"),
+        *[round_exact(F.col(c), 4).alias(c) for c in ("precision", "recall", "f1")],
+        *[F.col(c).alias(f"{c}_exact") for c in ("precision", "recall", "f1")],
     )
 
 
@@ -34,8 +34,11 @@ def field_lines(stats: DataFrame) -> DataFrame:
     """run, support, f1_exact, field, line: one markdown row per field."""
     t = field_table(stats)
     line = F.format_string(
-        "| `%s` | %s | %d | %.3f | %.3f | %.3f |",
-        "field", "field_type", "support", "precision", "recall", "f1",
+        "| `%s` | %s | %d | %s | %s | %s |",
+        "field",
+        "field_type",
+        "support",
+        *[fixed(F.col(c), 3) for c in ("precision_exact", "recall_exact", "f1_exact")],
     )
     return t.select(*RUN, "support", "f1_exact", "field", line.alias("line"))
 
@@ -44,12 +47,12 @@ def field_lines(stats: DataFrame) -> DataFrame:
 _HEADLINE = [
     ("Documents evaluated", lambda: F.col("n_docs").cast("string")),
     ("Extractor errors   ", lambda: F.col("errors").cast("string")),
-    ("**Micro F1**       ", lambda: F.format_string("**%.4f**", "micro_f1")),
-    ("**Macro F1**       ", lambda: F.format_string("**%.4f**", "macro_f1")),
+    ("**Micro F1**       ", lambda: fixed(F.col("micro_f1"), 4, "**", "**")),
+    ("**Macro F1**       ", lambda: fixed(F.col("macro_f1"), 4, "**", "**")),
     ("Doc exact-match rate", lambda: percent(F.col("doc_exact_match"), 2)),
-    ("Mean latency       ", lambda: F.format_string("%.0f ms", "mean_latency_ms")),
-    ("Mean cost / doc    ", lambda: F.format_string("$%.6f", "mean_cost_usd")),
-    ("Total cost         ", lambda: F.format_string("$%.4f", "total_cost_usd")),
+    ("Mean latency       ", lambda: fixed(F.col("mean_latency_ms"), 0, after=" ms")),
+    ("Mean cost / doc    ", lambda: fixed(F.col("mean_cost_usd"), 6, "$")),
+    ("Total cost         ", lambda: fixed(F.col("total_cost_usd"), 4, "$")),
 ]
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fieldledger.functions.labels import combo_label, effort_of, model_of
+from fieldledger.functions.numbers import fixed, percent, round_exact
 
 # Decimal places of each rolled-up number.
 WEIGHTED = {
@@ -46,7 +47,8 @@ def weighted_rollup(
     n = F.col("n_docs")
 
     def mean(name: str, places: int) -> Column:
-        return F.round(F.try_divide(F.sum(F.col(name) * n), F.sum(n)), places).alias(name)
+        weighted = F.try_divide(F.sum(F.col(name) * n), F.sum(n))
+        return round_exact(weighted, places).alias(name)
 
     sums = [c for c in SUMMED if c != "wall_time_s" or wall_time]
     return (
@@ -55,7 +57,7 @@ def weighted_rollup(
             F.sum(n).alias("n_docs"),
             F.sum("errors").alias("errors"),
             *[mean(c, places) for c, places in WEIGHTED.items()],
-            *[F.round(F.sum(c), SUMMED[c]).alias(c) for c in sums],
+            *[round_exact(F.sum(c), SUMMED[c]).alias(c) for c in sums],
         )
         .where(F.col("n_docs") > 0)
     )
@@ -81,26 +83,17 @@ def _or_dash(shown: Column) -> Column:
     return F.coalesce(shown, F.lit(MISSING))
 
 
-def _fixed(c: str, places: int, before: str = "", after: str = "") -> Column:
-    number = F.format_string(f"{before}%.{places}f{after}", F.col(c))
-    return F.when(F.col(c).isNotNull(), number)
-
-
-def percent(c: Column, places: int) -> Column:
-    return F.when(c.isNotNull(), F.format_string(f"%.{places}f%%", c * 100))
-
-
 def markdown_rows(compared: DataFrame) -> DataFrame:
     """pos, line: the table row of each combo."""
     cells = [
         F.concat(F.lit("`"), F.col("model"), F.lit("`")),
         _or_dash(F.col("effort")),
-        _or_dash(_fixed("micro_f1", 3)),
-        _or_dash(_fixed("macro_f1", 3)),
+        _or_dash(fixed(F.col("micro_f1"), 3)),
+        _or_dash(fixed(F.col("macro_f1"), 3)),
         _or_dash(percent(F.col("doc_exact_match"), 0)),
-        _or_dash(_fixed("mean_latency_ms", 0)),
-        _or_dash(_fixed("mean_cost_usd", 5, "$")),
-        _or_dash(_fixed("total_cost_usd", 4, "$")),
+        _or_dash(fixed(F.col("mean_latency_ms"), 0)),
+        _or_dash(fixed(F.col("mean_cost_usd"), 5, "$")),
+        _or_dash(fixed(F.col("total_cost_usd"), 4, "$")),
     ]
     return compared.select(
         "pos", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")

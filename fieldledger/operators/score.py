@@ -13,8 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldledger.functions import compare, labels
+from fieldledger.functions.numbers import fixed_4, round_exact
 from fieldledger.functions.similarity import pair_similarities
-from fieldledger.functions.text import fixed_4, normalize
+from fieldledger.functions.text import normalize
 from fieldledger.operators.flatten import (
     as_column,
     by_position,
@@ -239,7 +240,7 @@ def score_documents(
         out = [f[c].alias(c) for c in ("path", "ftype")]
         out.append(F.coalesce(f["outcome"], outcome).alias("outcome"))
         if detail:
-            out.append(F.round(F.coalesce(f["score"], late), 3).alias("score"))
+            out.append(round_exact(F.coalesce(f["score"], late), 3).alias("score"))
             out += [f[c].alias(c) for c in ("predicted", "truth")]
         return F.struct(*out)
 
@@ -377,8 +378,8 @@ def outcome_rows(scored: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
         "truth",
         "outcome",
         "score",
-        F.round("latency_ms", 1).alias("latency_ms"),
-        F.round("cost_usd", 6).alias("cost_usd"),
+        round_exact(F.col("latency_ms"), 1).alias("latency_ms"),
+        round_exact(F.col("cost_usd"), 6).alias("cost_usd"),
     )
 
 
@@ -403,8 +404,8 @@ def metrics_view(calls: DataFrame, *ids: str) -> DataFrame:
         "input_tokens",
         "output_tokens",
         (F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"),
-        F.round("latency_ms", 1).alias("latency_ms"),
-        F.round("cost_usd", 6).alias("cost_usd"),
+        round_exact(F.col("latency_ms"), 1).alias("latency_ms"),
+        round_exact(F.col("cost_usd"), 6).alias("cost_usd"),
     )
 
 
@@ -483,5 +484,5 @@ def run_summary(stats: DataFrame, doc_type: str, keys: Sequence[str] = RUN) -> D
         F.lit(doc_type).alias("doc_type"),
         "n_docs",
         F.col("n_errors").alias("errors"),
-        *[F.round(c, n).alias(c) for c, n in places.items()],
+        *[round_exact(F.col(c), n).alias(c) for c, n in places.items()],
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldledger.functions.numbers import round_money
+from fieldledger.functions.numbers import round_exact, round_money
 from fieldledger.functions.text import (
     filing_currency,
     pad_cik,
@@ -204,7 +204,7 @@ def overall_confidence(confidences: Column) -> Column:
     """Mean score rounded to three places; no scores means 0."""
     total = F.aggregate(confidences, F.lit(0.0), lambda acc, x: acc + x["score"])
     n = list_length(confidences)
-    return F.when(n > 0, F.round(total / n, 3)).otherwise(0.0)
+    return F.when(n > 0, round_exact(total / n, 3)).otherwise(0.0)
 
 
 def extraction_results(accepted_rows: DataFrame, doc_type: str, text: str = "text") -> DataFrame:

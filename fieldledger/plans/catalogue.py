@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldledger.plans import evaluation, oracle_eval, oracle_prep, oracle_texts, receipts, texts
+from fieldledger.plans import (
+    envelopes,
+    evaluation,
+    filings,
+    oracle_eval,
+    oracle_more,
+    oracle_prep,
+    oracle_texts,
+    receipts,
+    reports,
+    texts,
+    tracking,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,10 +48,33 @@ QUERIES: dict[str, Query] = {
     "ft_split_sizes": texts.ft_split_sizes,
     "text_similarity": texts.text_similarity,
     "infer_partitions": texts.infer_partitions,
+    "validate_invoices": envelopes.validate_invoices,
+    "validate_rejects": envelopes.validate_rejects,
+    "flatten_invoices": envelopes.flatten_invoices,
+    "selfcheck_f1": envelopes.selfcheck_f1,
+    "call_metrics": envelopes.call_metrics,
+    "xbrl_financials": filings.xbrl_financials,
+    "nested_facts_readback": filings.nested_facts_readback,
+    "latest_filing": filings.latest_filing,
+    "filing_sidecars": filings.filing_sidecars,
+    "resolve_tickers": filings.resolve_tickers,
+    "filing_ground_truth": filings.filing_ground_truth,
+    "multi_model_rollup": reports.multi_model_rollup,
+    "base_vs_tuned": reports.base_vs_tuned,
+    "matrix_missing": reports.matrix_missing,
+    "run_matrix": reports.run_matrix,
+    "report_field_table": reports.report_field_table,
+    "job_progress": tracking.job_progress,
+    "job_snapshot": tracking.job_snapshot,
+    "stage_timing": tracking.stage_timing,
+    "job_progress_stream": tracking.job_progress_stream,
+    "stage_timing_stream": tracking.stage_timing_stream,
+    "incremental_scores": tracking.incremental_scores,
 }
 
 ORACLES: dict[str, str] = {
     **oracle_eval.STATEMENTS,
     **oracle_prep.STATEMENTS,
     **oracle_texts.STATEMENTS,
+    **oracle_more.STATEMENTS,
 }

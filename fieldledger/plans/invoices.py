@@ -47,8 +47,10 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with customer, country and lines."""
+def order_heads(
+    spark: SparkSession, sf_dir: str, orders: DataFrame | None = None
+) -> DataFrame:
+    """Orders (the table, or a stream of it) with customer, country and lines."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     lines = order_lines(spark, sf_dir).join(
         part, F.col("partkey") == F.col("p_partkey"), "left"
@@ -62,7 +64,8 @@ def order_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("lines")
     )
-    orders = table(spark, sf_dir, "orders")
+    if orders is None:
+        orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
     return (
@@ -127,7 +130,9 @@ def truth_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def predicted_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predicted_invoices(
+    spark: SparkSession, sf_dir: str, orders: DataFrame | None = None
+) -> DataFrame:
     """Truth disturbed in known ways, one row per run and order that has a prediction."""
     runs = F.array(
         *[
@@ -139,7 +144,7 @@ def predicted_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
             for m, e in RUNS
         ]
     )
-    heads = order_heads(spark, sf_dir).select("*", F.inline(runs))
+    heads = order_heads(spark, sf_dir, orders).select("*", F.inline(runs))
     heads = heads.withColumn("r", F.col("o_orderkey") + F.col("shift")).where("r % 29 <> 0")
     r = F.col("r")
     values = _base(False)

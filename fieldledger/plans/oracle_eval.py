@@ -182,9 +182,9 @@ per_run AS (
 summary AS (
   SELECT s.model, s.effort, s.dataset,
          s.model || coalesce('_re-' || s.effort, '') AS label, 'invoice' AS doc_type,
-         n_docs, errors, round(micro_f1, 4) AS micro_f1, round(macro_f1, 4) AS macro_f1,
-         round(exact, 4) AS doc_exact_match, round(latency, 1) AS mean_latency_ms,
-         round(cost / (n_docs - errors), 6) AS mean_cost_usd, round(cost, 4) AS total_cost_usd
+         n_docs, errors, CAST(printf('%.4f', micro_f1) AS DOUBLE) AS micro_f1, CAST(printf('%.4f', macro_f1) AS DOUBLE) AS macro_f1,
+         CAST(printf('%.4f', exact) AS DOUBLE) AS doc_exact_match, CAST(printf('%.1f', latency) AS DOUBLE) AS mean_latency_ms,
+         CAST(printf('%.6f', cost / (n_docs - errors)) AS DOUBLE) AS mean_cost_usd, CAST(printf('%.4f', cost) AS DOUBLE) AS total_cost_usd
   FROM per_run s JOIN micro_macro m ON s.model = m.model AND s.dataset = m.dataset)
 """
 

@@ -32,9 +32,7 @@ def _parse_money(raw: str) -> str:
         f"CASE WHEN {european} THEN replace(replace({kept}, '.', ''), ',', '.') "
         f"ELSE replace({kept}, ',', '') END"
     )
-    return (
-        f"CAST(CAST(TRY_CAST(nullif({plain}, '') AS DECIMAL(20,3)) AS DECIMAL(20,2)) AS DOUBLE)"
-    )
+    return f"CAST(printf('%.2f', TRY_CAST(nullif({plain}, '') AS DOUBLE)) AS DOUBLE)"
 
 
 _STRFTIME = [

@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fieldledger.functions.labels import report_tag, run_label
+from fieldledger.functions.numbers import round_exact
 from fieldledger.operators import report, rollup, score
 from fieldledger.operators.score import RUN
 
@@ -43,14 +44,14 @@ def write_per_record(outcomes: DataFrame, doc_type: str, path: str) -> None:
 def summary_documents(summary: DataFrame, stats: DataFrame, generated_at: str) -> DataFrame:
     """One nested row per run: generated_at, summary, aggregate, field_stats by path."""
     numbers = ["tp", "fp", "fn", "tn", "support", "precision", "recall", "f1"]
-    rounded = [F.round(c, 4).alias(c) if c in numbers[5:] else F.col(c) for c in numbers]
+    rounded = [round_exact(F.col(c), 4).alias(c) if c in numbers[5:] else F.col(c) for c in numbers]
     entry = F.struct(F.col("path").alias("field"), F.col("ftype").alias("field_type"), *rounded)
     per_run = stats.groupBy(*RUN).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", entry)))).alias("field_stats")
     )
     pooled = score.micro_macro(stats)
     aggregate = F.struct(
-        *[F.round(c, 4).alias(c) for c in ("micro_precision", "micro_recall", "micro_f1", "macro_f1")]
+        *[round_exact(F.col(c), 4).alias(c) for c in ("micro_precision", "micro_recall", "micro_f1", "macro_f1")]
     )
     same = [F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}")) for c in RUN]
     same_a = [F.col(f"s.{c}").eqNullSafe(F.col(f"a.{c}")) for c in RUN]

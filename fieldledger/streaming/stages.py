@@ -38,7 +38,8 @@ def finished_requests(events: DataFrame, idle: str = "30 minutes") -> DataFrame:
             yield row.astype("Int64")
         else:
             state.update(tuple(times))
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
+            last_seen = max(t for t in times if t is not None) // 1000
+            state.setTimeoutTimestamp(max(last_seen, state.getCurrentWatermarkMs()) + idle_ms)
 
     keyed = (
         events.withWatermark("ts", idle)
