@@ -1,9 +1,8 @@
 """Comparing predictions with truth, and every statistic built on the outcomes.
 
-Both sides are joined once per document. Everything up to the outcome of each field then
-happens inside the row: the schema is walked once on the driver and gives, for each leaf, an
-expression that compares the two sides directly, so no field map is built and no field-level
-join is needed. Fields leave the row only to be counted, and those counts combine map-side.
+Both sides are joined once per document, never per field: the schema is walked on the driver
+and lines up the two values of every path inside the joined row. Statistics unfold that row and
+compare in compiled code, and their counts combine map-side before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -30,9 +29,6 @@ RUN = ("model", "effort", "dataset")
 
 NUMERIC = ("money", "number")
 
-# Marker path of the one row per document that carries document-level sums.
-DOC_ROW = "\u0000doc"
-
 _PAIRS = "array<struct<path:string,ftype:string,p:string,t:string,pn:double,tn:double>>"
 
 
@@ -167,18 +163,13 @@ def pair_documents(
             for m, e in runs
         ]
     )
-    wanted = truth.select("*", F.inline(declared))
-    found = predictions.withColumn("_seen", F.lit(True))
-    same = (
-        (wanted["dataset"] == found["dataset"])
-        & (wanted["doc_id"] == found["doc_id"])
-        & (wanted["model"] == found["model"])
-        & (F.coalesce(wanted["effort"], F.lit("")) == F.coalesce(found["effort"], F.lit("")))
-    )
+    key = F.coalesce("effort", F.lit("")).alias("effort_key")
+    wanted = truth.select("*", F.inline(declared)).select("*", key)
+    found = predictions.select("*", key, F.lit(True).alias("_seen"))
+    same = [wanted[c] == found[c] for c in ("dataset", "doc_id", "model", "effort_key")]
     failure = F.when(F.col("_seen").isNull(), F.lit("no prediction")).otherwise(F.col("error"))
     return wanted.join(found, same, "left").select(
-        *[wanted[c] for c in RUN],
-        wanted["doc_id"],
+        *[wanted[c] for c in (*RUN, "doc_id", "effort_key")],
         failure.alias("error"),
         F.when(failure.isNull(), F.col("data")).alias("data"),
         "truth",
@@ -189,6 +180,15 @@ def pair_documents(
     )
 
 
+def unfold(rows: DataFrame, keys: Sequence[Column | str], entries: Column) -> DataFrame:
+    """One row per array entry.
+
+    The outer form is used because the inner one makes the optimizer add a ``size > 0`` filter
+    below the generator, which would compute the whole array a second time.
+    """
+    return rows.select(*keys, F.inline_outer(entries)).where(F.col("path").isNotNull())
+
+
 def score_documents(
     pairs: DataFrame,
     doc_type: str,
@@ -255,22 +255,87 @@ def score_documents(
 # --- statistics ---------------------------------------------------------------------------------
 
 
-def unfold(rows: DataFrame, keys: Sequence[Column | str], entries: Column) -> DataFrame:
-    """One row per array entry.
+def compared_rows(
+    pairs: DataFrame,
+    doc_type: str,
+    carry: Sequence[str],
+    raw_truth: bool = True,
+    overrides: dict[str, str] | None = None,
+) -> DataFrame:
+    """One row per (document, path): ``carry``, path, ftype, outcome, p, t.
 
-    The outer form is used because the inner one makes the optimizer add a ``size > 0`` filter
-    below the generator, which would compute the whole array a second time.
+    Outcome is null where a text pair still needs its edit distance; only then p and t hold the
+    two texts. Outside of arrays the comparison compiles into one stage with the unfolding.
+    Empty paths of failed documents come out as SKIP and are not counted.
     """
-    return rows.select(*keys, F.inline_outer(entries)).where(F.col("path").isNotNull())
+    values = paired_fields(
+        F.col("data"), F.col("truth"), get_schema(doc_type), raw_truth, overrides
+    )
+    kept = [*carry, "error"] if "error" not in carry else list(carry)
+    rows = unfold(pairs, kept, values)
+
+    def at(df: DataFrame) -> dict[str, Column]:
+        return {c: F.col(c) for c in df.columns}
+
+    prepared = rows.select(*kept, F.inline_outer(F.array(_prepared(at(rows)))))
+    graded = prepared.select("*", _scored(at(prepared)).alias("score"))
+    found = _outcome(at(graded), F.col("score"))
+    skip = F.col("error").isNotNull() & F.col("p_null") & F.col("t_null")
+    judged = graded.select(
+        *carry,
+        "path",
+        "ftype",
+        F.when(skip, "SKIP").otherwise(found).alias("outcome"),
+        *[F.when(F.col("score").isNull(), F.col(f"n{c}")).alias(c) for c in ("p", "t")],
+    )
+    return judged
 
 
-def _counts(outcome: Column) -> list[Column]:
-    return [
-        F.count_if(outcome == "TP").alias("tp"),
-        F.count_if(outcome.isin("FP", "MISMATCH")).alias("fp"),
-        F.count_if(outcome.isin("FN", "MISMATCH")).alias("fn"),
-        F.count_if(outcome == "TN").alias("tn"),
-    ]
+def _late_outcome(p: Column, t: Column) -> Column:
+    """Outcome of an open text pair."""
+    pair = F.when(p.isNotNull(), F.array(F.struct(p.alias("p"), t.alias("t"))))
+    empty = F.array().cast("array<struct<p:string,t:string>>")
+    similarity = F.get(pair_similarities(F.coalesce(pair, empty)), F.lit(0))
+    return F.when(similarity >= compare.TEXT_THRESHOLD, "TP").otherwise("MISMATCH")
+
+
+def field_counts(
+    pairs: DataFrame,
+    doc_type: str,
+    keys: Sequence[str] = RUN,
+    raw_truth: bool = True,
+    overrides: dict[str, str] | None = None,
+) -> DataFrame:
+    """tp, fp, fn, tn by run and path. Counts add up, so partial results can be merged.
+
+    Equal outcomes, and equal open text pairs, are counted together map-side first; the edit
+    distance then runs once per distinct pair.
+    """
+    rows = compared_rows(pairs, doc_type, keys, raw_truth, overrides)
+    groups = rows.groupBy(*keys, "path", "ftype", "outcome", "p", "t").agg(
+        F.count("*").alias("n")
+    )
+    settled = groups.withColumn(
+        "outcome", F.coalesce("outcome", _late_outcome(F.col("p"), F.col("t")))
+    )
+
+    def n(*outcomes: str) -> Column:
+        hit = F.col("outcome").isin(*outcomes)
+        return F.sum(F.when(hit, F.col("n")).otherwise(0))
+
+    counts = settled.groupBy(*keys, "path", "ftype").agg(
+        n("TP").alias("tp"),
+        n("FP", "MISMATCH").alias("fp"),
+        n("FN", "MISMATCH").alias("fn"),
+        n("TN").alias("tn"),
+    )
+    return counts.where("tp + fp + fn + tn > 0")
+
+
+def merge_counts(counts: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
+    return counts.groupBy(*keys, "path", "ftype").agg(
+        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")]
+    )
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -295,20 +360,8 @@ def with_rates(stats: DataFrame, prefix: str = "") -> DataFrame:
     )
 
 
-def field_counts(scored: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
-    """tp, fp, fn, tn by run and path. Counts add up, so partial results can be merged."""
-    rows = unfold(scored, keys, F.col("fields"))
-    return rows.groupBy(*keys, "path", "ftype").agg(*_counts(F.col("outcome")))
-
-
-def merge_counts(counts: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
-    return counts.groupBy(*keys, "path", "ftype").agg(
-        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")]
-    )
-
-
-def field_stats(scored: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
-    return with_rates(field_counts(scored, keys))
+def field_stats(pairs: DataFrame, doc_type: str, keys: Sequence[str] = RUN) -> DataFrame:
+    return with_rates(field_counts(pairs, doc_type, keys))
 
 
 def micro_macro(counts: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
@@ -330,25 +383,37 @@ def micro_macro(counts: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     )
 
 
-def _doc_columns() -> dict[str, Column]:
-    def n(outcome_test) -> Column:
-        return F.size(F.filter("fields", outcome_test))
+def doc_stats(
+    pairs: DataFrame, doc_type: str, keys: Sequence[str] = RUN, extra: Sequence[str] = ()
+) -> DataFrame:
+    """Per document: fields right, fields scored, all right.
 
+    Grouping by the keys the two sides were joined on keeps the join's partitioning, so no
+    further shuffle is needed for documents that come from ``pair_documents``.
+    """
+    carry = [*keys, "doc_id", "error", *extra]
+    carry += [c for c in ("effort_key",) if c in pairs.columns]
+    rows = compared_rows(pairs, doc_type, carry)
+    undecided = F.struct("p", "t")
+    outcome = F.col("outcome")
+    per_doc = rows.groupBy(*carry).agg(
+        F.count_if(outcome == "TP").alias("hits"),
+        F.count_if(outcome.isNull() | ~outcome.isin("TN", "SKIP")).alias("scored"),
+        F.collect_list(F.when(outcome.isNull(), undecided)).alias("undecided"),
+    )
+    late = F.filter(pair_similarities("undecided"), lambda x: x >= compare.TEXT_THRESHOLD)
     ok = F.col("error").isNull()
-    correct = F.when(ok, n(lambda f: f["outcome"] == "TP")).otherwise(0)
-    total = F.when(ok, n(lambda f: f["outcome"] != "TN")).otherwise(0)
-    return {
-        "fields_correct": correct,
-        "fields_total": total,
-        "exact_match": ok & (total > 0) & (correct == total),
-    }
-
-
-def doc_stats(scored: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
-    """Per document: fields right, fields scored, all right. Needs no shuffle."""
-    return scored.select(
-        *keys, "doc_id", "error", *[c.alias(k) for k, c in _doc_columns().items()]
+    counted = per_doc.withColumn("late", F.size(late)).select(
+        *keys,
+        "doc_id",
+        "error",
+        *extra,
+        F.when(ok, F.col("hits") + F.col("late")).otherwise(0).alias("fields_correct"),
+        F.when(ok, F.col("scored")).otherwise(0).alias("fields_total"),
     )
+    total = F.col("fields_total")
+    exact = ok & (total > 0) & (F.col("fields_correct") == total)
+    return counted.select("*", exact.alias("exact_match"))
 
 
 def outcome_rows(scored: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
@@ -409,62 +474,35 @@ def metrics_view(calls: DataFrame, *ids: str) -> DataFrame:
     )
 
 
-def run_statistics(scored: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
-    """Unrounded run-level numbers in one pass over the documents.
-
-    Each document gives its field outcomes and one extra row with its own numbers, all counted
-    by a single aggregation on (run, path); what follows works on one row per path.
-    """
-    doc = _doc_columns()
-    ok = F.col("error").isNull()
-    slim = F.transform(
-        "fields",
-        lambda f: F.struct(
-            f["path"].alias("path"), f["ftype"].alias("ftype"), f["outcome"].alias("outcome")
-        ),
-    )
-    marker = F.array(
-        F.struct(
-            F.lit(DOC_ROW).alias("path"),
-            F.lit(None).cast("string").alias("ftype"),
-            F.lit(None).cast("string").alias("outcome"),
-        )
-    )
-    rows = unfold(
-        scored,
-        [*keys, ok.alias("ok"), doc["exact_match"].alias("exact"), "latency_ms", "cost_usd"],
-        F.concat(slim, marker),
-    )
-    mine = F.col("path") == DOC_ROW
-    per_path = rows.groupBy(*keys, "path", "ftype").agg(
-        *_counts(F.col("outcome")),
-        F.count_if(mine).alias("n_docs"),
-        F.count_if(mine & ~F.col("ok")).alias("n_errors"),
-        F.count_if(mine & F.col("exact")).alias("n_exact"),
-        F.sum(F.when(mine, F.col("latency_ms"))).alias("latency"),
-        F.sum(F.when(mine, F.col("cost_usd"))).alias("cost"),
-    )
-    rated = with_rates(per_path)
-    is_field = F.col("path") != DOC_ROW
-    run = rated.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "n_docs", "n_errors", "n_exact")],
-        F.sum("latency").alias("latency"),
-        F.sum("cost").alias("cost"),
-        F.avg(F.when(is_field & (F.col("support") > 0), F.col("f1"))).alias("macro_f1"),
+def run_statistics(pairs: DataFrame, doc_type: str, keys: Sequence[str] = RUN) -> DataFrame:
+    """Unrounded run-level numbers. ``pairs`` must carry latency_ms and cost_usd."""
+    docs = doc_stats(pairs, doc_type, keys, ["latency_ms", "cost_usd"])
+    per_run = docs.groupBy(*keys).agg(
+        F.count("*").alias("n_docs"),
+        F.count("error").alias("n_errors"),
+        F.count_if(F.col("exact_match")).alias("n_exact"),
+        F.sum("latency_ms").alias("latency"),
+        F.sum("cost_usd").alias("cost"),
     )
+    rates = micro_macro(field_counts(pairs, doc_type, keys), keys)
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in keys]
     good = F.col("n_docs") - F.col("n_errors")
-    return with_rates(run, "micro_").select(
-        *keys,
-        "n_docs",
-        "n_errors",
-        "micro_precision",
-        "micro_recall",
-        "micro_f1",
-        F.coalesce("macro_f1", F.lit(0.0)).alias("macro_f1"),
-        ratio(F.col("n_exact"), good).alias("doc_exact_match"),
-        ratio(F.col("latency"), good).alias("mean_latency_ms"),
-        ratio(F.col("cost"), good).alias("mean_cost_usd"),
-        F.coalesce("cost", F.lit(0.0)).alias("total_cost_usd"),
+    return (
+        per_run.alias("d")
+        .join(rates.alias("m"), same)
+        .select(
+            *[F.col(f"d.{c}") for c in keys],
+            "n_docs",
+            "n_errors",
+            "micro_precision",
+            "micro_recall",
+            "micro_f1",
+            "macro_f1",
+            ratio(F.col("n_exact"), good).alias("doc_exact_match"),
+            ratio(F.col("latency"), good).alias("mean_latency_ms"),
+            ratio(F.col("cost"), good).alias("mean_cost_usd"),
+            F.coalesce("cost", F.lit(0.0)).alias("total_cost_usd"),
+        )
     )
 
 

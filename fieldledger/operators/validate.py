@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fieldledger.functions.numbers import round_exact, round_money
 from fieldledger.functions.text import (
     filing_currency,
+    let,
     pad_cik,
     snippet,
     strip,
@@ -19,7 +20,7 @@ from fieldledger.functions.text import (
 )
 from fieldledger.operators.flatten import list_length
 from fieldledger.operators.stages import compute_once
-from fieldledger.schemas import Group, Leaf, envelope, struct_type
+from fieldledger.schemas import Group, Items, Leaf, envelope, struct_type
 
 # Layouts of dates and times inside JSON, and the limit on the kept source text.
 ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ]00:00(?::00(?:\.0+)?)?)?$"
@@ -35,160 +36,188 @@ _CLEAN = {
 }
 
 
-def _member(v: Column, name: str) -> Column:
-    """Member of a VARIANT object; null when absent, a VARIANT null when given as null."""
-    return F.try_variant_get(v, f"$.{name}", "variant")
+def _value(v: Column, json: Column, leaf: Leaf) -> Column:
+    """Value of a leaf after coercion; null when absent, null or of the wrong type.
 
-
-def _kind(v: Column) -> Column:
-    """VOID for a JSON null; null when the value is absent."""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
-
-
-def _given(v: Column) -> Column:
-    return v.isNotNull() & ~F.is_variant_null(v)
-
-
-def _typed(v: Column, leaf: Leaf) -> Column:
-    """Value of a leaf after coercion; null when absent, null or of the wrong type."""
+    The first character of ``json`` (the value's JSON text) tells its type.
+    """
     text = F.try_variant_get(v, "$", "string")
-    kind = _kind(v)
+    is_text = json.startswith('"')
     if leaf.kind == "text":
         if leaf.clean == "cik":
-            return pad_cik(F.when(_given(v), text))
-        return _CLEAN[leaf.clean](F.when(kind == "STRING", text))
-    if leaf.kind == "float":
-        number = F.when(~kind.isin("OBJECT", "ARRAY"), strip(text).try_cast("double"))
-        number = F.when(kind == "BOOLEAN", (text == "true").cast("double")).otherwise(number)
+            return pad_cik(F.when(json != "null", text))
+        return _CLEAN[leaf.clean](F.when(is_text, text))
+    if leaf.kind in ("float", "int"):
+        number = F.when(
+            ~json.startswith("{") & ~json.startswith("["), strip(text).try_cast("double")
+        )
+        number = F.when(json.isin("true", "false"), (json == "true").cast("double")).otherwise(
+            number
+        )
+        if leaf.kind == "int":
+            return let(number, lambda n: F.when(n == F.floor(n), n.try_cast("int")))
         return round_money(number) if leaf.clean == "money" else number
-    if leaf.kind == "int":
-        number = F.when(~kind.isin("OBJECT", "ARRAY"), strip(text).try_cast("double"))
-        return F.when(number == F.floor(number), number.try_cast("int"))
+    s = strip(F.when(is_text, text))
     if leaf.kind == "date":
-        s = strip(F.when(kind == "STRING", text))
-        return F.when(s.rlike(ISO_DATE), F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"))
-    s = strip(F.when(kind == "STRING", text))
+        day = F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd")
+        return F.when(s.rlike(ISO_DATE), day)
     full = F.when(F.length(s) == 5, F.concat(s, F.lit(":00"))).otherwise(s)
     return F.when(s.rlike(ISO_TIME), full)
 
 
-def _typed_or_default(obj: Column, name: str, leaf: Leaf) -> Column:
-    v = _member(obj, name)
-    value = _typed(v, leaf)
-    if leaf.default is not None:
-        value = F.when(v.isNull(), F.lit(leaf.default)).otherwise(value)
-    return value
-
-
-def _leaf_problems(obj: Column, name: str, path: str, leaf: Leaf) -> list[Column]:
-    v = _member(obj, name)
-    out = []
-    value = _typed_or_default(obj, name, leaf)
-    lenient = leaf.clean in ("upper", "filing_currency")  # anything unusable counts as null
-    wrong_type = _given(v) & value.isNull()
-    if leaf.required:
-        if leaf.default is None:
-            out.append(F.when(v.isNull(), f"missing:{path}"))
-        out.append(F.when(F.is_variant_null(v) & value.isNull(), f"null:{path}"))
-    if not lenient and leaf.clean != "currency":
-        out.append(F.when(wrong_type, f"type:{path}"))
-    elif leaf.required:
-        out.append(F.when(wrong_type, f"type:{path}"))
-    if leaf.low is not None:
-        out.append(F.when(value < leaf.low, f"range:{path}"))
-    if leaf.high is not None:
-        out.append(F.when(value > leaf.high, f"range:{path}"))
-    if leaf.choices:
-        out.append(F.when(~value.isin(*leaf.choices), f"choice:{path}"))
-    return out
-
-
-def _extra_keys(obj: Column, allowed: list[str], path: str) -> Column:
-    keys = F.map_keys(F.try_variant_get(obj, "$", "map<string,variant>"))
-    extra = F.array_except(keys, F.array(*[F.lit(a) for a in allowed]))
-    return F.transform(extra, lambda k: F.concat(F.lit(f"extra:{path}"), k))
-
-
-def _problems(obj: Column, schema: Group, path: str = "") -> Column:
-    """Array of reasons for one object that is known to be a JSON object."""
-    flat: list[Column] = []
-    nested: list[Column] = [_extra_keys(obj, list(schema.fields), path)]
-    none = F.array().cast("array<string>")
-    for name, node in schema.fields.items():
-        where = path + name
-        if isinstance(node, Leaf):
-            flat += _leaf_problems(obj, name, where, node)
-            continue
-        v = _member(obj, name)
-        want = "OBJECT" if isinstance(node, Group) else "ARRAY"
-        if isinstance(node, Group):
-            if node.required:
-                flat.append(F.when(v.isNull(), f"missing:{where}"))
-                flat.append(F.when(F.is_variant_null(v), f"null:{where}"))
-            inside = _problems(v, node, where + ".")
-        else:
-            flat.append(F.when(F.is_variant_null(v), f"null:{where}"))
-            items = F.try_variant_get(v, "$", "array<variant>")
-            group = node.group
-            inside = F.flatten(
-                F.transform(
-                    items,
-                    lambda x: F.when(
-                        _kind(x) == "OBJECT", _problems(x, group, where + "[].")
-                    ).otherwise(F.array(F.lit(f"type:{where}[]"))),
-                )
-            )
-            if node.limit is not None:
-                flat.append(F.when(F.size(items) > node.limit, f"range:{where}"))
-        flat.append(F.when(_given(v) & (_kind(v) != want), f"type:{where}"))
-        nested.append(F.when(_kind(v) == want, inside).otherwise(none))
-    return F.concat(F.filter(F.array(*flat), lambda r: r.isNotNull()), *nested)
-
-
-def _record(obj: Column, schema: Group) -> Column:
-    """Typed record of one object."""
-    out = []
-    types = struct_type(schema)
-    for name, node in schema.fields.items():
-        if isinstance(node, Leaf):
-            value = _typed_or_default(obj, name, node)
-        elif isinstance(node, Group):
-            v = _member(obj, name)
-            value = F.when(_kind(v) == "OBJECT", _record(v, node))
-        else:
-            items = F.try_variant_get(_member(obj, name), "$", "array<variant>")
-            group = node.group
-            value = F.coalesce(
-                F.transform(items, lambda x: _record(x, group)),
-                F.array().cast(types[name].dataType),
-            )
-        out.append(value.cast(types[name].dataType).alias(name))
-    return F.struct(*out)
+def _leaf(v: Column, path: str, leaf: Leaf) -> Column:
+    """(r, e): the value and at most one problem of a leaf."""
+    lenient = leaf.clean in ("upper", "currency", "filing_currency") and not leaf.required
+
+    def judge(x: Column) -> Column:
+        value = x["value"]
+        e = F.when(F.lit(False), "")
+        if leaf.default is not None:
+            value = F.when(x["json"].isNull(), F.lit(leaf.default)).otherwise(value)
+        elif leaf.required:
+            e = e.when(x["json"].isNull(), f"missing:{path}")
+        if leaf.required:
+            e = e.when((x["json"] == "null") & value.isNull(), f"null:{path}")
+        if not lenient:
+            e = e.when((x["json"] != "null") & value.isNull(), f"type:{path}")
+        if leaf.low is not None:
+            e = e.when(value < leaf.low, f"range:{path}")
+        if leaf.high is not None:
+            e = e.when(value > leaf.high, f"range:{path}")
+        if leaf.choices:
+            e = e.when(~value.isin(*leaf.choices), f"choice:{path}")
+        return F.struct(value.alias("r"), e.alias("e"))
+
+    def read(x: Column) -> Column:
+        value = _value(x["v"], x["json"], leaf)
+        return let(F.struct(value.alias("value"), x["json"].alias("json")), judge)
+
+    return let(F.struct(v.alias("v"), F.to_json(v).alias("json")), read)
+
+
+_NO_PROBLEMS = "array<string>"
+
+
+def _nothing() -> Column:
+    return F.array().cast(_NO_PROBLEMS)
+
+
+def _group(v: Column, path: str, schema: Group) -> Column:
+    """(r, e) of a nested record; ``e`` lists the problems of everything inside."""
+
+    def absent(x: Column) -> Column:
+        e = F.when(F.is_variant_null(x["v"]), f"null:{path}" if schema.required else None)
+        if schema.required:
+            e = F.when(x["v"].isNull(), f"missing:{path}").otherwise(e)
+        e = F.when(x["v"].isNotNull() & ~F.is_variant_null(x["v"]), f"type:{path}").otherwise(e)
+        problems = F.filter(F.array(e.cast("string")), lambda y: y.isNotNull())
+        return F.struct(F.lit(None).cast(struct_type(schema)).alias("r"), problems.alias("e"))
+
+    def read(x: Column) -> Column:
+        inside = _object(x["v"], x["m"], f"{path}.", schema)
+        return F.when(x["m"].isNotNull(), inside).otherwise(absent(x))
+
+    return let(F.struct(v.alias("v"), _as_map(v).alias("m")), read)
+
+
+def _as_map(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _items(v: Column, path: str, items: Items) -> Column:
+    """(r, e) of a list; a missing list is an empty one."""
+    element_type = struct_type(items.group)
+
+    def element(x: Column) -> Column:
+        wrong = F.struct(
+            F.lit(None).cast(element_type).alias("r"), F.array(F.lit(f"type:{path}[]")).alias("e")
+        )
+        return let(
+            F.struct(x.alias("v"), _as_map(x).alias("m")),
+            lambda y: F.when(
+                y["m"].isNotNull(), _object(y["v"], y["m"], f"{path}[].", items.group)
+            ).otherwise(wrong),
+        )
+
+    def read(x: Column) -> Column:
+        e = F.when(F.is_variant_null(x["v"]), f"null:{path}").when(
+            x["v"].isNotNull() & x["list"].isNull(), f"type:{path}"
+        )
+        if items.limit is not None:
+            e = e.when(F.size(x["list"]) > items.limit, f"range:{path}")
+        own = F.filter(F.array(e), lambda y: y.isNotNull())
+
+        def gather(c: Column) -> Column:
+            records = F.transform(c, lambda y: y["r"])
+            inside = F.flatten(F.transform(c, lambda y: y["e"]))
+            return F.struct(records.alias("r"), F.concat(own, inside).alias("e"))
+
+        parsed = F.transform(F.coalesce(x["list"], F.array().cast("array<variant>")), element)
+        return let(parsed, gather)
+
+    as_list = F.try_variant_get(v, "$", "array<variant>")
+    return let(F.struct(v.alias("v"), as_list.alias("list")), read)
+
+
+def _object(v: Column, members: Column, path: str, schema: Group) -> Column:
+    """(r, e) of a value that is a JSON object; ``members`` is the same object as a map."""
+    names = list(schema.fields)
+    as_struct = F.try_variant_get(v, "$", "struct<" + ",".join(f"`{n}`:variant" for n in names) + ">")
+    extra = F.array_except(F.map_keys(members), F.array(*[F.lit(n) for n in names]))
+
+    def check(x: Column) -> Column:
+        parts = []
+        for name, node in schema.fields.items():
+            make = {Leaf: _leaf, Group: _group, Items: _items}[type(node)]
+            parts.append(make(x["s"][name], path + name, node).alias(name))
+        return let(F.struct(*parts, x["extra"].alias("_extra")), collect)
+
+    def collect(c: Column) -> Column:
+        leaves = [n for n in names if isinstance(schema.fields[n], Leaf)]
+        others = [n for n in names if n not in leaves]
+        problems = [F.transform(c["_extra"], lambda k: F.concat(F.lit(f"extra:{path}"), k))]
+        if leaves:
+            own = F.array(*[c[n]["e"] for n in leaves])
+            problems.append(F.filter(own, lambda y: y.isNotNull()))
+        problems += [c[n]["e"] for n in others]
+        record = F.struct(*[c[n]["r"].alias(n) for n in names])
+        return F.struct(record.alias("r"), F.concat(*problems).alias("e"))
+
+    return let(F.struct(as_struct.alias("s"), extra.alias("extra")), check)
 
 
 def validate_envelopes(df: DataFrame, doc_type: str, raw: str = "raw") -> DataFrame:
     """Add ``data``, ``field_confidences``, ``warnings`` and ``reasons``.
 
     ``reasons`` is empty exactly when the envelope is acceptable; the other three are null
-    otherwise.
+    otherwise. Each value is visited once and gives both its typed form and its problem.
     """
     schema = envelope(doc_type)
-    parsed = compute_once(df, _v=F.try_parse_json(raw))
-    v = F.col("_v")
-    reasons = (
-        F.when(v.isNull(), F.array(F.lit("invalid_json")))
-        .when(_kind(v) != "OBJECT", F.array(F.lit("type:envelope")))
-        .otherwise(F.array_sort(F.array_distinct(_problems(v, schema))))
-    )
-    checked = compute_once(parsed, reasons=reasons)
-    ok = F.size("reasons") == 0
-    typed = compute_once(checked, _r=F.when(ok, _record(v, schema)))
-    return typed.select(
+
+    def refused(reason: str) -> Column:
+        return F.struct(
+            F.lit(None).cast(struct_type(schema)).alias("r"), F.array(F.lit(reason)).alias("e")
+        )
+
+    def check(x: Column) -> Column:
+        return (
+            F.when(x["v"].isNull(), refused("invalid_json"))
+            .when(x["m"].isNull(), refused("type:envelope"))
+            .otherwise(_object(x["v"], x["m"], "", schema))
+        )
+
+    def opened(v: Column) -> Column:
+        return let(F.struct(v.alias("v"), _as_map(v).alias("m")), check)
+
+    checked = compute_once(df, _c=let(F.try_parse_json(raw), opened))
+    ok = F.size("_c.e") == 0
+    return checked.select(
         *df.columns,
-        F.col("_r.data").alias("data"),
-        F.col("_r.field_confidences").alias("field_confidences"),
-        F.col("_r.warnings").alias("warnings"),
-        "reasons",
+        *[
+            F.when(ok, F.col(f"_c.r.{name}")).alias(name)
+            for name in ("data", "field_confidences", "warnings")
+        ],
+        F.array_sort(F.array_distinct("_c.e")).alias("reasons"),
     )
 
 

@@ -103,7 +103,7 @@ def selfcheck_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = invoices.truth_invoices(spark, sf_dir)
     predictions = infer.selfcheck_predictions(truth, "invoice")
     pairs = score.pair_documents(truth, predictions, [("selfcheck", None)])
-    stats = score.field_stats(score.score_documents(pairs, "invoice"))
+    stats = score.field_stats(pairs, "invoice")
     return stats.select("dataset", "path", "tp", "fp", "fn", "tn", "f1")
 
 

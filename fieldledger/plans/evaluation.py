@@ -8,30 +8,32 @@ from fieldledger.operators import score
 from fieldledger.plans import invoices
 
 
-def scored_invoices(spark: SparkSession, sf_dir: str, detail: bool = False, runs=invoices.RUNS):
+def invoice_pairs(spark: SparkSession, sf_dir: str, runs=invoices.RUNS) -> DataFrame:
     pairs = score.pair_documents(
         invoices.truth_invoices(spark, sf_dir), invoices.predicted_invoices(spark, sf_dir), runs
     )
-    return score.score_documents(score.with_cost(pairs), "invoice", detail)
+    return score.with_cost(pairs)
 
 
 def eval_field_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.field_stats(scored_invoices(spark, sf_dir))
+    return score.field_stats(invoice_pairs(spark, sf_dir), "invoice")
 
 
 def eval_field_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = scored_invoices(spark, sf_dir, detail=True, runs=invoices.RUNS[:1])
-    return score.outcome_rows(scored).where("outcome <> 'ERROR'").drop("score", "cost_usd")
+    pairs = invoice_pairs(spark, sf_dir, runs=invoices.RUNS[:1])
+    rows = score.outcome_rows(score.score_documents(pairs, "invoice", detail=True))
+    return rows.where("outcome <> 'ERROR'").drop("score", "cost_usd")
 
 
 def eval_doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.doc_stats(scored_invoices(spark, sf_dir))
+    return score.doc_stats(invoice_pairs(spark, sf_dir), "invoice")
 
 
 def eval_micro_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = score.micro_macro(score.field_counts(scored_invoices(spark, sf_dir)))
+    out = score.micro_macro(score.field_counts(invoice_pairs(spark, sf_dir), "invoice"))
     return out.withColumn("macro_f1", F.round("macro_f1", 9))
 
 
 def eval_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.run_summary(score.run_statistics(scored_invoices(spark, sf_dir)), "invoice")
+    stats = score.run_statistics(invoice_pairs(spark, sf_dir), "invoice")
+    return score.run_summary(stats, "invoice")

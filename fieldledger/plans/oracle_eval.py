@@ -202,8 +202,7 @@ STATEMENTS = {
        outcome, round(1000e0 + r % 997, 1) AS latency_ms
 FROM counted WHERE model = 'alpha' AND error IS NULL AND outcome <> 'TN'""",
     "eval_doc_stats": BASE
-    + """SELECT model, effort, dataset, doc_id, error, CAST(fields_correct AS INTEGER)
-       AS fields_correct, CAST(fields_total AS INTEGER) AS fields_total, exact_match
+    + """SELECT model, effort, dataset, doc_id, error, fields_correct, fields_total, exact_match
 FROM doc_stats""",
     "eval_micro_macro": BASE
     + """SELECT model, effort, dataset, tp, fp, fn, micro_precision, micro_recall, micro_f1,

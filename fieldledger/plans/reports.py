@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fieldledger.operators import report, rollup, score
 from fieldledger.operators.score import RUN
-from fieldledger.plans.evaluation import eval_run_summary, scored_invoices
+from fieldledger.plans.evaluation import eval_run_summary, invoice_pairs
 
 SPECS = ("alpha:minimal", "beta", "gamma:high")
 
@@ -50,7 +50,7 @@ def run_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_field_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = report.field_table(score.field_stats(scored_invoices(spark, sf_dir)))
+    table = report.field_table(score.field_stats(invoice_pairs(spark, sf_dir), "invoice"))
     place = F.row_number().over(Window.partitionBy(*RUN).orderBy(*report.report_order()))
     return table.select(
         *RUN, place.cast("bigint").alias("place"), "field", "field_type", "tp", "fp", "fn", "tn", "support"

@@ -139,16 +139,18 @@ def write_markdown(
     )
 
 
-def write_reports(scored: DataFrame, doc_type: str, path: str) -> dict[str, str]:
-    """All three reports of every run. ``scored`` must carry details; it is read several times,
-    so give a persisted or stored table when it is expensive."""
-    stats = score.field_stats(scored)
-    summary = score.run_summary(score.run_statistics(scored), doc_type)
+def write_reports(pairs: DataFrame, doc_type: str, path: str) -> dict[str, str]:
+    """All three reports of every run. ``pairs`` (with cost) is read several times, so give a
+    persisted or stored table when it is expensive."""
+    stats = score.field_stats(pairs, doc_type)
+    summary = score.run_summary(score.run_statistics(pairs, doc_type), doc_type)
+    outcomes = score.outcome_rows(score.score_documents(pairs, doc_type, detail=True))
     out = {k: f"{path}/{k}" for k in ("per_record", "summary", "markdown")}
     stamp = _now()
-    write_per_record(score.outcome_rows(scored), doc_type, out["per_record"])
+    write_per_record(outcomes, doc_type, out["per_record"])
     write_summary(summary, stats, doc_type, out["summary"], stamp)
-    write_markdown(summary, stats, score.doc_stats(scored), doc_type, out["markdown"], stamp)
+    docs = pairs.select(*RUN, "doc_id", "error")
+    write_markdown(summary, stats, docs, doc_type, out["markdown"], stamp)
     return out
 
 

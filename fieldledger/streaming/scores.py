@@ -31,8 +31,8 @@ def start_scoring(
     **trigger,
 ) -> StreamingQuery:
     def store(batch: DataFrame, number: int) -> None:
-        scored = score.score_documents(arrived(truth, batch), doc_type)
-        score.field_counts(scored).write.mode("overwrite").parquet(f"{counts}/batch={number}")
+        part = score.field_counts(arrived(truth, batch), doc_type)
+        part.write.mode("overwrite").parquet(f"{counts}/batch={number}")
 
     return (
         predictions.writeStream.foreachBatch(store)
