@@ -84,10 +84,11 @@ def run_extractor(
 
         for frame in frames:
             results = [one(r) for r in frame.to_dict("records")]
-            out = pd.DataFrame(results, columns=names, index=frame.index)
-            out["input_tokens"] = out["input_tokens"].astype("Int64")
-            out["output_tokens"] = out["output_tokens"].astype("Int64")
-            yield pd.concat([frame[keep], out], axis=1)
+            columns = {c: frame[c] for c in keep}
+            for name in names:
+                values = [r.get(name) for r in results]
+                columns[name] = pd.Series(values, index=frame.index, dtype=object)
+            yield pd.DataFrame(columns)
 
     if max_concurrent:
         records = records.repartition(max_concurrent)
