@@ -180,13 +180,15 @@ def pair_documents(
     )
 
 
-def unfold(rows: DataFrame, keys: Sequence[Column | str], entries: Column) -> DataFrame:
+def unfold(rows: DataFrame, keys: Sequence[str], entries: Column) -> DataFrame:
     """One row per array entry.
 
     The outer form is used because the inner one makes the optimizer add a ``size > 0`` filter
-    below the generator, which would compute the whole array a second time.
+    below the generator, which would compute the whole array a second time. The array is built
+    in a projection of its own, which is compiled even where a generator's input is not.
     """
-    return rows.select(*keys, F.inline_outer(entries)).where(F.col("path").isNotNull())
+    made = rows.select(*keys, entries.alias("_entries"))
+    return made.select(*keys, F.inline_outer("_entries")).where(F.col("path").isNotNull())
 
 
 def score_documents(
@@ -393,23 +395,32 @@ def doc_stats(
     """
     carry = [*keys, "doc_id", "error", *extra]
     carry += [c for c in ("effort_key",) if c in pairs.columns]
-    rows = compared_rows(pairs, doc_type, carry)
-    undecided = F.struct("p", "t")
     outcome = F.col("outcome")
-    per_doc = rows.groupBy(*carry).agg(
-        F.count_if(outcome == "TP").alias("hits"),
-        F.count_if(outcome.isNull() | ~outcome.isin("TN", "SKIP")).alias("scored"),
-        F.collect_list(F.when(outcome.isNull(), undecided)).alias("undecided"),
+    # One group per document, plus one per text pair that still needs its edit distance.
+    groups = (
+        compared_rows(pairs, doc_type, carry)
+        .groupBy(*carry, "p", "t")
+        .agg(
+            F.count_if(outcome == "TP").alias("hits"),
+            F.count_if(outcome.isNull() | ~outcome.isin("TN", "SKIP")).alias("scored"),
+            F.count("*").alias("n"),
+        )
     )
-    late = F.filter(pair_similarities("undecided"), lambda x: x >= compare.TEXT_THRESHOLD)
+    late = _late_outcome(F.col("p"), F.col("t"))
+    settled = groups.withColumn("late", F.when(F.col("p").isNotNull(), late))
+    hits = F.col("hits") + F.when(F.col("late") == "TP", F.col("n")).otherwise(0)
     ok = F.col("error").isNull()
-    counted = per_doc.withColumn("late", F.size(late)).select(
-        *keys,
-        "doc_id",
-        "error",
-        *extra,
-        F.when(ok, F.col("hits") + F.col("late")).otherwise(0).alias("fields_correct"),
-        F.when(ok, F.col("scored")).otherwise(0).alias("fields_total"),
+    counted = (
+        settled.groupBy(*carry)
+        .agg(F.sum(hits).alias("hits"), F.sum("scored").alias("scored"))
+        .select(
+            *keys,
+            "doc_id",
+            "error",
+            *extra,
+            F.when(ok, F.col("hits")).otherwise(0).alias("fields_correct"),
+            F.when(ok, F.col("scored")).otherwise(0).alias("fields_total"),
+        )
     )
     total = F.col("fields_total")
     exact = ok & (total > 0) & (F.col("fields_correct") == total)

@@ -14,4 +14,6 @@ def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
     out of a one-row generator cannot be substituted that way.
     """
     row = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return df.select(*[c for c in df.columns if c not in columns], F.inline_outer(F.array(row)))
+    kept = [c for c in df.columns if c not in columns]
+    # Built in a projection, which is compiled; a generator's own input may not be.
+    return df.select(*kept, F.array(row).alias("_row")).select(*kept, F.inline_outer("_row"))
