@@ -390,8 +390,8 @@ def doc_stats(
 ) -> DataFrame:
     """Per document: fields right, fields scored, all right.
 
-    Grouping by the keys the two sides were joined on keeps the join's partitioning, so no
-    further shuffle is needed for documents that come from ``pair_documents``.
+    The first grouping is by the keys the two sides were joined on, so it keeps the join's
+    partitioning; what is shuffled afterwards is one short row per document.
     """
     carry = [*keys, "doc_id", "error", *extra]
     carry += [c for c in ("effort_key",) if c in pairs.columns]
