@@ -28,7 +28,9 @@ def frequent_digests(rows: DataFrame) -> DataFrame:
         F.expr(f"approx_top_k_accumulate(digest, {COUNTERS})").alias("summary")
     )
     candidates = (
-        partial.agg(F.expr(f"approx_top_k_combine(summary, {COUNTERS})").alias("summary"))
+        # Grouped, since a partition without summaries can't be merged.
+        partial.groupBy(F.lit(0).alias("all"))
+        .agg(F.expr(f"approx_top_k_combine(summary, {COUNTERS})").alias("summary"))
         .select(F.explode(F.expr(f"approx_top_k_estimate(summary, {HEAVY_LIMIT})")).alias("top"))
         .select(F.col("top.item").alias("digest"))
     )
