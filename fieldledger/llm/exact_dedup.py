@@ -21,9 +21,18 @@ HEAVY_LIMIT = 1000
 MERGE_GROUPS = 256
 
 
+def _group() -> list[Column]:
+    """Size of a group, its largest id, and one row that has it (any row where all ids are null)."""
+    return [
+        F.count("*").alias("group_size"),
+        F.max("id").alias("keep_id"),
+        F.coalesce(F.max_by("rid", "id"), F.max("rid")).alias("keep_rid"),
+    ]
+
+
 def frequent_digests(rows: DataFrame) -> DataFrame:
-    """Verified heavy digests: digest, group_size, keep (the row that stays). At most HEAVY_LIMIT."""
-    total = rows.agg(F.count("*").alias("total"))
+    """Verified heavy digests: digest, group_size, keep_id, keep_rid. At most HEAVY_LIMIT."""
+    total = rows.count()
     partial = rows.groupBy(F.expr(f"pmod(spark_partition_id(), {MERGE_GROUPS})").alias("g")).agg(
         F.expr(f"approx_top_k_accumulate(digest, {COUNTERS})").alias("summary")
     )
@@ -37,10 +46,8 @@ def frequent_digests(rows: DataFrame) -> DataFrame:
     return (
         rows.join(F.broadcast(candidates), "digest")
         .groupBy("digest")
-        .agg(F.count("*").alias("group_size"), F.max(F.struct("id", "rid")).alias("keep"))
-        .join(F.broadcast(total))
-        .filter((F.col("group_size") > 1) & (F.col("group_size") * HEAVY_LIMIT > F.col("total")))
-        .drop("total")
+        .agg(*_group())
+        .filter((F.col("group_size") > 1) & (F.col("group_size") * HEAVY_LIMIT > total))
     )
 
 
@@ -61,24 +68,21 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text: Column |
     )
     heavy = stored(frequent_digests(rows), "heavy")
     marked = rows.join(F.broadcast(heavy), "digest", "left")
-    settled = marked.filter(F.col("keep").isNotNull())
-    rest = marked.filter(F.col("keep").isNull()).select("digest", "id", "rid")
-    copies = (
-        rest.groupBy("digest")
-        .agg(F.count("*").alias("group_size"), F.max(F.struct("id", "rid")).alias("keep"))
-        .filter(F.col("group_size") > 1)
-    )
+    settled = marked.filter(F.col("keep_rid").isNotNull())
+    rest = marked.filter(F.col("keep_rid").isNull()).select("digest", "id", "rid")
+    copies = rest.groupBy("digest").agg(*_group()).filter(F.col("group_size") > 1)
     ordinary = rest.join(copies, "digest", "left").select(
         "digest",
         "id",
         "rid",
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.coalesce("keep", F.struct("id", "rid")).alias("keep"),
+        F.when(F.col("keep_rid").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("keep_rid", "rid").alias("keep_rid"),
     )
     return settled.select(*ordinary.columns).unionByName(ordinary).select(
         F.col("id").alias(id_column),
-        F.col("keep.id").alias("keep_id"),
+        "keep_id",
         "group_size",
-        (F.col("rid") == F.col("keep.rid")).alias("kept"),
+        (F.col("rid") == F.col("keep_rid")).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )

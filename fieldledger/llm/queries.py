@@ -6,23 +6,87 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldledger.llm import exact_dedup, oracles, sharding
-from fieldledger.llm.common import table
+from pyspark.sql import functions as F
+
+from fieldledger.llm import (
+    exact_dedup,
+    feistel,
+    licences,
+    oracles,
+    sharding,
+    spaced_seeds,
+    toxicity,
+    url_filter,
+    warc,
+)
+from fieldledger.llm.common import label_fold, table
 
 SHARDS = 40
+#: Key of the pseudonyms; a run that must keep them secret passes its own to the operator.
+PSEUDONYM_KEY = "public example key"
+#: The rules of the URL filter.
+URL_RULES = (
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+)
+
+
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
 def op2_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.build_derivatives(warc.page_responses(table(spark, sf_dir, "pages")))
+    return records.withColumnRenamed("doc_id", "page_id")
+
+
+def op4_spaced_seed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    patterns, _, classifier = toxicity.fit(docs, labels, label_fold(F.col("doc_id")) != 0)
+    score = toxicity.score_column(docs, patterns, classifier)
+    return docs.select(
+        "doc_id", F.coalesce(label_fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), score.alias("score")
+    ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = feistel.pseudonymise(docs, PSEUDONYM_KEY)
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind))
+    return out.select(
+        "doc_id", "text", F.size("found").alias("replaced"), *(count(k).alias(f"{k}_items") for k in feistel.LAYOUTS)
+    )
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filter.train(url_filter.default_labelled(spark))
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licence_scan": op1_licence_scan,
     "op2_rendezvous_shards": op2_rendezvous_shards,
+    "op3_warc_derivatives": op3_warc_derivatives,
+    "op4_spaced_seed_overlaps": op4_spaced_seed_overlaps,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_toxicity": op7_toxicity,
+    "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLES: dict[str, str] = dict(oracles.STATEMENTS)
