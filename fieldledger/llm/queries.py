@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldledger.llm import (
+    dart_minhash,
     exact_dedup,
     feistel,
     licences,
+    mixing,
     oracles,
     sharding,
     spaced_seeds,
@@ -24,6 +26,8 @@ from fieldledger.llm.common import label_fold, table
 SHARDS = 40
 #: Key of the pseudonyms; a run that must keep them secret passes its own to the operator.
 PSEUDONYM_KEY = "public example key"
+#: Target shares of the tokens by language.
+MIX_TARGETS = {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14}
 #: The rules of the URL filter.
 URL_RULES = (
     ("allow", "org/"),
@@ -55,6 +59,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     patterns, _, classifier = toxicity.fit(docs, labels, label_fold(F.col("doc_id")) != 0)
@@ -64,6 +72,21 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = mixing.choose_labelled(docs, table(spark, sf_dir, "labels"), F.col("lang"))
+    mixture, members = mixing.fit_mixture(docs, labelled, MIX_TARGETS)
+    rate = mixture.rate(F.col("p"))
+    return members.select(
+        "doc_id",
+        "tokens",
+        *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(mixture.model.domains)),
+        rate.alias("rate"),
+        (rate * F.col("tokens")).alias("expected_tokens"),
+        mixing.copies_column(rate, F.col("chance")).alias("copies"),
+    )
+
+
 def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = feistel.pseudonymise(docs, PSEUDONYM_KEY)
@@ -84,7 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_derivatives": op3_warc_derivatives,
     "op4_spaced_seed_overlaps": op4_spaced_seed_overlaps,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_dart_minhash": op6_dart_minhash,
     "op7_toxicity": op7_toxicity,
+    "op8_soft_mixing": op8_soft_mixing,
     "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
     "op10_url_filter": op10_url_filter,
 }

@@ -102,3 +102,9 @@ def assign_shards(
         (F.col("before") + F.col("place")).cast("long").alias("slot"),
         "grown_shard",
     )
+
+
+def with_shards(docs: DataFrame, shards: int = 40, key: str = "doc_id", weights: Sequence[float] | None = None) -> DataFrame:
+    """``docs`` with all columns and ``shard``; nothing is shuffled."""
+    weights = [1.0] * shards if weights is None else list(weights)
+    return docs.withColumn("shard", best_shard(F.array(*shard_scores(F.col(key), weights)), shards))
