@@ -21,9 +21,9 @@ from fieldledger.llm.common import mix64, stored, text_slices
 MASKS = ("11111", "1101011", "11001011", "101011001", "1000110101", "110000010011")
 #: Tokens of context kept on both sides of the outermost hits; hits nearer than twice that share a stretch.
 REACH = 64
-#: An overlap counts from so many tokens (or the whole item, if it is shorter) ...
+#: An overlap counts from so many tokens, of which this share is equal; every such overlap holds a
+#: whole window of some mask. A shorter item counts if all of it is there without a substitution.
 MIN_TOKENS = 13
-#: ... of which this share is equal.
 MIN_SIMILARITY = 0.8
 #: Bounds of the bitmap of benchmark hashes that travels to the tasks: at most 8 MiB, whatever the benchmark's size.
 MIN_BITS, MAX_BITS = 16, 26
@@ -72,12 +72,15 @@ def _item_tokens(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def hash_bitmap(windows: DataFrame) -> tuple[int, np.ndarray]:
-    """Bits, and a flag per hash prefix of that many bits that some window has."""
+    """Bits, and flags of the two places of that many bits that the hash of each window has."""
     found = windows.select(F.approx_count_distinct("hash").alias("n")).first()
-    bits = min(MAX_BITS, max(MIN_BITS, int(found.n * 32).bit_length()))
-    place = F.shiftrightunsigned("hash", 64 - bits)
+    bits = min(MAX_BITS, max(MIN_BITS, int(found.n * 256).bit_length()))
+    places = F.array(
+        F.shiftrightunsigned("hash", 64 - bits),
+        F.shiftrightunsigned("hash", 64 - 2 * bits).bitwiseAND(F.lit((1 << bits) - 1)),
+    )
     words = (
-        windows.select(place.alias("place"))
+        windows.select(F.explode(places).alias("place"))
         .groupBy(F.floor(F.col("place") / 64).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("present"))
     ).toPandas()
@@ -86,20 +89,24 @@ def hash_bitmap(windows: DataFrame) -> tuple[int, np.ndarray]:
     return bits, packed
 
 
+def _flagged(flags: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return ((flags[(places >> np.uint64(6)).astype(np.int64)] >> (places & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 def _stretches(bits: int, packed):
     """Task function: stretches of document tokens around positions whose hash may be known."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flags = packed.value
-        shift = np.uint64(64 - bits)
+        first, second, low = np.uint64(64 - bits), np.uint64(64 - 2 * bits), np.uint64((1 << bits) - 1)
         for rows in text_slices(batches):
             tokens, counts = tokens_of(rows.text)
             ends = np.cumsum(counts)
             at, hashes, masks = [], [], []
             for number, mask in enumerate(MASKS):
                 all_hashes = window_hashes(tokens, mask, number)
-                place = all_hashes >> shift
-                hit = np.flatnonzero((flags[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1))
+                hit = np.flatnonzero(_flagged(flags, all_hashes >> first))
+                hit = hit[_flagged(flags, (all_hashes[hit] >> second) & low)]
                 at.append(hit)
                 hashes.append(all_hashes[hit])
                 masks.append(np.full(len(hit), len(mask)))
@@ -136,27 +143,36 @@ def _stretches(bits: int, packed):
 
 
 def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int, int]:
-    """Best stretch when item position i lies on document position i + shift: start in the
-    document, start in the item, tokens, equal tokens. A match earns 1 - MIN_SIMILARITY and a
-    substitution costs MIN_SIMILARITY, so that the best sum is a stretch of at least that share."""
+    """Longest stretch of which MIN_SIMILARITY is equal when item position i lies on document
+    position i + shift: start in the document, start in the item, tokens, equal tokens. It begins
+    and ends with equal tokens. A match earns 1 - MIN_SIMILARITY and a substitution costs
+    MIN_SIMILARITY, so a stretch has that share if its sum is not negative."""
     lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-    equal = doc[lo + shift : hi + shift] == item[lo:hi]
-    if not len(equal):
+    equal = doc[lo + shift : hi + shift] == item[lo:hi] if hi > lo else np.empty(0, dtype=bool)
+    if not equal.any():
         return 0, 0, 0, 0
     gain = np.where(equal, round(100 * (1 - MIN_SIMILARITY)), -round(100 * MIN_SIMILARITY))
     total = np.concatenate([[0], np.cumsum(gain)])
-    lowest = np.minimum.accumulate(total)
-    stop = int(np.argmax(total - lowest))
-    start = int(np.flatnonzero(total[: stop + 1] == lowest[stop])[0])
+    starts, ends = np.flatnonzero(equal), np.flatnonzero(equal) + 1
+    lowest = np.minimum.accumulate(total[starts])  # falls, so the first start that is low enough is found by search
+    first = starts[np.searchsorted(-lowest, -total[ends], side="left")]
+    best = int(np.argmax(ends - first))
+    start, stop = int(first[best]), int(ends[best])
     return lo + start + shift, lo + start, stop - start, int(equal[start:stop].sum())
 
 
+def counts_as_overlap(tokens: int, equal: int, item_tokens: int) -> bool:
+    if item_tokens < MIN_TOKENS:
+        return equal == item_tokens
+    return tokens >= MIN_TOKENS and equal >= MIN_SIMILARITY * tokens
+
+
 def _verify(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for r in batch.itertuples(index=False):
             at, item_at, length, same = best_overlap(r.tokens, r.item_tokens, r.shift)
-            if length >= min(MIN_TOKENS, len(r.item_tokens)) and same >= MIN_SIMILARITY * length:
+            if counts_as_overlap(length, same, len(r.item_tokens)):
                 out.append((r.doc_id, r.item_id, r.start + at, item_at, length, same))
         yield pd.DataFrame(out, columns=["doc_id", "item_id", "doc_start", "item_start", "tokens", "equal_tokens"]).astype(
             "Int64"
