@@ -47,7 +47,11 @@ LEAD = (
     " under (?:the terms of )?(?:the |a |an )?"
 )
 #: Numbers and letters of lists at the start of a sentence.
-BULLET = "(?m)^(?:[0-9]+|[a-z]) "
+BULLET = "(?m)^(?:[0-9]+|[a-z])(?: |$)"
+#: Ends of sentences, ends of paragraphs, and a rough sign that a wrapped licence text is worth a second reading.
+SENTENCE_END = r"[.;:!?][ \t\r\n]+"
+PARAGRAPH_END = r"\n[ \t\r]*\n"
+LICENCE_WORDS = "licen[sc]e|permission|redistribution"
 
 #: Full licence sentences, normalised, by identifier.
 _SENTENCES = {
@@ -193,7 +197,7 @@ def scan_licences(
     sentences they match. licences: distinct names in rule order, joined by commas, empty if none;
     statements: matches of all rules; unmatched: known sentences that no rule took. Where a text
     has no licence with line breaks as ends, it is read again with line breaks as blanks, for
-    wrapped lines. Null and empty texts have no sentence. One pass, no shuffle.
+    wrapped lines; empty lines end a sentence then. Null and empty texts have no sentence. One pass, no shuffle.
     """
     known = known_sentences() if known is None else known
     rules = licence_rules() if rules is None else rules
@@ -204,8 +208,8 @@ def scan_licences(
     def sentences(wrapped: bool) -> Column:
         body = F.lower(F.coalesce(F.col(text), F.lit("")))
         if wrapped:
-            body = F.translate(body, "\r\n", "  ")
-        cut = F.regexp_replace(body, r"[.;:!?][ \t\r\n]+", "\n")
+            body = F.translate(F.regexp_replace(body, PARAGRAPH_END, ". "), "\r\n", "  ")
+        cut = F.regexp_replace(body, SENTENCE_END, "\n")
         plain = F.regexp_replace(cut, r"[^a-z0-9\n]+", " ")
         lines = F.regexp_replace(F.regexp_replace(plain, r" *\n *|^ | $", "\n"), BULLET, "")
         return F.when(lines.contains(" under "), F.regexp_replace(lines, LEAD, "under ")).otherwise(lines)
@@ -229,7 +233,7 @@ def scan_licences(
     read = docs.select(key, text)
     by_line = read.withColumn("lines", sentences(False)).withColumn("seq", _sequence("lines", known))
     by_line = by_line.withColumn("m", matched(F.col("seq")))
-    again = (F.size("m.names") == 0) & F.coalesce(F.lower(F.col(text)), F.lit("")).rlike("licen[sc]e|permission|redistribution")
+    again = (F.size("m.names") == 0) & F.coalesce(F.lower(F.col(text)), F.lit("")).rlike(LICENCE_WORDS)
     both = by_line.withColumn("lines2", F.when(again, sentences(True)))
     both = both.withColumn("seq2", F.when(F.col("lines2").isNotNull(), _sequence("lines2", known)))
     both = both.withColumn("m2", F.when(F.col("seq2").contains("<"), matched(F.col("seq2"))))

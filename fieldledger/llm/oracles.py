@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fieldledger.llm import licences
+
 SHARDS = 40
 SLOT_RUNS = 1024
 
@@ -45,7 +47,57 @@ FROM placed
 """
 
 
+def _licences() -> str:
+    known = ", ".join(f"'{s}': '<{i}>'" for s, i in licences.known_sentences().items())
+    rules = ", ".join(
+        f"{{'seq': '', 'names': ['{name}'], 'hits': 0, 'run': '{licences.rule_text(ids)}'}}"
+        for name, ids in licences.licence_rules()
+    )
+
+    def lines(body: str) -> str:
+        cut = f"regexp_replace({body}, '{licences.SENTENCE_END}', chr(10), 'g')"
+        plain = f"regexp_replace({cut}, '[^a-z0-9\\n]+', ' ', 'g')"
+        edged = f"regexp_replace({plain}, ' *\\n *|^ | $', chr(10), 'g')"
+        bare = f"regexp_replace({edged}, '{licences.BULLET}', '', 'g')"
+        return f"regexp_replace({bare}, '{licences.LEAD}', 'under ', 'g')"
+
+    def sequence(text: str) -> str:
+        ids = f"""list_transform(list_filter(string_split({text}, chr(10)), lambda s: s <> ''),
+          lambda s: coalesce(known[s], '~'))"""
+        return f"regexp_replace(array_to_string({ids}, ''), '~+', '~', 'g')"
+
+    def matched(seq: str) -> str:
+        return f"""list_reduce(list_prepend({{'seq': {seq}, 'names': []::VARCHAR[], 'hits': 0, 'run': ''}}, rules),
+          lambda a, r: {{'seq': replace(a.seq, r.run, '|'),
+            'names': CASE WHEN contains(a.seq, r.run) THEN list_concat(a.names, r.names) ELSE a.names END,
+            'hits': a.hits + ((length(a.seq) - length(replace(a.seq, r.run, '|'))) // (length(r.run) - 1))::INTEGER,
+            'run': ''}})"""
+
+    wrapped = f"translate(regexp_replace(body, '{licences.PARAGRAPH_END}', '. ', 'g'), chr(13) || chr(10), '  ')"
+    return f"""
+WITH tables AS (SELECT MAP {{{known}}} AS known, [{rules}] AS rules),
+docs AS (SELECT doc_id, lower(coalesce(text, '')) AS body FROM documents),
+once AS (SELECT doc_id, body, rules, known, {sequence(lines('body'))} AS seq FROM docs, tables),
+first AS (SELECT *, {matched('seq')} AS m FROM once),
+again AS (
+  SELECT *, CASE WHEN len(m.names) = 0 AND regexp_matches(body, '{licences.LICENCE_WORDS}')
+    THEN {sequence(lines(wrapped))} END AS seq2 FROM first),
+both AS (SELECT *, CASE WHEN contains(seq2, '<') THEN {matched('seq2')} END AS m2 FROM again),
+best AS (
+  SELECT doc_id, CASE WHEN len(m2.names) > 0 THEN m2 ELSE m END AS b,
+    CASE WHEN len(m2.names) > 0 THEN seq2 ELSE seq END AS s
+  FROM both)
+SELECT doc_id,
+  array_to_string(list_filter(b.names, lambda x, i: list_position(b.names, x) = i), ',') AS licences,
+  b.hits::BIGINT AS statements, (length(s) - length(replace(s, '<', '')))::BIGINT AS known_sentences,
+  (length(b.seq) - length(replace(b.seq, '<', '')))::BIGINT AS unmatched,
+  CASE WHEN contains(s, '<') THEN s ELSE '' END AS sequence
+FROM best
+"""
+
+
 STATEMENTS: dict[str, str] = {
+    "op1_licence_scan": _licences(),
     "op2_rendezvous_shards": _shards(),
     "op5_exact_dedup": """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents)

@@ -89,17 +89,19 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]])
 def ngrams(host: Column, path: Column) -> Column:
     """Marked character n-grams of host and path; digits count as one character."""
 
-    none = F.array().cast("array<string>")
+    def cut(chars: Column, mark: str) -> Column:
+        # By place in the array of characters: a substring would count from the start each time.
+        def at(n: int):
+            return lambda _, i: F.concat(F.lit(mark), *(F.get(chars, i + k) for k in range(n)))
 
-    def of(text: Column, mark: str, n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(text) - n + 1)
-        cut = F.transform(starts, lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(n))))
-        return F.when(F.length(text) >= n, cut).otherwise(none)
+        whole = [F.filter(F.transform(chars, at(n)), lambda g: g.isNotNull()) for n in SIZES]
+        return F.concat(*whole)
 
-    def marked(text: Column) -> Column:
-        return F.concat(F.lit("^"), F.translate(text, "123456789", "000000000"), F.lit("$"))
+    def of(text: Column, mark: str) -> Column:
+        text = F.concat(F.lit("^"), F.translate(text, "123456789", "000000000"), F.lit("$"))
+        return F.flatten(F.transform(F.array(F.split(text, "")), lambda chars: cut(chars, mark)))
 
-    return F.concat(*(of(marked(text), mark, n) for text, mark in ((host, "h:"), (path, "p:")) for n in SIZES))
+    return F.concat(of(host, "h:"), of(path, "p:"))
 
 
 def _features(urls: DataFrame) -> DataFrame:
