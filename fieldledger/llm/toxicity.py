@@ -58,12 +58,40 @@ SHAPES = {
 }
 
 _WORD = re.compile(r"[^\W\d_]+")
-_SHAPES = [re.compile(p) for p in SHAPES.values()]
+_SHAPES = {name: re.compile(p) for name, p in SHAPES.items()}
+_FACE = frozenset("you your u".split())
+_NAMES = frozenset("idiot moron loser clown fool scum trash".split())
+_HATE = frozenset("hate despise loathe".split())
+_ORDER = frozenset("shut go".split())
+_CAPITALS, _MARKS, _MASKS = re.compile("[A-Z]{4}"), re.compile("[!?]{3}"), re.compile("[*@#$]{2}")
 VOTERS = [*LEXICONS, *SHAPES, *(f"patterns {i}" for i in range(PATTERN_VOTERS))]
 
 
 def words_of(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    """Distinct runs of letters, in lower case."""
+    out = set()
+    for piece in set(text.lower().split()):
+        if piece.isalpha():
+            out.add(piece)
+        else:
+            out.update(_WORD.findall(piece))
+    return out
+
+
+def shapes_of(text: str, words: set[str]) -> list[bool]:
+    """Which SHAPES a text has; each is searched only where its words or marks occur at all."""
+
+    def said(name: str) -> bool:
+        return _SHAPES[name].search(text.lower()) is not None
+
+    return [
+        not _FACE.isdisjoint(words) and not _NAMES.isdisjoint(words) and said("named to the face"),
+        not _ORDER.isdisjoint(words) and said("shut up"),
+        not _HATE.isdisjoint(words) and said("hate"),
+        _CAPITALS.search(text) is not None and _SHAPES["shouting"].search(text) is not None,
+        _MARKS.search(text) is not None,
+        _MASKS.search(text) is not None and _SHAPES["masked word"].search(text) is not None,
+    ]
 
 
 def patterns_of(words: Iterable[str]) -> set[str]:
@@ -148,9 +176,8 @@ def vote(text: str, words: set[str], found: set[int]) -> int:
     for i, lexicon in enumerate(LEXICON_SETS):
         if not lexicon.isdisjoint(words):
             bits |= 1 << i
-    for i, shape in enumerate(_SHAPES):
-        if shape.search(text):
-            bits |= 1 << (len(LEXICON_SETS) + i)
+    for i, there in enumerate(shapes_of(text, words)):
+        bits |= there << (len(LEXICON_SETS) + i)
     for p in found:
         bits |= 1 << (len(LEXICON_SETS) + len(_SHAPES) + p % PATTERN_VOTERS)
     return bits
@@ -231,29 +258,49 @@ def _model(moments: np.ndarray, discount: np.ndarray) -> LabelModel:
     )
 
 
+def shared_evidence(moments: np.ndarray) -> np.ndarray:
+    """One plus the summed dependence of each voter on the others.
+
+    If voters only agree because of the class, their covariances are a_i x a_j. Each a_i is the
+    lower quartile over pairs j, k of cov_ij cov_ik / cov_jk, which dependent pairs only raise; what
+    a pair's covariance has above a_i x a_j, as a correlation of 0.1 or more, is their dependence.
+    """
+    m = len(VOTERS)
+    both = moments.sum(axis=0)
+    total = both[0] + 1
+    rate, joint = both[1 : 1 + m] / total, both[1 + m :].reshape(m, m) / total
+    cov = joint - np.outer(rate, rate)
+    spread = np.sqrt(np.maximum(np.diag(cov), 0))
+    alive = np.flatnonzero(spread > 0)
+    pull = np.zeros(m)
+    for i in alive:
+        others = alive[alive != i]
+        j, k = (others[x] for x in np.triu_indices(len(others), 1))
+        sure = cov[j, k] > 1e-9
+        if sure.any():
+            pull[i] = np.sqrt(max(0.0, np.quantile((cov[i, j] * cov[i, k])[sure] / cov[j, k][sure], 0.25)))
+    scale = np.outer(spread, spread) + 1e-12
+    extra = np.clip((cov - np.outer(pull, pull)) / scale, 0, 1)
+    np.fill_diagonal(extra, 0)
+    extra[extra < 0.1] = 0
+    return 1 + extra.sum(axis=1)
+
+
 def fit_label_model(votes: DataFrame) -> LabelModel:
     """Two-class label model of the vote counts (votes, label or -1, n), by EM.
 
-    Rows with a label keep it. The start takes every voter for a little toxic. Each round is one
-    aggregate of a fixed number of sums. At the end the correlation of each pair of voters within
-    the classes is measured, and a voter's evidence is divided by one plus its positive
-    correlations, so that voters that repeat each other don't count twice.
+    The voters' dependences are measured first; in all posteriors a voter's evidence is divided by
+    one plus its dependence, so that voters that repeat each other don't count twice. Rows with a
+    label keep it. The start takes every voter for a little toxic. Each round is one aggregate of a
+    fixed number of sums.
     """
     m = len(VOTERS)
     model = LabelModel(-2.5, np.full(m, 1.5), np.full(m, -0.05))
-    none = np.ones(m)
+    discount = shared_evidence(_collect_moments(votes, model, pairs=True))
+    model = LabelModel(model.bias, model.fire / discount, model.silent / discount)
     for _ in range(EM_ROUNDS):
-        model = _model(_collect_moments(votes, model), none)
-    moments = _collect_moments(votes, model, pairs=True)
-    count, rate = moments[:, :1] + 1, moments[:, 1 : 1 + m] / (moments[:, :1] + 1)
-    both = moments[:, 1 + m :].reshape(2, m, m) / count[:, :, None]
-    spread = np.sqrt(rate * (1 - rate)) + 1e-9
-    corr = (both - rate[:, :, None] * rate[:, None, :]) / (spread[:, :, None] * spread[:, None, :] + 1e-9)
-    share = (count / count.sum()).reshape(2, 1, 1)
-    mean = np.clip((corr * share).sum(axis=0), 0, 1)
-    np.fill_diagonal(mean, 0)
-    mean[mean < 0.1] = 0  # weaker ones are noise
-    return _model(moments[:, : 1 + m], 1 + mean.sum(axis=1))
+        model = _model(_collect_moments(votes, model), discount)
+    return model
 
 
 def _sample_features(patterns) -> Callable:
@@ -337,4 +384,4 @@ def score_column(docs: DataFrame, patterns: Patterns, classifier: Classifier, te
                 scores.append(model.score(vote(t, words, found), found))
             yield pd.Series(scores, dtype="float64")
 
-    return F.pandas_udf(score, "double", F.PandasUDFType.SCALAR_ITER)(F.col(text))
+    return F.pandas_udf(score, "double")(F.col(text))
