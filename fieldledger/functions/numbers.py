@@ -50,9 +50,19 @@ def round_exact(c: Column, places: int) -> Column:
         midpoint = below * 2.0 + 1.0 - whole * F.lit(scale)
         side = (coarse * F.lit(scale) - midpoint) + (size - whole - coarse) * F.lit(scale)
         near_tie = F.abs(scaled - below - 0.5) < 1e-3
+
+        def settle_large(v: Column) -> Column:
+            below, rest = F.floor(v["part"]).cast("double"), v["part"] - F.floor(v["part"])
+            odd = (v["whole"] * (unit % 2) + below) % 2 == 1
+            up = (rest > 0.5) | ((rest == 0.5) & odd)
+            return F.signum(x) * (v["whole"] + F.when(up, below + 1.0).otherwise(below) / F.lit(unit))
+
+        # Above 2**40 the fraction has so few bits that its product with the unit is exact.
+        large = let(F.struct(whole.alias("whole"), ((size - whole) * F.lit(unit)).alias("part")), settle_large)
         exact = let(F.struct(below.alias("below"), side.alias("side")), settle)
         return (
-            F.when(F.isnan(x) | (scaled > 2.0**40), F.round(x, places))
+            F.when(F.isnan(x) | (size >= 2.0**53), x)
+            .when(scaled > 2.0**40, large)
             .when(near_tie, exact)
             .otherwise(from_scaled(F.floor(scaled + 0.5)))
         )

@@ -56,9 +56,10 @@ def normalize(c: Column) -> Column:
     return F.lower(strip(c))
 
 
-def snippet(c: Column, limit: int = 2000) -> Column:
-    """Leading piece of the source text kept beside an extraction; null when there is none."""
-    return blank_to_null(F.substring(c, 1, limit))
+def snippet(c: Column, limit: int | None = None) -> Column:
+    """Source text kept beside an extraction, at most its first ``limit`` characters (default:
+    all of it); null when there is none."""
+    return blank_to_null(c if limit is None else F.substring(c, 1, limit))
 
 
 def ascii_json(c: Column) -> Column:

@@ -9,13 +9,13 @@ from fieldledger.schemas import doc_type_names
 
 # Limits, accepted extensions and MIME types, and the codes of each refusal.
 MAX_BYTES = 10 * 1024 * 1024
-EXTENSIONS = ".pdf .png .jpg .jpeg .webp .bmp .tiff .tif .txt".split()
+EXTENSIONS = (".pdf", ".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tiff", ".tif", ".txt")
 MIME_TYPES = (
-    "application/pdf image/png image/jpeg image/jpg image/webp image/bmp image/tiff "
-    "application/octet-stream text/plain"
-).split()
-IMAGE_EXTENSIONS = ".png .jpg .jpeg .webp .bmp .tiff .tif".split()
-TEXT_EXTENSIONS = ".txt .text .md .log".split()
+    "application/pdf", "image/png", "image/jpeg", "image/jpg", "image/webp", "image/bmp", "image/tiff",
+    "application/octet-stream", "text/plain",
+)
+IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tiff", ".tif")
+TEXT_EXTENSIONS = (".txt", ".text", ".md", ".log")
 REFUSALS = {
     "unsupported_doc_type": 400,
     "unsupported_media_type": 415,
@@ -30,33 +30,40 @@ def suffix(filename: Column) -> Column:
     return F.lower(F.regexp_extract(base, r"[^.]\.*(\.[^.]+)$", 1))
 
 
-def admit(
-    df: DataFrame,
+def verdict(
     filename: str = "filename",
     length: str = "length",
     doc_type: str = "doc_type",
     content_type: str = "content_type",
     refuse_empty: bool = True,
-) -> DataFrame:
-    """Add ``refusal`` and ``status``: null and 200 when the file may be extracted.
+    max_bytes: int | None = MAX_BYTES,
+) -> tuple[Column, Column]:
+    """``refusal`` and ``status``: null and 200 when the file may be extracted.
 
     Only metadata is looked at, so the file content is never read. Batches skip the check for
-    empty files (``refuse_empty=False``).
+    empty files (``refuse_empty=False``); ``max_bytes=None`` accepts files of any size.
     """
     mime = F.coalesce(F.col(content_type), F.lit(""))
     checks = [
         ("unsupported_doc_type", ~doc_type_key(F.col(doc_type)).isin(doc_type_names())),
-        ("unsupported_media_type", ~suffix(F.col(filename)).isin(EXTENSIONS)),
-        ("unsupported_media_type", (mime != "") & ~mime.isin(MIME_TYPES)),
+        ("unsupported_media_type", ~suffix(F.col(filename)).isin(*EXTENSIONS)),
+        ("unsupported_media_type", (mime != "") & ~mime.isin(*MIME_TYPES)),
     ]
     if refuse_empty:
         checks.append(("empty_document", F.col(length) == 0))
-    checks.append(("file_too_large", F.col(length) > MAX_BYTES))
+    if max_bytes is not None:
+        checks.append(("file_too_large", F.col(length) > max_bytes))
     refusal, status = F.lit(None).cast("string"), F.lit(200)
     for code, refused in reversed(checks):
         failed = F.coalesce(refused, F.lit(True))
         refusal = F.when(failed, code).otherwise(refusal)
         status = F.when(failed, REFUSALS[code]).otherwise(status)
+    return refusal, status
+
+
+def admit(df: DataFrame, **options) -> DataFrame:
+    """Add ``refusal`` and ``status``; the options are those of ``verdict``."""
+    refusal, status = verdict(**options)
     return df.select("*", refusal.alias("refusal"), status.alias("status"))
 
 
@@ -71,9 +78,9 @@ def route(df: DataFrame, filename: str = "filename", content: str = "content") -
     # No built-in decodes leniently under ANSI mode, except this one.
     decoded = strip(F.make_valid_utf8(F.col(content).cast("string")))
     source_type = (
-        F.when(ext.isin(IMAGE_EXTENSIONS), "image")
+        F.when(ext.isin(*IMAGE_EXTENSIONS), "image")
         .when((ext == ".pdf") | magic, "pdf")
-        .when(ext.isin(TEXT_EXTENSIONS) & (decoded != ""), "text")
+        .when(ext.isin(*TEXT_EXTENSIONS) & (decoded != ""), "text")
         .otherwise("empty")
     )
     typed = df.withColumn("source_type", source_type)

@@ -187,7 +187,9 @@ def sidecar(latest: DataFrame, texts: DataFrame) -> DataFrame:
     ``latest``: ticker and the columns of ``latest_annual``; ``texts``: cik10, text,
     has_companyfacts.
     """
-    return latest.join(texts, "cik10").select(
+    # Lengths first, so that the join moves no text.
+    lengths = texts.select("cik10", F.length("text").alias("text_bytes"), "has_companyfacts")
+    return latest.join(lengths, "cik10").select(
         F.upper("ticker").alias("ticker"),
         "cik10",
         "company_name",
@@ -197,7 +199,7 @@ def sidecar(latest: DataFrame, texts: DataFrame) -> DataFrame:
         "reporting_period_end",
         "primary_doc",
         archive_url(F.col("cik10"), F.col("accession"), F.col("primary_doc")).alias("source_url"),
-        F.length("text").alias("text_bytes"),
+        "text_bytes",
         "has_companyfacts",
         "exchange",
         "state_of_incorporation",
@@ -208,11 +210,14 @@ def sidecar(latest: DataFrame, texts: DataFrame) -> DataFrame:
 def filing_truth(
     texts: DataFrame, sidecars: DataFrame, figures: DataFrame, key: str = "stem"
 ) -> DataFrame:
-    """id, source, text, ground_truth. Texts without a sidecar are left out."""
+    """id, source, text, ground_truth. Texts without a sidecar are left out.
+
+    ``figures`` has one row per ``key`` and ``fy_end``; those of the sidecar's period are taken.
+    """
     types = struct_type(FILING, raw=True)
-    joined = texts.join(sidecars, key).join(
-        figures.withColumnRenamed("currency", "fin_currency"), key, "left"
-    )
+    of_period = figures.withColumnsRenamed({"currency": "fin_currency", "fy_end": "reporting_period_end"})
+    # The narrow tables first; the texts join them once.
+    joined = texts.join(sidecars.join(of_period, [key, "reporting_period_end"], "left"), key)
 
     def group(name: str, values: dict[str, Column]) -> Column:
         fields = types[name].dataType.fields

@@ -12,15 +12,15 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fieldledger.functions.text import blank_to_null
 
 # Retry limits, pauses in seconds, and the cap on concurrent calls.
-MAX_RETRIES = 3
+MAX_ATTEMPTS = 3
 FIRST_PAUSE = 1.0
 LONGEST_PAUSE = 10.0
-MAX_CONCURRENT = 5
 
 RESULT_FIELDS = [
     T.StructField("raw", T.StringType()),
@@ -39,15 +39,15 @@ class Retryable(Exception):
 def call_with_retry(
     extract: Callable[[dict], dict],
     record: dict,
-    retries: int = MAX_RETRIES,
+    attempts: int = MAX_ATTEMPTS,
     pause: Callable[[float], Any] = time.sleep,
 ) -> dict:
     wait = FIRST_PAUSE
-    for attempt in range(retries + 1):
+    for attempt in range(1, attempts + 1):
         try:
             return extract(record)
         except Retryable:
-            if attempt == retries:
+            if attempt == attempts:
                 raise
             pause(wait)
             wait = min(wait * 2, LONGEST_PAUSE)
@@ -58,14 +58,14 @@ def run_extractor(
     records: DataFrame,
     make_extractor: Callable[[], Callable[[dict], dict]],
     keep: list[str],
-    retries: int = MAX_RETRIES,
-    max_concurrent: int | None = None,
+    attempts: int = MAX_ATTEMPTS,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """The ``keep`` columns of every record with raw, model, tokens, latency_ms and error.
 
-    ``max_concurrent`` limits the calls in flight by the number of partitions (the service's
-    limit, e.g. ``MAX_CONCURRENT``); by default the input's partitioning stands. Filter before
-    calling this: nothing is pushed through the Python stage.
+    Calls in flight are as many as tasks run at once. ``profile`` bounds them for this stage (a
+    task that asks for more CPUs leaves room for fewer), without moving the input into a few
+    tasks. Filter before calling this: nothing is pushed through the Python stage.
     """
     schema = T.StructType([records.schema[c] for c in keep] + RESULT_FIELDS)
     names = [f.name for f in RESULT_FIELDS]
@@ -76,7 +76,7 @@ def run_extractor(
         def one(record: dict) -> dict:
             started = time.perf_counter()
             try:
-                out = dict(call_with_retry(extract, record, retries))
+                out = dict(call_with_retry(extract, record, attempts))
                 out.setdefault("latency_ms", (time.perf_counter() - started) * 1000)
                 return out
             except Exception as failure:  # isolated per record by design
@@ -90,9 +90,7 @@ def run_extractor(
                 columns[name] = pd.Series(values, index=frame.index, dtype=object)
             yield pd.DataFrame(columns)
 
-    if max_concurrent:
-        records = records.repartition(max_concurrent)
-    return records.mapInPandas(batches, schema)
+    return records.mapInPandas(batches, schema, profile=profile)
 
 
 def resolve_documents(records: DataFrame, files: DataFrame | None = None) -> DataFrame:

@@ -6,8 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Item statuses, and the stages of one request in order.
-ITEM_STATUSES = ("pending", "running", "done", "error")
+# The stages of one request in order.
 STAGES = ("starting", "loading", "model_call", "validated", "result", "error", "done")
 
 

@@ -6,16 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldledger.functions.text import strip
 
-# The item numbers that count as headings, the shape of a heading, and the
-# character limits of the request blocks.
-ITEM_IDS = "1 1A 1B 1C 2 3 4 5 6 7 7A 8 9 9A 9B 10 11 12 13 14 15".split()
+# The item numbers that count as headings, and the shape of a heading.
+ITEM_IDS = (
+    "1", "1A", "1B", "1C", "2", "3", "4", "5", "6", "7", "7A", "8", "9", "9A", "9B", "10", "11", "12", "13", "14", "15",
+)
 HEADING = (
     r"(?iU)(?:^|\n)\s{0,6}item\s+(?:" + "|".join(ITEM_IDS) + r")\b\s*[.\-–—:)]?"
 )
-COVER_CHARS = 4_000
-REQUEST_COVER_CHARS = 6_000
-REQUEST_ITEM_CHARS = 60_000
-HEADING_CHARS = 120
 
 SECTION_TYPE = "array<struct<item:string,heading:string,text:string,start:int,end:int>>"
 
@@ -31,9 +28,23 @@ def _kept_headings(ids: Column) -> Column:
     )
 
 
-def with_sections(df: DataFrame, text: str = "text", cover_chars: int = COVER_CHARS) -> DataFrame:
+def head(text: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters; None means all."""
+    return text if chars is None else F.substr(text, F.lit(1), F.lit(chars))
+
+
+def length_within(text: Column, chars: int | None) -> Column:
+    return F.length(text) if chars is None else F.least(F.length(text), F.lit(chars))
+
+
+def with_sections(
+    df: DataFrame, text: str = "text", cover_chars: int | None = None, heading_chars: int | None = None
+) -> DataFrame:
     """Add ``sections`` and ``cover``.
 
+    ``cover_chars`` limits the cover, ``heading_chars`` the heading of a last section that has no
+    line break after it; by default neither is cut.
+
     One scan collects the heading matches, a second one the pieces between them. A section is
     the run of pieces from its last heading to the next kept heading, so its offset is the total
     length of the pieces before it. Everything stays inside the row: no shuffle, no Python.
@@ -83,7 +94,7 @@ def with_sections(df: DataFrame, text: str = "text", cover_chars: int = COVER_CH
         line = F.instr(rest, "\n")
         width = (
             F.when(line > 0, line - 1)
-            .when(x["last"], F.least(F.length(rest), F.lit(HEADING_CHARS)))
+            .when(x["last"], length_within(rest, heading_chars))
             .otherwise(F.length(rest))
         )
         return F.struct(
@@ -108,10 +119,8 @@ def with_sections(df: DataFrame, text: str = "text", cover_chars: int = COVER_CH
         .when(F.size(hits) == 0, whole)
         .otherwise(F.transform("_raw", section))
     )
-    limit = F.when(F.size(hits) == 0, F.lit(cover_chars)).otherwise(
-        F.least(F.lit(cover_chars), F.col("_first"))
-    )
-    cover = F.when(blank, "").otherwise(F.substr(t, F.lit(1), limit))
+    before = F.when(F.size(hits) == 0, F.length(t)).otherwise(F.col("_first"))
+    cover = F.when(blank, "").otherwise(head(F.substr(t, F.lit(1), before), cover_chars))
     return cut.withColumn("sections", sections).withColumn("cover", cover).drop(
         "_hits", "_gaps", "_kept", "_ids", "_raw", "_first"
     )
@@ -168,15 +177,20 @@ def document_message(text: Column) -> Column:
     )
 
 
-def filing_message(cover: Column, sections: Column | str = "sections") -> Column:
-    """User message of a filing: cover, Item 8 and Item 1A as labelled blocks."""
+def filing_message(
+    cover: Column, sections: Column | str = "sections", item_chars: int | None = None
+) -> Column:
+    """User message of a filing: cover, Item 8 and Item 1A as labelled blocks.
+
+    ``item_chars`` limits the text of each item; by default it is whole.
+    """
 
     def piece(item: str) -> Column:
         missing = f"(Item {item} not found in this filing.)"
-        return F.substr(section_text(item, missing, sections), F.lit(1), F.lit(REQUEST_ITEM_CHARS))
+        return head(section_text(item, missing, sections), item_chars)
 
     blocks = {
-        "cover": F.substr(cover, F.lit(1), F.lit(REQUEST_COVER_CHARS)),
+        "cover": cover,
         "8": piece("8"),
         "1A": piece("1A"),
     }
@@ -198,10 +212,20 @@ def prompt_for(doc_type: Column, prompts: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.lower(strip(doc_type)))
 
 
-def filing_requests(df: DataFrame, prompts: dict[str, str], text: str = "text") -> DataFrame:
-    """Messages for filings; the sections are cut from the whole text first."""
-    cut = with_sections(df, text, REQUEST_COVER_CHARS)
-    user = filing_message(F.col("cover"))
+def filing_requests(
+    df: DataFrame,
+    prompts: dict[str, str],
+    text: str = "text",
+    cover_chars: int | None = None,
+    item_chars: int | None = None,
+) -> DataFrame:
+    """Messages for filings; the sections are cut from the whole text first.
+
+    ``cover_chars`` and ``item_chars`` fit the blocks to a model's window; by default all of the
+    cover and of both items is sent.
+    """
+    cut = with_sections(df, text, cover_chars)
+    user = filing_message(F.col("cover"), item_chars=item_chars)
     return cut.withColumn("messages", chat(prompt_for(F.lit("filing"), prompts), user)).drop(
         "sections", "cover"
     )

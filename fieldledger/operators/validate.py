@@ -25,7 +25,6 @@ from fieldledger.schemas import Group, Items, Leaf, envelope, struct_type
 # Layouts of dates and times inside JSON, and the limit on the kept source text.
 ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ]00:00(?::00(?:\.0+)?)?)?$"
 ISO_TIME = r"^(?:[01][0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9](?:\.[0-9]{1,6})?)?$"
-SNIPPET_CHARS = 2000
 
 _CLEAN = {
     "strip": strip,
@@ -236,13 +235,15 @@ def overall_confidence(confidences: Column) -> Column:
     return F.when(n > 0, round_exact(total / n, 3)).otherwise(0.0)
 
 
-def extraction_results(accepted_rows: DataFrame, doc_type: str, text: str = "text") -> DataFrame:
+def extraction_results(
+    accepted_rows: DataFrame, doc_type: str, text: str = "text", snippet_chars: int | None = None
+) -> DataFrame:
     """Accepted envelopes wrapped with what is computed on our side."""
     return accepted_rows.select(
         "*",
         F.lit(doc_type).alias("document_type"),
         overall_confidence(F.col("field_confidences")).alias("overall_confidence"),
-        snippet(F.col(text), SNIPPET_CHARS).alias("raw_text_snippet"),
+        snippet(F.col(text), snippet_chars).alias("raw_text_snippet"),
     )
 
 

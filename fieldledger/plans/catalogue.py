@@ -37,6 +37,7 @@ QUERIES: dict[str, Query] = {
     "prepared_receipts": receipts.prepared_receipts,
     "first_flat_receipts": receipts.first_flat_receipts,
     "row_positions": receipts.row_positions,
+    "round_exact_large": receipts.round_exact_large,
     "sections": texts.section_rows,
     "sections_lookup": texts.sections_lookup,
     "filing_requests": texts.filing_requests,

@@ -20,9 +20,8 @@ def eval_field_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_field_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = invoice_pairs(spark, sf_dir, runs=invoices.RUNS[:1])
-    rows = score.outcome_rows(score.score_documents(pairs, "invoice", detail=True))
-    return rows.where("outcome <> 'ERROR'").drop("score", "cost_usd")
+    pairs = invoice_pairs(spark, sf_dir)
+    return score.outcome_rows(score.score_documents(pairs, "invoice", detail=True))
 
 
 def eval_doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

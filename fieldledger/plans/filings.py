@@ -136,7 +136,7 @@ def filing_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(True).alias("has_companyfacts"),
         ),
     ).withColumn("stem", F.col("cik10").cast("bigint"))
-    truth = filings.filing_truth(docs, notes, supplier_figures(spark, sf_dir).drop("fy_end"))
+    truth = filings.filing_truth(docs, notes, supplier_figures(spark, sf_dir))
     cover, money = "ground_truth.cover.", "ground_truth.financials."
     return truth.select(
         "id",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fieldledger.plans.oracle_similarity import similarity_ctes
+
 _ITEM_FIELDS = [
     # name, comparator, truth text, truth number, predicted text, predicted number
     ("description", "text", "p_name", "NULL", "p_desc", "NULL"),
@@ -197,10 +199,25 @@ def _shown(text: str, num: str) -> str:
 STATEMENTS = {
     "eval_field_stats": BASE + "SELECT * FROM field_stats",
     "eval_field_outcomes": BASE
-    + f"""SELECT model, effort, dataset, CAST(k AS VARCHAR) AS doc_id, path AS field,
-       ftype AS field_type, {_shown('ps', 'px')} AS predicted, {_shown('ts', 'tx')} AS truth,
-       outcome, round(1000e0 + r % 997, 1) AS latency_ms
-FROM counted WHERE model = 'alpha' AND error IS NULL AND outcome <> 'TN'""",
+    + "," + similarity_ctes(
+        "SELECT lower(trim(ps)) AS p, lower(trim(ts)) AS t FROM counted WHERE ftype = 'text' AND outcome = 'MISMATCH'"
+    )
+    + f"""
+SELECT model, effort, dataset, CAST(k AS VARCHAR) AS doc_id, path AS field,
+       ftype AS field_type, {_shown('ps', 'px')} AS predicted, {_shown('ts', 'tx')} AS truth, outcome,
+       CAST(printf('%.3f', CASE
+         WHEN outcome IN ('FN', 'FP') THEN 0e0
+         WHEN ftype = 'money' THEN greatest(0e0, 1e0 - abs(px - tx) / greatest(abs(tx), 1e0))
+         WHEN outcome = 'TP' THEN 1e0
+         WHEN ftype = 'text' THEN similarity ELSE 0e0 END) AS DOUBLE) AS score,
+       round(1000e0 + r % 997, 1) AS latency_ms,
+       CAST(printf('%.6f', (100 + r % 50) / 1000e0 * 0.00005e0 + (20 + r % 7) / 1000e0 * 0.0004e0) AS DOUBLE) AS cost_usd
+FROM counted LEFT JOIN similarities s
+  ON ftype = 'text' AND outcome = 'MISMATCH' AND p = lower(trim(ps)) AND t = lower(trim(ts))
+WHERE error IS NULL AND outcome <> 'TN'
+UNION ALL
+SELECT model, effort, dataset, doc_id, '__error__', '', '', '', 'ERROR', 0e0, NULL, NULL
+FROM doc_stats WHERE error IS NOT NULL""",
     "eval_doc_stats": BASE
     + """SELECT model, effort, dataset, doc_id, error, fields_correct, fields_total, exact_match
 FROM doc_stats""",

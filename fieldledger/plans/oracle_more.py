@@ -207,7 +207,8 @@ FROM combos c LEFT JOIN rolled r ON c.label = r.label""",
     "run_matrix": _ROLLED
     + """SELECT c.label, 'invoice' AS doc_type, d.dataset, s.n_docs, s.n_docs IS NOT NULL AS has_run
 FROM combos c CROSS JOIN (VALUES ('f'), ('o'), ('p'), ('x')) d(dataset)
-LEFT JOIN summary s ON s.model = c.model AND s.dataset = d.dataset""",
+LEFT JOIN summary s ON s.model = c.model AND s.effort IS NOT DISTINCT FROM c.effort
+  AND s.dataset = d.dataset""",
     "report_field_table": BASE
     + """SELECT model, effort, dataset, path AS field, ftype AS field_type, tp, fp, fn, tn, support,
        row_number() OVER (PARTITION BY model, effort, dataset
@@ -225,18 +226,7 @@ FROM customer LEFT JOIN judged ON job_id = c_custkey""",
     "job_progress_stream": _JOBS
     + "SELECT job_id, total, done, errors, pending, running, status FROM judged",
     "stage_timing": _STAGES + "SELECT * EXCLUDE (t5) FROM timing",
-    "stage_timing_stream": _STAGES + "SELECT * EXCLUDE (t5) FROM timing WHERE t5 IS NOT NULL",
+    "stage_timing_stream": _STAGES + "SELECT * EXCLUDE (t5) FROM timing",
     "incremental_scores": BASE
-    + """, arrived AS (SELECT * FROM counted WHERE error IS NULL OR error <> 'no prediction'),
-part_stats AS (
-  SELECT model, effort, dataset, path, count(*) FILTER (WHERE outcome = 'TP') AS tp,
-         count(*) FILTER (WHERE outcome IN ('FP', 'MISMATCH')) AS fp,
-         count(*) FILTER (WHERE outcome IN ('FN', 'MISMATCH')) AS fn,
-         count(*) FILTER (WHERE outcome = 'TN') AS tn FROM arrived GROUP BY ALL),
-pr AS (
-  SELECT *, CASE WHEN tp + fp = 0 THEN 0e0 ELSE tp::DOUBLE / (tp + fp)::DOUBLE END AS p,
-         CASE WHEN tp + fn = 0 THEN 0e0 ELSE tp::DOUBLE / (tp + fn)::DOUBLE END AS r
-  FROM part_stats)
-SELECT model, effort, dataset, path, tp, fp, fn, tn, tp + fn AS support,
-       CASE WHEN p + r = 0 THEN 0e0 ELSE 2e0 * p * r / (p + r) END AS f1 FROM pr""",
+    + "SELECT model, effort, dataset, path, tp, fp, fn, tn, support, f1 FROM field_stats",
 }

@@ -158,7 +158,13 @@ FROM (SELECT 'sroie' AS source, reason FROM flat UNION ALL
       SELECT 'cord', reason FROM menu) GROUP BY ALL""",
     "first_flat_receipts": _FLAT
     + f"SELECT k AS pos, {_FLAT_ID} AS id FROM flat WHERE reason IS NULL ORDER BY k LIMIT 100",
-    "row_positions": """
-SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS first_pos, count(*) - 1 AS last_pos,
-       CAST(count(*) * (count(*) - 1) / 2 - sum(o_orderkey) AS BIGINT) AS drift FROM orders""",
+    "row_positions": "SELECT o_orderkey, row_number() OVER () - 1 AS pos FROM orders",
+    # Eighths are exact in decimals, so the tie rule is plain integer arithmetic here.
+    "round_exact_large": """
+WITH scaled AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END AS sign,
+         (10000000000 * (o_orderkey % 1000 + 1) + o_orderkey)::HUGEINT * 1000 + (o_orderkey % 8) * 125 AS v
+  FROM orders)
+SELECT o_orderkey, sign * ((v // 10 + CASE WHEN v % 10 > 5 OR (v % 10 = 5 AND (v // 10) % 2 = 1) THEN 1 ELSE 0 END)
+       ::DOUBLE / 100e0) AS rounded FROM scaled""",
 }

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from fieldledger.plans.oracle_prep import _choose
+from fieldledger.plans.oracle_similarity import similarity_ctes
 
+# Longer ids first, since this engine takes the first alternative that fits.
 _IDS = "1A|1B|1C|1|2|3|4|5|6|7A|7|8|9A|9B|9|10|11|12|13|14|15"
 _HEADING = f"(?i)(?:^|\\n)\\s{{0,6}}item\\s+(?:{_IDS})\\b\\s*[.\\-–—:)]?"
 
@@ -54,7 +56,7 @@ cut AS (
   FROM bounds),
 lined AS (
   SELECT *, CASE WHEN position(chr(10) IN rest) > 0 THEN position(chr(10) IN rest) - 1
-                 WHEN last THEN least(length(rest), 120) ELSE length(rest) END AS w
+                 ELSE length(rest) END AS w
   FROM cut),
 sections AS (
   SELECT doc_id, item, trim(hit || substring(rest, 1, w), chr(10) || ' ') AS heading,
@@ -64,8 +66,8 @@ sections AS (
   UNION ALL
   SELECT doc_id, '0', '(no headings)', 0, length(t), t FROM hits WHERE len(h) = 0),
 covers AS (
-  SELECT doc_id, substring(t, 1, CAST(least(6000, coalesce(m, length(t))) AS BIGINT)) AS c6,
-         least(4000, coalesce(m, length(t))) AS c4
+  SELECT doc_id, substring(t, 1, CAST(coalesce(m, length(t)) AS BIGINT)) AS c6,
+         coalesce(m, length(t)) AS c4
   FROM filings LEFT JOIN
        (SELECT doc_id, min(s) AS m FROM bounds GROUP BY doc_id) USING (doc_id)),
 texts AS (
@@ -89,9 +91,9 @@ _FILING_MESSAGE = (
     "below. Do NOT hallucinate values from other sections not shown.' || chr(10) || chr(10) || "
     + _lines(
         "'---COVER SECTION---'", "c6", "'---END COVER SECTION---'", "''",
-        "'---FINANCIAL SECTION (Item 8)---'", "substring(i8, 1, 60000)",
+        "'---FINANCIAL SECTION (Item 8)---'", "i8",
         "'---END FINANCIAL SECTION (Item 8)---'", "''",
-        "'---RISK FACTORS SECTION (Item 1A)---'", "substring(i1a, 1, 60000)",
+        "'---RISK FACTORS SECTION (Item 1A)---'", "i1a",
         "'---END RISK FACTORS SECTION (Item 1A)---'",
     )
 )
@@ -150,7 +152,17 @@ WITH docs AS (
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
 """
 
+_LABELS = """
+WITH labels_of AS (
+  SELECT p_partkey, lower(trim(concat_ws(' ', p_name, p_type, p_brand))) AS label FROM part),
+neighbours AS (
+  SELECT a.p_partkey, a.label AS p, b.label AS t FROM labels_of a JOIN labels_of b ON b.p_partkey = a.p_partkey + 1),
+"""
+
 STATEMENTS = {
+    "text_similarity": _LABELS
+    + similarity_ctes("SELECT p, t FROM neighbours")
+    + "SELECT p_partkey, round(similarity, 6) AS similarity FROM neighbours JOIN similarities USING (p, t)",
     "sections": _FILINGS
     + "SELECT doc_id, item, heading, start_at, end_at, md5(body) AS digest FROM sections",
     "sections_lookup": _FILINGS

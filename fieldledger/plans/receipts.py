@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fieldledger.functions.numbers import DATE_LAYOUTS, parse_date, parse_money
+from fieldledger.functions.numbers import DATE_LAYOUTS, parse_date, parse_money, round_exact
 from fieldledger.functions.text import clean_text, filing_currency, pad_cik, upper_code
 from fieldledger.operators import receipts
 from fieldledger.plans.invoices import order_heads, table
@@ -238,10 +238,16 @@ def first_flat_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Position of every order in its table's file."""
     placed = with_positions(table(spark, sf_dir, "orders").select("o_orderkey", "_metadata"))
-    return placed.groupBy().agg(
-        F.count("*").alias("n_rows"),
-        F.min("pos").alias("first_pos"),
-        F.max("pos").alias("last_pos"),
-        F.sum((F.col("pos") - F.col("o_orderkey")).cast("bigint")).alias("drift"),
-    )
+    return placed.select("o_orderkey", F.col("pos").cast("bigint").alias("pos"))
+
+
+def round_exact_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts from 1e10 to 1e13 with ties at the third decimal, by order."""
+    k = F.col("o_orderkey")
+    eighths = (k % 8).cast("double") / 8
+    amount = F.lit(1e10) * (k % 1000 + 1) + k.cast("double") + eighths
+    signed = F.when(k % 3 == 0, -amount).otherwise(amount)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", signed.alias("amount"))
+    return rows.select("o_orderkey", round_exact(F.col("amount"), 2).alias("rounded"))

@@ -42,10 +42,15 @@ def run_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     combos = rollup.declared_combos(spark, SPECS)
     wanted = rollup.run_matrix(combos, [("invoice", d) for d in ("f", "o", "p", "x")])
     found = eval_run_summary(spark, sf_dir).select(
-        "dataset", F.col("model"), F.col("n_docs"), F.lit(True).alias("has_run")
+        "model", "effort", "dataset", "n_docs", F.lit(True).alias("has_run")
     )
-    return wanted.join(found, ["model", "dataset"], "left").select(
-        "label", "doc_type", "dataset", "n_docs", F.coalesce("has_run", F.lit(False)).alias("has_run")
+    same = (
+        (wanted["model"] == found["model"])
+        & wanted["effort"].eqNullSafe(found["effort"])
+        & (wanted["dataset"] == found["dataset"])
+    )
+    return wanted.join(found, same, "left").select(
+        "label", "doc_type", wanted["dataset"], "n_docs", F.coalesce("has_run", F.lit(False)).alias("has_run")
     )
 
 

@@ -17,6 +17,13 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(sf_dir)
 
 
+def in_pieces(spark: SparkSession, rows: DataFrame, key: str, pieces: int = 3) -> DataFrame:
+    """The rows as a stream of several files in mixed order, one file per batch."""
+    path = new_folder(spark, "arriving")
+    rows.repartition(pieces, F.xxhash64(key)).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def item_events(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     status = (
@@ -60,7 +67,7 @@ def stage_events(events: DataFrame) -> DataFrame:
         .otherwise("done")
     )
     return events.select(
-        F.floor(F.col("event_id") / 6).cast("bigint").alias("request_id"),
+        F.expr("event_id div 6").alias("request_id"),
         stage.alias("stage"),
         F.col("ts").cast("timestamp").alias("ts"),
     )
@@ -78,24 +85,20 @@ def job_progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_timing_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, checkpoint = new_folder(spark, "stages"), new_folder(spark, "offsets")
-    done = stages.finished_requests(stage_events(stream(spark, sf_dir, "events")), "1 day")
-    query = (
-        done.writeStream.format("parquet")
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start(out)
-    )
-    query.awaitTermination()
-    return spark.read.parquet(out)
+    """Events arrive in mixed order over several batches; the log merges to the batch result."""
+    log, checkpoint = new_folder(spark, "stages"), new_folder(spark, "offsets")
+    events = in_pieces(spark, invoices.table(spark, sf_dir, "events"), "event_id")
+    stages.start_stage_log(stage_events(events), log, checkpoint).awaitTermination()
+    return stages.read_stage_timing(spark, log)
 
 
 def incremental_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions arrive as a stream of orders; counts merge to the batch result."""
-    counts, checkpoint = new_folder(spark, "counts"), new_folder(spark, "offsets")
-    arriving = invoices.predicted_invoices(spark, sf_dir, stream(spark, sf_dir, "orders"))
-    truth = invoices.truth_invoices(spark, sf_dir)
-    scores.start_scoring(arriving, truth, "invoice", counts, checkpoint).awaitTermination()
-    stats = scores.read_field_stats(spark, counts)
+    folder, checkpoint, kept = (new_folder(spark, n) for n in ("scores", "offsets", "truth"))
+    invoices.truth_invoices(spark, sf_dir).write.parquet(kept)
+    truth = spark.read.parquet(kept)
+    orders = in_pieces(spark, invoices.table(spark, sf_dir, "orders"), "o_orderkey")
+    arriving = invoices.predicted_invoices(spark, sf_dir, orders)
+    scores.start_scoring(arriving, truth, "invoice", folder, checkpoint).awaitTermination()
+    stats = scores.read_field_stats(spark, folder, truth, "invoice", invoices.RUNS)
     return stats.select(*score.RUN, "path", "tp", "fp", "fn", "tn", "support", "f1")

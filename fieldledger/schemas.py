@@ -202,12 +202,14 @@ WARNINGS = Items(
 
 # Float leaves with these names are compared as money, other floats as plain numbers.
 MONEY_NAMES = frozenset(
-    "total subtotal tax tip discount shipping unit_price price amount".split()
+    ("total", "subtotal", "tax", "tip", "discount", "shipping", "unit_price", "price", "amount")
 )
 # String leaves with these names are compared exactly, other strings fuzzily.
 EXACT_NAMES = frozenset(
-    "currency sku invoice_number purchase_order_number receipt_number tax_id "
-    "postal_code country phone merchant_phone payment_method".split()
+    (
+        "currency", "sku", "invoice_number", "purchase_order_number", "receipt_number", "tax_id",
+        "postal_code", "country", "phone", "merchant_phone", "payment_method",
+    )
 )
 
 # --- end of fixed values ------------------------------------------------------------------------

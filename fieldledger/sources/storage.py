@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,14 +13,16 @@ from pyspark.sql import SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The session's shared folder (``spark.checkpoint.dir``).
 
-    Only a local session that has none set gets a temporary one of its own.
+    Only a local session that has none set gets a temporary one of its own, which is removed when
+    the program ends; on a cluster the setting is required.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="fieldledger-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 

@@ -30,3 +30,8 @@ def start_progress_log(events: DataFrame, log: str, checkpoint: str, **trigger)
 def read_progress(spark: SparkSession, log: str) -> DataFrame:
     """Current progress of every job in the log."""
     return jobs.job_progress(jobs.merge_items(spark.read.parquet(log)))
+
+
+def compact_progress_log(spark: SparkSession, log: str, compacted: str) -> None:
+    """Write a log's merged state as the first batch of a new log."""
+    jobs.merge_items(spark.read.parquet(log)).write.parquet(f"{compacted}/batch=-1")

@@ -1,19 +1,23 @@
 """Scoring predictions as they arrive.
 
 tp, fp, fn and tn are sums, so each micro-batch stores its own counts and the total is their
-merge. Truth is a static table joined to every batch.
+merge. Truth is a static table joined to every batch; store it once and pass it read from there.
+Predictions without truth are kept as rejects. Truth without a prediction is counted when the
+statistics are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldledger.operators import score
 from fieldledger.operators.score import RUN
 
+_CALL = {"error": "string", "latency_ms": "double", "input_tokens": "bigint", "output_tokens": "bigint"}
+
 
 def arrived(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     """Predictions with their truth; what has not arrived is not judged yet."""
@@ -22,17 +26,36 @@ def arrived(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     )
 
 
+def unmatched(truth: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Predictions of documents that have no truth."""
+    return predictions.join(truth, ["dataset", "doc_id"], "left_anti")
+
+
 def start_scoring(
     predictions: DataFrame,
     truth: DataFrame,
     doc_type: str,
-    counts: str,
+    folder: str,
     checkpoint: str,
     **trigger,
 ) -> StreamingQuery:
+    """Keep counts, keys of what was seen, and rejects of every batch below ``folder``."""
+
     def store(batch: DataFrame, number: int) -> None:
-        part = score.field_counts(arrived(truth, batch), doc_type)
-        part.write.mode("overwrite").parquet(f"{counts}/batch={number}")
+        blank = F.lit(None)
+        seen = batch.select(
+            *RUN,
+            "doc_id",
+            blank.cast(batch.schema["data"].dataType).alias("data"),
+            *[blank.cast(kind).alias(name) for name, kind in _CALL.items()],
+        )
+        parts = {
+            "counts": score.field_counts(arrived(truth, batch), doc_type),
+            "seen": seen,
+            "rejects": unmatched(truth, batch),
+        }
+        for name, part in parts.items():
+            part.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
 
     return (
         predictions.writeStream.foreachBatch(store)
@@ -42,5 +65,20 @@ def start_scoring(
     )
 
 
-def read_field_stats(spark: SparkSession, counts: str, keys: Sequence[str] = RUN) -> DataFrame:
-    return score.with_rates(score.merge_counts(spark.read.parquet(counts), keys))
+def read_field_stats(
+    spark: SparkSession,
+    folder: str,
+    truth: DataFrame,
+    doc_type: str,
+    runs: Sequence[tuple[str, str | None]],
+) -> DataFrame:
+    """Field statistics of the declared runs over all of the truth, as a batch run gives them."""
+    seen = spark.read.parquet(f"{folder}/seen").drop("batch")
+    missing = score.pair_documents(truth, seen, runs).where("error = 'no prediction'")
+    late = score.field_counts(missing.select(*RUN, "doc_id", "error", "data", "truth"), doc_type)
+    counts = spark.read.parquet(f"{folder}/counts").select(*late.columns)
+    return score.with_rates(score.merge_counts(counts.unionByName(late)))
+
+
+def read_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/rejects").drop("batch")

@@ -1,53 +1,41 @@
-"""Stage timing of requests as a keyed, self-cleaning stream."""
+"""Stage timing of requests as a stream.
+
+The start of a stage is a minimum, so each micro-batch stores the first time of every (request,
+stage) it has seen and the parts merge at read time, in whatever order events and batches arrive.
+A replayed batch overwrites its own folder.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from fieldledger.operators.jobs import STAGES, with_elapsed
-
-_TIMES = T.StructType([T.StructField(s, T.LongType()) for s in STAGES])
-
-
-def finished_requests(events: DataFrame, idle: str = "30 minutes") -> DataFrame:
-    """request_id with elapsed time per stage, emitted once when the request is done.
-
-    ``events``: request_id, stage, ts. State holds the few stage times of one request and goes
-    away when the request finishes; a request that stays silent past the watermark by ``idle``
-    is emitted as it is.
-    """
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    out = T.StructType([T.StructField("request_id", T.LongType()), *_TIMES.fields])
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get) if state.exists else [None] * len(STAGES)
-        done = state.hasTimedOut
-        if not done:
-            for frame in frames:
-                for stage, micros in zip(frame["stage"], frame["micros"], strict=True):
-                    at = STAGES.index(stage)
-                    times[at] = micros if times[at] is None else min(times[at], micros)
-            done = times[STAGES.index("done")] is not None
-        if done:
-            state.remove()
-            row = pd.DataFrame([[key[0], *times]], columns=["request_id", *STAGES])
-            yield row.astype("Int64")
-        else:
-            state.update(tuple(times))
-            last_seen = max(t for t in times if t is not None) // 1000
-            state.setTimeoutTimestamp(max(last_seen, state.getCurrentWatermarkMs()) + idle_ms)
-
-    keyed = (
-        events.withWatermark("ts", idle)
-        .withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")))
-        .groupBy("request_id")
-        .applyInPandasWithState(
-            step, out, _TIMES, "append", GroupStateTimeout.EventTimeTimeout
-        )
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from fieldledger.operators import jobs
+
+
+def first_times(events: DataFrame) -> DataFrame:
+    return events.groupBy("request_id", "stage").agg(F.min("ts").alias("ts"))
+
+
+def start_stage_log(events: DataFrame, log: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Follow stage events (request_id, stage, ts) and keep their first times at ``log``."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        first_times(batch).write.mode("overwrite").parquet(f"{log}/batch={number}")
+
+    return (
+        events.writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
     )
-    times = keyed.select("request_id", *[F.timestamp_micros(s).alias(s) for s in STAGES])
-    return with_elapsed(times)
+
+
+def read_stage_timing(spark: SparkSession, log: str) -> DataFrame:
+    """Elapsed time per stage of every request in the log; unfinished ones are ``open``."""
+    return jobs.stage_timing(spark.read.parquet(log).drop("batch"))
+
+
+def compact_stage_log(spark: SparkSession, log: str, compacted: str) -> None:
+    """Write a log's merged state as the first batch of a new log."""
+    first_times(spark.read.parquet(log)).write.parquet(f"{compacted}/batch=-1")

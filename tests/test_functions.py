@@ -43,6 +43,8 @@ def test_rounding_follows_the_exact_binary_value(spark, places):
     xs = [2.675, 0.125, 0.375, 1.005, -2.675, 0.5, 1.5, 2.5, 0.0]
     xs += [rng.randint(0, 10**7) / 1000 for _ in range(3000)]
     xs += [rng.randint(0, 10**6) / rng.randint(1, 5000) for _ in range(3000)]
+    xs += [rng.randint(10**9, 10**14) + rng.randint(0, 63) / 64 for _ in range(3000)]
+    xs += [12345678901.125, 391035000000.125, -391035000000.375, 2.0**53 + 2, 1e300]
     assert run(spark, xs, "double", lambda c: numbers.round_exact(c, places)) == [
         round(x, places) for x in xs
     ]

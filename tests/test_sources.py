@@ -8,7 +8,7 @@ from fieldledger.operators import infer, jobs, rollup, score
 from fieldledger.schemas import RECEIPT, struct_type
 from fieldledger.sources import documents, jsonl, reports
 from fieldledger.streaming import progress, stages
-from test_scoring import CASES, pairs, receipt
+from tests.test_scoring import CASES, pairs, receipt
 
 
 def put(folder, name, text):
@@ -121,8 +121,17 @@ def test_extractor_isolates_failures_and_retries(spark):
     calls = []
     flaky = make()
     assert infer.call_with_retry(flaky, {"id": 2}, pause=calls.append)["raw"] == "3" and calls == [1.0, 2.0]
+    tried = []
+
+    def busy(record):
+        tried.append(record)
+        raise infer.Retryable("busy")
+
+    with pytest.raises(infer.Retryable):
+        infer.call_with_retry(busy, {"id": 9}, pause=lambda _: None)
+    assert len(tried) == 3
     rows = spark.range(2).select("id")
-    got = {r.id: r for r in infer.run_extractor(rows, make, ["id"], max_concurrent=2).collect()}
+    got = {r.id: r for r in infer.run_extractor(rows, make, ["id"]).collect()}
     assert got[0].raw == "1" and got[0].latency_ms is not None and got[1].error == "refused"
 
 
@@ -160,16 +169,25 @@ def test_progress_stream_over_batches(spark, tmp_path):
 
 def test_stage_stream_across_batches(spark, tmp_path):
     src = str(tmp_path / "src")
-    parts = [[(1, "starting", 0), (2, "starting", 1)], [(1, "loading", 2), (1, "done", 9)], [(2, "error", 5), (2, "done", 6)]]
+    parts = [
+        [(1, "starting", 0), (2, "starting", 1), (1, "done", 9)],  # done before loading
+        [(1, "loading", 2), (3, "starting", 3), (1, "loading", 4)],
+        [(2, "error", 5), (2, "done", 6)],
+    ]
     for p in parts:
         df = spark.createDataFrame(p, "request_id long, stage string, s long")
         df = df.select("request_id", "stage", F.timestamp_seconds(F.col("s") + 1700000000).alias("ts"))
         df.coalesce(1).write.mode("append").parquet(src)
     schema = spark.read.parquet(src).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    out = str(tmp_path / "out")
-    query = stages.finished_requests(stream).writeStream.format("parquet").trigger(availableNow=True)
-    query.option("checkpointLocation", str(tmp_path / "cp")).start(out).awaitTermination()
-    got = {r.request_id: r for r in spark.read.parquet(out).collect()}
-    assert (got[1].loading_ms, got[1].done_ms, got[1].outcome) == (2000, 9000, "ok")
-    assert (got[2].error_ms, got[2].outcome) == (4000, "error")
+    log = str(tmp_path / "log")
+    stages.start_stage_log(stream, log, str(tmp_path / "cp")).awaitTermination()
+    batch = sorted(map(tuple, jobs.stage_timing(spark.read.parquet(src)).collect()), key=str)
+    for place in (log, str(tmp_path / "small")):
+        rows = stages.read_stage_timing(spark, place).collect()
+        assert sorted(map(tuple, rows), key=str) == batch
+        got = {r.request_id: r for r in rows}
+        assert (got[1].loading_ms, got[1].done_ms, got[1].outcome) == (2000, 9000, "ok")
+        assert (got[2].error_ms, got[2].outcome) == (4000, "error") and got[3].outcome == "open"
+        if place == log:
+            stages.compact_stage_log(spark, log, str(tmp_path / "small"))
