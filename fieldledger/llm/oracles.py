@@ -82,11 +82,11 @@ first AS (SELECT *, {matched('seq')} AS m FROM once),
 again AS (
   SELECT *, CASE WHEN len(m.names) = 0 AND regexp_matches(body, '{licences.LICENCE_WORDS}')
     THEN {sequence(lines(wrapped))} END AS seq2 FROM first),
-both AS (SELECT *, CASE WHEN contains(seq2, '<') THEN {matched('seq2')} END AS m2 FROM again),
+two AS (SELECT *, CASE WHEN contains(seq2, '<') THEN {matched('seq2')} END AS m2 FROM again),
 best AS (
   SELECT doc_id, CASE WHEN len(m2.names) > 0 THEN m2 ELSE m END AS b,
     CASE WHEN len(m2.names) > 0 THEN seq2 ELSE seq END AS s
-  FROM both)
+  FROM two)
 SELECT doc_id,
   array_to_string(list_filter(b.names, lambda x, i: list_position(b.names, x) = i), ',') AS licences,
   b.hits::BIGINT AS statements, (length(s) - length(replace(s, '<', '')))::BIGINT AS known_sentences,
