@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldledger.plans import (
+    benchmarks,
     envelopes,
     evaluation,
     filings,
+    oracle_benchmarks,
     oracle_eval,
     oracle_more,
     oracle_prep,
@@ -71,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "job_progress_stream": tracking.job_progress_stream,
     "stage_timing_stream": tracking.stage_timing_stream,
     "incremental_scores": tracking.incremental_scores,
+    **benchmarks.QUERIES,
 }
 
 ORACLES: dict[str, str] = {
@@ -78,4 +81,5 @@ ORACLES: dict[str, str] = {
     **oracle_prep.STATEMENTS,
     **oracle_texts.STATEMENTS,
     **oracle_more.STATEMENTS,
+    **oracle_benchmarks.STATEMENTS,
 }
