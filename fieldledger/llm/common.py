@@ -33,17 +33,17 @@ def label_fold(doc_id: Column) -> Column:
 
 
 def text_slices(
-    batches: Iterable[pd.DataFrame], column: str = "text", chars: int = 1_000_000
+    batches: Iterable[pd.DataFrame], column: str = "text", chars: int = 1_000_000, rows: int = 10_000
 ) -> Iterator[pd.DataFrame]:
-    """Cut Arrow batches into runs of rows of about ``chars`` characters, so that what a task
-    holds is bounded by that and the longest single text."""
+    """Cut Arrow batches into runs of at most ``rows`` rows and about ``chars`` characters, so that
+    what a task holds is bounded by these and the longest single text."""
     for batch in batches:
-        batch[column] = batch[column].fillna("")
+        batch = batch.assign(**{column: batch[column].fillna("")})
         if not len(batch):
             continue
-        part = batch[column].str.len().cumsum() // chars
-        for _, rows in batch.groupby(part.to_numpy(), sort=False):
-            yield rows.reset_index(drop=True)
+        part = batch[column].str.len().cumsum().to_numpy() // chars + np.arange(len(batch)) // rows
+        for _, piece in batch.groupby(part, sort=False):
+            yield piece.reset_index(drop=True)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

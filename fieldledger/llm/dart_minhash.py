@@ -31,10 +31,12 @@ COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * (np.log(COORDINATES) + 2)
 #: Ranks below 2**LOWEST are one cell; above, each cell is twice as high as the one before.
 LOWEST = -4
+#: A task signs so many texts, or characters, at a time; each text has about DARTS darts.
+SLICE_ROWS, SLICE_CHARS = 200, 500_000
 #: Buckets up to this size compare all pairs of different classes at once.
 SMALL_BUCKET = 32
 #: After so many rounds of centres all remaining pairs are compared.
-CENTRE_ROUNDS = 6
+CENTRE_ROUNDS = 2
 
 
 @cache
@@ -115,7 +117,7 @@ def shingles_of(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _signature_batches(weighting: str) -> Callable:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in text_slices(batches):
+        for rows in text_slices(batches, chars=SLICE_CHARS, rows=SLICE_ROWS):
             tokens, counts = tokens_of(rows.text)
             parts = np.split(tokens, np.cumsum(counts)[:-1])
             sets = [shingles_of(p) for p in parts]
@@ -191,14 +193,42 @@ def _link(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return stored(pairs.join(a, "a").join(b, "b").mapInPandas(_verify(threshold), "a long, b long"), "links")
 
 
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with label and n (members of the bucket), of buckets with more than one class."""
+    held = members.join(labels, "rid")
+    keys = held.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return held.join(keys.filter("lo < hi").select("key", "n"), "key")
+
+
+def _own_weight(held: DataFrame, sets: DataFrame) -> DataFrame:
+    """rid, own: what each open set has to itself among all open sets; linear in their elements."""
+    ones = F.transform("shingles", lambda _: F.lit(1.0).cast("float"))
+    elements = F.arrays_zip("shingles", F.coalesce("weights", ones).alias("weights"))
+    rows = sets.join(held.select("rid").distinct(), "rid").select("rid", F.explode(elements).alias("x"))
+    alone = (
+        rows.groupBy("x.shingles")
+        .agg(F.count("*").alias("n"), F.min("rid").alias("rid"), F.min("x.weights").alias("w"))
+        .filter("n = 1")
+    )
+    return alone.groupBy("rid").agg(F.sum("w").alias("own"))
+
+
+def _possible(a: str, own_a: str, b: str, own_b: str, threshold: float) -> Column:
+    """Whether two sets of totals a and b can reach the threshold: what a set has to itself is in
+    no intersection. Exact."""
+    common = F.least(F.col(a) - F.col(own_a), F.col(b) - F.col(own_b))
+    return common >= threshold * (F.col(a) + F.col(b) - common) - F.lit(1e-4)
+
+
 def _classes(sets: DataFrame, threshold: float) -> DataFrame:
     """rid, label of the sets that share a band with another; a label is the smallest rid of a class.
 
     In each bucket all members are compared with a centre, the member with the largest buckets
-    overall. A bucket whose members are then of one class is done. In the others the centre, which
-    has met every member, is taken out and the next round follows: small buckets compare all pairs
-    of different classes, larger ones the next centre; after CENTRE_ROUNDS rounds all that is left
-    is compared. So every pair that shares a band is linked, found dissimilar, or of one class.
+    overall. A bucket whose members are then of one class is done. From the others the centre,
+    which has met every member, is taken out; in the next round small buckets compare all pairs of
+    different classes, larger ones the next centre; after CENTRE_ROUNDS rounds all that is left is
+    compared. Pairs whose totals and own weights rule the threshold out are not looked at. So every
+    pair that shares a band is linked, known to be dissimilar, or of one class.
     """
     bands = sets.select("rid", "total", F.explode("bands").alias("key"))
     sizes = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -206,27 +236,37 @@ def _classes(sets: DataFrame, threshold: float) -> DataFrame:
     weight = members.groupBy("rid").agg(F.sum("n").alias("meets"))
     members = stored(members.join(weight, "rid").select("key", "rid", "total", "meets"), "members")
     labels = stored(members.select("rid", F.col("rid").alias("label")).distinct(), "labels")
-    close = F.least("total", "other") >= threshold * F.greatest("total", "other") - F.lit(1e-6)
+    close = _possible("total", "own", "other", "other_own", threshold)
     turn = 0
     while True:
-        held = members.join(labels, "rid")
-        open_keys = held.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        held = stored(held.join(open_keys.filter("lo < hi").select("key", "n"), "key"), "open")
+        held = stored(_open(members, labels), "open")
         if held.isEmpty():
             return labels
+        if turn:
+            own = stored(_own_weight(held, sets), "own")
+            held = held.join(own, "rid", "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
+            held = stored(held, "open")
+        else:
+            held = held.withColumn("own", F.lit(0.0))
         every = F.lit(turn > CENTRE_ROUNDS) | ((F.col("n") <= SMALL_BUCKET) & F.lit(turn > 0))
         centre = held.filter(~every).groupBy("key").agg(
-            F.max(F.struct("meets", (-F.col("rid")).alias("r"), F.col("label").alias("l"), F.col("total").alias("t"))).alias("c")
+            F.max(
+                F.struct("meets", (-F.col("rid")).alias("r"), F.col("label").alias("l"), F.col("total").alias("t"), F.col("own").alias("o"))
+            ).alias("c")
         )
         # Stored, so that the join below reads two shuffles and can split large buckets.
         centre = stored(
-            centre.select("key", (-F.col("c.r")).alias("b"), F.col("c.l").alias("lb"), F.col("c.t").alias("other")),
+            centre.select(
+                "key", (-F.col("c.r")).alias("b"), F.col("c.l").alias("lb"), F.col("c.t").alias("other"), F.col("c.o").alias("other_own")
+            ),
             "centres",
         )
-        other = held.filter(every).select("key", F.col("rid").alias("b"), F.col("label").alias("lb"), F.col("total").alias("other"))
         stars = held.join(centre, "key").filter((F.col("rid") != F.col("b")) & (F.col("label") != F.col("lb")) & close)
         pairs = stars.select(F.least("rid", "b").alias("a"), F.greatest("rid", "b").alias("b"))
         if turn:
+            other = held.filter(every).select(
+                "key", F.col("rid").alias("b"), F.col("label").alias("lb"), F.col("total").alias("other"), F.col("own").alias("other_own")
+            )
             crossed = held.filter(every).join(other, "key").filter((F.col("rid") < F.col("b")) & (F.col("label") != F.col("lb")) & close)
             pairs = pairs.unionByName(crossed.select(F.col("rid").alias("a"), "b"))
         labels = _merge(labels, _link(pairs.distinct(), sets, threshold))
