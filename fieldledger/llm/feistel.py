@@ -12,6 +12,24 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
+#: Country codes of one and two digits (all others have three), and lengths of IBANs by country.
+_CODE = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items()
+    for c in countries.split()
+}
+#: Groups of a European phone number after its country code, and of one with a leading 0 instead.
+_ABROAD = (
+    r"\d(?:[ .-]\d{2}){4}|\d{1,3}[ .-]\d{3}(?:[ .-]\d{2}){2}|\d{2,5}(?:[ .-]\d{2}){3,4}"
+    r"|\d{1,4}[ ./-]\d{3,4}[ .-]\d{3,4}|\d{2,5}[ ./-]\d{5,8}|\d{8,12}"
+)
+_AT_HOME = r"0\d(?:[ .-]\d{2}){4}|0\d{1,4}[ /-]\d{3,4}[ -]\d{3,4}|0\d{2,5}[ /-]\d{5,8}"
 #: Kinds of items in the order in which they are tried at a place, each with its layout.
 LAYOUTS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.)++[A-Za-z]{2,24}\b",
@@ -20,10 +38,38 @@ LAYOUTS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w)",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
-    "phone": r"(?<![\w(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])",
+    "phone": (
+        rf"(?<![\w(])(?:(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{3}}\) ?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}"
+        rf"|(?:\+|00){_CODE}[ .-]?(?:\(0\) ?)?(?:{_ABROAD})|{_AT_HOME})(?![\w-])"
+    ),
 }
-#: Any item; the mail name's characters are taken whole, so this has no costly retries.
-ANY_LAYOUT = "|".join(LAYOUTS.values()).replace("{0,63}+@", "{0,63}@").replace("++", "+")
+#: An IBAN in printed groups of four, as long as its country's are.
+PRINTED_IBAN = "|".join(
+    rf"(?:{'|'.join(c for c, n in IBAN_LENGTHS.items() if n == size)})\d{{2}}(?: [A-Z0-9]{{4}}){{{size // 4 - 1}}}"
+    + (f" [A-Z0-9]{{{size % 4}}}" if size % 4 else "")
+    for size in sorted(set(IBAN_LENGTHS.values()))
+)
+#: Digits of a run of numbers, unless another item starts there or the number goes on.
+_NUMBER = (
+    r"(?![A-Za-z0-9._%+-]{0,63}@|\d{2}/\d{2}/\d{4}(?![\w/-]|\.\d)|0\d{2,5}/\d{3})\d++(?!\w|\.\d|-(?!\d))"
+)
+#: Numbers side by side, which may be several items: 13 digits or more, or a printed IBAN and what follows it.
+RUN_LAYOUT = (
+    rf"(?<![\w.-])\+?(?=\d(?:[ -]?\d){{12}}){_NUMBER}(?:[ -]{_NUMBER})*+"
+    rf"|(?<!\w)(?:{PRINTED_IBAN})(?!\w)(?:[ -]{_NUMBER})*+"
+)
+#: Usual groups of a card's digits; other groups are tried where nothing else fits, by number of digits in this order.
+CARD_GROUPS = r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5}"
+CARD_SIZES = (16, 15, 19, 18, 17, 14, 13)
+#: Any item but those in runs of numbers, and any item or run; the mail name's characters are taken whole, so this has
+#: no costly retries.
+ANY_LAYOUT = "|".join(
+    [LAYOUTS["email"].replace("{0,63}+@", "{0,63}@").replace("++", "+"), LAYOUTS["ip"], RUN_LAYOUT]
+    + [LAYOUTS[k] for k in ("date", "ssn", "iban", "phone")]
+)
+#: Kind of a part that is no item.
+BETWEEN = "between"
+VALID_SSN = r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}"
 DATE_FORMATS = {
     r"^\d{4}-\d{2}-\d{2}$": "yyyy-MM-dd",
     r"^\d{2}\.\d{2}\.\d{4}$": "dd.MM.yyyy",
@@ -147,10 +193,12 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code stays; the other digits are permuted."""
+    """The country code and a leading 0 in its place or in brackets stay; the other digits are permuted."""
+    fixed = F.length(_digits(F.regexp_extract(m, rf"^(?:(?:\+|00){_CODE}[ .-]?(?:\(0\))?|0)?", 0)))
+
     def body(d):
-        code = F.substring(d, F.lit(1), F.length(d) - 10)
-        return with_digits(m, F.concat(code, permute_text(F.substring(d, F.length(d) - 9, F.lit(10)), key, "phone")))
+        code = F.substring(d, F.lit(1), fixed)
+        return with_digits(m, F.concat(code, permute_text(F.substring(d, fixed + 1, F.length(d)), key, "phone")))
 
     return _let(_digits(m), body)
 
@@ -204,6 +252,14 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
+    """A printed IBAN keeps its blanks."""
+    groups = lambda n: F.when(
+        m.contains(" "), F.array_join(F.regexp_extract_all(n, F.lit(".{1,4}"), 0), " ")
+    ).otherwise(n)
+    return _let(_let(F.replace(m, F.lit(" "), F.lit("")), lambda p: _plain_iban(p, key)), groups)
+
+
+def _plain_iban(m: Column, key: str) -> Column:
     country, bban = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m))
     valid = iban_remainder(F.concat(bban, F.substring(m, 1, 4))) == 1
 
@@ -222,45 +278,160 @@ def _email(m: Column, key: str) -> Column:
 MAKERS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "iban": _iban, "card": _card, "phone": _phone}
 
 
-def pseudonym(item: Column, key: str) -> Column:
-    """struct(kind, new) of one found item; null if it doesn't validate."""
+def pseudonym(item: Column, key: str, kind: Column | None = None) -> Column:
+    """struct(kind, new) of one found item; null if it doesn't validate. An item of null kind has that of its layout."""
 
-    def named(kind):
-        return lambda new: F.when(new.isNotNull(), F.struct(F.lit(kind).alias("kind"), new.alias("new")))
+    def named(name):
+        return lambda new: F.when(new.isNotNull(), F.struct(F.lit(name).alias("kind"), new.alias("new")))
 
     out = F.lit(None).cast("struct<kind:string,new:string>")
-    for kind in reversed(MAKERS):
-        out = F.when(item.rlike(f"^(?:{LAYOUTS[kind]})$"), _let(MAKERS[kind](item, key), named(kind))).otherwise(out)
+    for name in reversed(MAKERS):
+        fits = item.rlike(f"^(?:{LAYOUTS[name]})$")
+        fits = fits if kind is None else F.when(kind.isNull(), fits).otherwise(kind == name)
+        out = F.when(fits, _let(MAKERS[name](item, key), named(name))).otherwise(out)
     return out
 
 
+def _luhn_fits(text: Column) -> Column:
+    return _let(
+        _digits(text),
+        lambda d: luhn_check_digit(F.substring(d, F.lit(1), F.length(d) - 1)) == F.substring(d, F.length(d), F.lit(1)),
+    )
+
+
+def _iban_fits(text: Column) -> Column:
+    return _let(
+        F.replace(text, F.lit(" "), F.lit("")),
+        lambda p: iban_remainder(F.concat(F.substring(p, F.lit(5), F.length(p)), F.substring(p, 1, 4))) == 1,
+    )
+
+
+def _kind_at(text: Column, level: Column) -> Column:
+    """The kind of a piece of a run that validates in this turn, or null."""
+    is_like = lambda layout: text.rlike(f"^(?:{layout})$")
+    card = F.when((level % 2 == 1) & is_like(CARD_GROUPS) | (level == 4) & is_like(LAYOUTS["card"]), _luhn_fits(text))
+    iban = F.when((level % 2 == 1) & is_like(PRINTED_IBAN), _iban_fits(text))
+    day = F.when((level == 2) & is_like(LAYOUTS["date"]), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).isNotNull())
+    ssn = (level == 2) & is_like(VALID_SSN)
+    phone = (level == 2) & is_like(LAYOUTS["phone"])
+    return F.when(card, "card").when(iban, "iban").when(day, "date").when(ssn, "ssn").when(phone, "phone")
+
+
+_PART = "struct<text:string,kind:string>"
+
+
+def _part(text: Column, kind: Column | None = None) -> Column:
+    return F.struct(text.alias("text"), (F.lit(BETWEEN) if kind is None else kind).alias("kind"))
+
+
+def _cut(run: Column, level: Column) -> Column:
+    """A run of numbers as parts (text, kind) in order: items that validate, and what stands between them.
+
+    At each number, all pieces of up to 19 numbers are tried; the most numbers count, and for cards
+    the place in CARD_SIZES. In the first two turns no item may touch a hyphen.
+    """
+
+    def body(numbers):
+        def best(number, at):
+            before = F.coalesce(F.get(numbers, at - 1), F.lit("")).endswith("-")
+
+            def tried(k):
+                def piece(raw):
+                    text = F.regexp_replace(raw, "[ -]$", "")
+                    touches = before | (raw.endswith("-") & (at + k < F.size(numbers)))
+                    kind = F.when((F.length(text) <= 40) & ~((level < 3) & touches), _kind_at(text, level))
+                    size = F.array_position(F.array(*(F.lit(n) for n in CARD_SIZES)), F.length(_digits(text))).cast("int")
+                    turn = F.when(level == 4, size).otherwise(-k)
+                    return F.struct(turn.alias("turn"), k.alias("k"), kind.alias("kind"))
+
+                return _let(F.array_join(F.slice(numbers, at + 1, k), ""), piece)
+
+            pieces = F.transform(F.sequence(F.lit(1), F.least(F.lit(19), F.size(numbers) - at)), tried)
+            return F.array_min(F.filter(pieces, lambda x: x["kind"].isNotNull()))
+
+        def between(first, last):
+            text = F.array_join(F.slice(numbers, first + 1, last - first), "")
+            return F.when(last > first, F.array(_part(text))).otherwise(F.array().cast(f"array<{_PART}>"))
+
+        def chosen(bests):
+            def step(state, at):
+                def taken(b):
+                    raw = F.array_join(F.slice(numbers, at + 1, b["k"]), "")
+                    item = _part(F.regexp_replace(raw, "[ -]$", ""), b["kind"])
+                    rest = _part(F.regexp_extract(raw, "[ -]?$", 0))
+                    parts = F.concat(state["parts"], between(state["next"], at), F.array(item, rest))
+                    return F.struct((at + b["k"]).alias("next"), parts.alias("parts"))
+
+                return F.when((at >= state["next"]) & F.get(bests, at).isNotNull(), taken(F.get(bests, at))).otherwise(state)
+
+            start = F.struct(F.lit(0).alias("next"), F.array().cast(f"array<{_PART}>").alias("parts"))
+            return F.aggregate(
+                F.sequence(F.lit(0), F.size(numbers) - 1),
+                start,
+                step,
+                lambda s: F.concat(s["parts"], between(s["next"], F.size(numbers))),
+            )
+
+        return _let(F.transform(numbers, best), chosen)
+
+    numbers = F.filter(F.split(run, "(?<=[ -])", -1), lambda t: t != "")
+    return F.when(run.rlike("[0-9]"), _let(numbers, body)).otherwise(F.array(_part(run)))
+
+
+def item_parts(item: Column) -> Column:
+    """Parts (text, kind) of one found item or run of numbers; a single item is one part of null kind.
+
+    In a run, cards in their usual groups and printed IBANs come first, wherever they stand; then
+    dates, social-security numbers and phones; then cards and IBANs beside hyphens, and at last cards
+    in other groups.
+    """
+
+    def turn(parts, level):
+        return F.flatten(
+            F.transform(parts, lambda p: F.when(p["kind"] != BETWEEN, F.array(p)).otherwise(_cut(p["text"], level)))
+        )
+
+    run = F.aggregate(F.array(*(F.lit(level) for level in (1, 2, 3, 4))), F.array(_part(item)), turn)
+    alone = F.array(_part(item, F.lit(None).cast("string")))
+    return F.when(item.rlike(f"^(?:{RUN_LAYOUT})$"), run).otherwise(alone)
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Replace ``text`` and add ``found`` array<struct<kind,new>>, one entry for each item replaced.
 
-    ``key`` is the secret of the permutations. Items that don't validate, and everything between
-    items, stay byte for byte. A null text stays null with ``found`` empty; other columns pass
-    through. One pass over the rows, without a shuffle.
+    ``key`` is the secret of the permutations. Numbers side by side are parted into the items among
+    them. Items that don't validate, and everything between items, stay byte for byte. A null text
+    stays null with ``found`` empty; other columns pass through. One pass over the rows, without a
+    shuffle.
     """
     none = F.array().cast("array<struct<kind:string,new:string>>")
     marked = F.col(text).rlike("[0-9@]")
     items = F.when(marked, F.regexp_extract_all(F.col(text), F.lit(ANY_LAYOUT), 0))
-    work = docs.withColumn("__items", items)
-    work = work.withColumn(
-        "__made",
-        F.when(F.size("__items") > 0, F.transform("__items", lambda m: pseudonym(m, key))),
-    )
     pieces = F.split(F.col(text), ANY_LAYOUT, -1)
-    rebuilt = F.array_join(
+    # What stands between the items is a part as well, so that one list holds the whole text.
+    parts = F.flatten(
         F.zip_with(
             pieces,
-            F.zip_with("__items", "__made", lambda m, n: F.coalesce(n["new"], m)),
-            lambda piece, item: F.concat(piece, F.coalesce(item, F.lit(""))),
-        ),
-        "",
+            "__items",
+            lambda piece, item: F.concat(
+                F.array(_part(piece)),
+                F.when(item.isNotNull(), item_parts(item)).otherwise(F.array().cast(f"array<{_PART}>")),
+            ),
+        )
     )
+    work = docs.withColumn("__items", items)
+    work = work.withColumn("__parts", F.when(F.size("__items") > 0, parts))
+
+    def made(p):
+        new = F.when(p["kind"].eqNullSafe(BETWEEN), None).otherwise(pseudonym(p["text"], key, p["kind"]))
+        return F.struct(p["text"].alias("text"), new.alias("made"))
+
+    work = work.withColumn("__made", F.transform("__parts", made))
+    rebuilt = F.array_join(F.transform("__made", lambda p: F.coalesce(p["made"]["new"], p["text"])), "")
+    replaced = F.transform(F.filter("__made", lambda p: p["made"].isNotNull()), lambda p: p["made"])
     return work.withColumns(
         {
             text: F.when(F.col("__made").isNotNull(), rebuilt).otherwise(F.col(text)),
-            "found": F.coalesce(F.filter("__made", lambda n: n.isNotNull()), none),
+            "found": F.coalesce(replaced, none),
         }
-    ).drop("__items", "__made")
+    ).drop("__items", "__parts", "__made")

@@ -144,3 +144,47 @@ def test_hosts_that_were_not_seen(spark):
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(bad + good)], "page_id long, url string")
     verdicts = {r.page_id: r.verdict for r in url_filter.judge(pages, (), model).collect()}
     assert [verdicts[i] for i in range(12)] == ["block"] * 6 + ["allow"] * 6
+
+
+BESIDE = {
+    "card": ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005"],
+    "phone": ["555-123-4567", "+1 555 123 4567", "+49 30 1234567", "+33 1 23 45 67 89", "+44 20 7946 0958", "030 1234567"],
+    "iban": ["GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "BE68 5390 0754 7034"],
+    "date": ["1999-12-31", "31.12.1999", "31/12/1999"],
+    "ssn": ["123-45-6789"],
+    "ip": ["10.20.30.40"],
+    "email": ["12jo@mail.example.com"],
+}
+
+
+def test_numbers_directly_beside_an_item(spark):
+    """A short number before or after an item, or another item, neither hides it nor is changed."""
+    cases = []
+    for kind, items in BESIDE.items():
+        for item in items:
+            cases += [(kind, item, a, b) for a, b in [("", ""), ("", " 12/25"), ("", " 737"), ("", " 2024"), ("12 ", ""), ("2024 ", " 5")]]
+    cases += [("card", "4111 1111 1111 1111", "", "-737"), ("card", "4111111111111111", "x1 77-", "")]
+    docs = make_docs(spark, [(i, f"see {a}{item}{b} now") for i, (_, item, a, b) in enumerate(cases)])
+    rows = {r.doc_id: r for r in feistel.pseudonymise(docs.select("doc_id", "text"), KEY).collect()}
+    alone = {}
+    for i, (kind, item, a, b) in enumerate(cases):
+        r = rows[i]
+        assert [x.kind for x in r.found] == [kind], (cases[i], r)
+        assert r.text == f"see {a}{r.found[0].new}{b} now", (cases[i], r)
+        assert r.found[0].new == alone.setdefault(item, r.found[0].new) != item
+        if kind == "iban":
+            assert iban_ok(r.found[0].new.replace(" ", "")) and [len(g) for g in r.found[0].new.split()] == [len(g) for g in item.split()]
+        if kind == "card":
+            assert luhn(re.sub(r"\D", "", r.found[0].new))
+
+
+def test_items_side_by_side(spark):
+    items = [(k, x) for k, v in BESIDE.items() for x in v]
+    pairs = [(a, b) for a in items for b in items]
+    docs = make_docs(spark, [(i, f"{a[1]} {b[1]}") for i, (a, b) in enumerate(pairs)])
+    rows = {r.doc_id: r for r in feistel.pseudonymise(docs.select("doc_id", "text"), KEY).collect()}
+    wrong = [(p, rows[i].found) for i, p in enumerate(pairs) if [x.kind for x in rows[i].found] != [p[0][0], p[1][0]]]
+    assert wrong == []
+    assert one(spark, "4111 1111 1111 1111 " * 300 + "12").text.count("4111 1111 1111 1111") == 0
+    assert one(spark, "BE12 4111 1111 1111 1111 12").text.endswith(" 12")
+    assert [x.kind for x in one(spark, "BE12 4111 1111 1111 1111 12").found] == ["card"]
