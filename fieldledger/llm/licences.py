@@ -164,22 +164,72 @@ def licence_rules() -> list[tuple[str, tuple[str, ...]]]:
 
 #: Marks of a sequence: an unknown stretch, and a place where a rule has taken its sentences.
 GAP, TAKEN = "~", "|"
+#: Mark of a line's end within a sentence.
+LINE = "|"
+#: Words that LEAD can start with.
+LEAD_WORDS = (
+    "this", "also", "dual", "licensed", "released", "distributed", "published", "available", "made",
+)
 
 
 def rule_text(identifiers: Sequence[str]) -> str:
     return "".join(f"<{i}>" for i in identifiers)
 
 
-def _sequence(sentences: str, known: dict[str, str]) -> Column:
-    """The identifiers of known sentences in order, with one mark for each unknown stretch;
-    ``sentences`` is an SQL expression of normalised sentences, one a line."""
+def _look_up(known: dict[str, str]):
     names = ", ".join(f"'{s}'" for s in known)
     ids = ", ".join(f"'{s}', '<{name}>'" for s, name in known.items())
+    return lambda s: f"CASE WHEN {s} IN ({names}) THEN element_at(map({ids}), {s}) ELSE '{GAP}' END"
+
+
+def _sequence(sentences: str, known: dict[str, str]) -> Column:
+    """The identifiers of known sentences in order, with one mark for each unknown stretch.
+
+    ``sentences`` is an SQL expression of normalised sentences, one a line, with LINE where a line
+    ends within one. A sentence of several lines is read from its first line on: the longest run of
+    lines that is known counts, a line that starts none is unknown.
+    """
     found = F.expr(
-        f"array_join(transform(filter(split({sentences}, '\n'), s -> s <> ''),"
-        f" s -> CASE WHEN s IN ({names}) THEN element_at(map({ids}), s) ELSE '{GAP}' END), '')"
+        f"transform(filter(split({sentences}, '\n'), s -> s <> ''),"
+        f" s -> CASE WHEN contains(s, '{LINE}') THEN s ELSE {_look_up(known)('s')} END)"
     )
-    return F.regexp_replace(found, f"{GAP}+", GAP)
+    firsts = "|".join(sorted({s.split(" ")[0] for s in known} | set(LEAD_WORDS)))
+    start = rf"^(?:(?:[0-9]+|[a-z]) )?(?:{firsts})(?: |$)"
+    longest = max((len(s.split(" ")) for s in known), default=1) + 12
+    table = F.create_map(*(F.lit(x) for s, name in known.items() for x in (s, f"<{name}>"))) if known else None
+
+    def bare(run: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(run, BULLET, ""), LEAD, "under ")
+
+    def of_lines(sentence: Column) -> Column:
+        lines = F.filter(F.split(sentence, rf"\{LINE}"), lambda x: bare(x) != "")
+
+        def read(lines: Column) -> Column:
+            def best(line, at):
+                def tried(k):
+                    return F.struct(
+                        k.alias("k"), F.try_element_at(table, bare(F.array_join(F.slice(lines, at + 1, k), " "))).alias("id")
+                    )
+
+                runs = F.sequence(F.least(F.lit(longest), F.size(lines) - at), F.lit(1), F.lit(-1))
+                hits = F.filter(F.transform(runs, tried), lambda x: x["id"].isNotNull())
+                return F.when(line.rlike(start), F.get(hits, F.lit(0)))
+
+            def step(state, b):
+                inside = state["left"] > 0
+                return F.struct(
+                    F.when(inside, state["left"] - 1).when(b.isNotNull(), b["k"] - 1).otherwise(0).alias("left"),
+                    F.when(inside, state["seq"]).otherwise(F.concat(state["seq"], F.coalesce(b["id"], F.lit(GAP)))).alias("seq"),
+                )
+
+            none = F.struct(F.lit(0).alias("left"), F.lit("").alias("seq"))
+            return F.aggregate(F.transform(lines, best), none, step, lambda x: x["seq"])
+
+        return F.transform(F.array(lines), read)[0]
+
+    if known:
+        found = F.transform(found, lambda s: F.when(s.contains(LINE), of_lines(s)).otherwise(s))
+    return F.regexp_replace(F.array_join(found, ""), f"{GAP}+", GAP)
 
 
 def scan_licences(
@@ -191,13 +241,12 @@ def scan_licences(
 ) -> DataFrame:
     """One row per document: key, licences, statements, known_sentences, unmatched, sequence.
 
-    Sentences end at ``.``, ``;``, ``:``, ``!`` or ``?`` before a blank, and at line breaks; lower
+    Sentences end at ``.``, ``;``, ``:``, ``!`` or ``?`` before a blank; lower
     case, letters and digits only, single blanks. In the sequence ``~`` stands for unknown
     sentences. A rule needs its identifiers side by side; rules are tried in order and take the
     sentences they match. licences: distinct names in rule order, joined by commas, empty if none;
-    statements: matches of all rules; unmatched: known sentences that no rule took. Where a text
-    has no licence with line breaks as ends, it is read again with line breaks as blanks, for
-    wrapped lines; empty lines end a sentence then. Null and empty texts have no sentence. One pass, no shuffle.
+    statements: matches of all rules; unmatched: known sentences that no rule took. A line
+    break ends a sentence unless the lines are known as one sentence; empty lines always end it. Null and empty texts have no sentence. One pass, no shuffle.
     """
     known = known_sentences() if known is None else known
     rules = licence_rules() if rules is None else rules
@@ -205,13 +254,15 @@ def scan_licences(
         "array(" + ", ".join(f"named_struct('name', '{name}', 'run', '{rule_text(ids)}')" for name, ids in rules) + ")"
     )
 
-    def sentences(wrapped: bool) -> Column:
-        body = F.lower(F.coalesce(F.col(text), F.lit("")))
-        if wrapped:
-            body = F.translate(F.regexp_replace(body, PARAGRAPH_END, ". "), "\r\n", "  ")
-        cut = F.regexp_replace(body, SENTENCE_END, "\n")
-        plain = F.regexp_replace(cut, r"[^a-z0-9\n]+", " ")
-        lines = F.regexp_replace(F.regexp_replace(plain, r" *\n *|^ | $", "\n"), BULLET, "")
+    def sentences() -> Column:
+        body = F.translate(F.lower(F.coalesce(F.col(text), F.lit(""))), f"{LINE}\r", "  ")
+        cut = F.regexp_replace(F.regexp_replace(body, PARAGRAPH_END, ". "), SENTENCE_END, "\r")
+        plain = F.regexp_replace(F.translate(cut, "\n\r", f"{LINE}\n"), rf"[^a-z0-9\n{LINE}]+", " ")
+        marked = F.when(
+            plain.contains(LINE),
+            F.regexp_replace(F.regexp_replace(plain, rf" ?\{LINE}[ {LINE}]*", LINE), rf"[ {LINE}]*\n[ {LINE}]*|^[ {LINE}]+|[ {LINE}]+$", "\n"),
+        ).otherwise(F.regexp_replace(plain, r" *\n *|^ | $", "\n"))
+        lines = F.regexp_replace(marked, BULLET, "")
         return F.when(lines.contains(" under "), F.regexp_replace(lines, LEAD, "under ")).otherwise(lines)
 
     def take(state, rule):
@@ -231,15 +282,9 @@ def scan_licences(
         return F.when(seq.contains("<"), F.aggregate(rule_list, start, take)).otherwise(none)
 
     read = docs.select(key, text)
-    by_line = read.withColumn("lines", sentences(False)).withColumn("seq", _sequence("lines", known))
-    by_line = by_line.withColumn("m", matched(F.col("seq")))
-    again = (F.size("m.names") == 0) & F.coalesce(F.lower(F.col(text)), F.lit("")).rlike(LICENCE_WORDS)
-    both = by_line.withColumn("lines2", F.when(again, sentences(True)))
-    both = both.withColumn("seq2", F.when(F.col("lines2").isNotNull(), _sequence("lines2", known)))
-    both = both.withColumn("m2", F.when(F.col("seq2").contains("<"), matched(F.col("seq2"))))
-    wrapped = F.size("m2.names") > 0
-    best = F.when(wrapped, F.col("m2")).otherwise(F.col("m"))
-    sequence = F.when(wrapped, F.col("seq2")).otherwise(F.col("seq"))
+    lines = read.withColumn("lines", sentences()).withColumn("seq", _sequence("lines", known))
+    both = lines.withColumn("m", matched(F.col("seq")))
+    best, sequence = F.col("m"), F.col("seq")
     count_ids = lambda s: (F.length(s) - F.length(F.replace(s, F.lit("<"), F.lit("")))).cast("long")
     return both.select(
         key,

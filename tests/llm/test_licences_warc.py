@@ -56,6 +56,25 @@ def test_odd_documents(tricky, no_docs, tricky_rows):
     assert licences.scan_licences(no_docs).count() == 0
 
 
+WRAPPED_BSD = BSD2.replace("modification, are", "modification,\nare").replace("this list", "this\nlist").replace("following disclaimer in", "following\ndisclaimer in")
+BOTH_WAYS = [
+    ("Licensed under the MIT License.\n\n" + MIT, {"MIT"}, 2),
+    ("Licensed under CC BY 4.0.\n" + WRAPPED_BSD, {"CC-BY-4.0", "BSD-2-Clause"}, 2),
+    ("BSD licence\n" + WRAPPED_BSD + "\nReleased under the ISC License\nmore", {"BSD-2-Clause", "ISC"}, 2),
+    ("Released under\nCC BY 4.0.", {"CC-BY-4.0"}, 1),
+    ("A table\nof words, released under\r\nCC0 1.0\nand more", set(), 0),
+    ("A table of words\nReleased under\r\nCC0 1.0\nand more", {"CC0-1.0"}, 1),
+    (" * This file is\n * licensed under the\n * MIT License\n *\n * more", {"MIT"}, 1),
+    ("# A | B\n" + "\n".join("# " + x for x in MIT.split("\n")), {"MIT"}, 1),
+]
+
+
+def test_statements_by_line_and_wrapped_in_one_text(spark):
+    rows = {r.doc_id: r for r in licences.scan_licences(make_docs(spark, [(i, c[0]) for i, c in enumerate(BOTH_WAYS)])).collect()}
+    for i, (text, expected, statements) in enumerate(BOTH_WAYS):
+        assert (set(filter(None, rows[i].licences.split(","))), rows[i].statements, rows[i].unmatched) == (expected, statements, 0), (text, rows[i])
+
+
 def test_own_tables(spark):
     row = licences.scan_licences(
         make_docs(spark, [(1, "First thing. Second thing. First thing.")]),
