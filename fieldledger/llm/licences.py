@@ -48,9 +48,10 @@ LEAD = (
 )
 #: Numbers and letters of lists at the start of a sentence.
 BULLET = "(?m)^(?:[0-9]+|[a-z])(?: |$)"
-#: Ends of sentences, ends of paragraphs, and a rough sign that a wrapped licence text is worth a second reading.
+#: Ends of sentences and paragraphs, a version mark that ends none, and the words that the DuckDB statement reads again for.
 SENTENCE_END = r"[.;:!?][ \t\r\n]+"
 PARAGRAPH_END = r"\n[ \t\r]*\n"
+VERSION_MARK = r"\bv\.[ \t\r\n]+(?=[0-9])"
 LICENCE_WORDS = "licen[sc]e|permission|redistribution"
 
 #: Full licence sentences, normalised, by identifier.
@@ -162,6 +163,44 @@ def licence_rules() -> list[tuple[str, tuple[str, ...]]]:
     return rules
 
 
+def published_sentences() -> dict[str, str]:
+    """Further sentences, normalised, as the licences' published headers have them once cut at their marks."""
+    out = {
+        "under apache license version 2 0 the license": "named:Apache-2.0",
+        "http www apache org licenses license 2 0": "apache-url",
+        "https www apache org licenses license 2 0": "apache-url",
+        "without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-implied",
+    }
+    for kind in ("program", "library"):
+        out[f"this {kind} is free software"] = "gpl-free"
+        out[f"this {kind} is distributed in the hope that it will be useful but without any warranty"] = "gpl-warranty"
+    for title_kind, title in _GPL_NAMES.items():
+        for v in _GPL_VERSIONS[title_kind]:
+            label = f"{title_kind}-{v.replace(' ', '.') if ' ' in v else v + '.0'}"
+            out[
+                f"you can redistribute it and or modify it under the terms of the {title} as published by the free"
+                f" software foundation either version {v} of the license or at your option any later version"
+            ] = f"gpl-later:{label}"
+    return out
+
+
+def published_rules() -> list[tuple[str, tuple[str, ...]]]:
+    """Rules of published headers; they are tried before the others, the longest first."""
+    rest = ("apache-warranty", "apache-see")
+    rules = [
+        ("Apache-2.0", (*name, "apache-grant", "apache-copy", *url, *tail))
+        for name in (("named:Apache-2.0",), ())
+        for tail in (rest, rest[:1], ())
+        for url in (("apache-url",), ())
+    ]
+    for name in sorted({i for i in known_sentences().values() if i.startswith("gpl-later:")}):
+        label = f"{name.partition(':')[2]}-or-later"
+        for free in (("gpl-free",), ()):
+            for tail in (("gpl-warranty", "gpl-implied"), ("gpl-warranty",), ()):
+                rules.append((label, (*free, name, *tail)))
+    return rules
+
+
 #: Marks of a sequence: an unknown stretch, and a place where a rule has taken its sentences.
 GAP, TAKEN = "~", "|"
 #: Mark of a line's end within a sentence.
@@ -195,6 +234,9 @@ def _sequence(sentences: str, known: dict[str, str]) -> Column:
     )
     firsts = "|".join(sorted({s.split(" ")[0] for s in known} | set(LEAD_WORDS)))
     start = rf"^(?:(?:[0-9]+|[a-z]) )?(?:{firsts})(?: |$)"
+    # Every known sentence holds its first two words, or "under", in whatever lines it is: others need no reading by lines.
+    openings = {rf"[ {LINE}]".join(s.split(" ")[:2]) for s in known if not s.startswith("under ")} | {"under"}
+    opening = rf"\b(?:{'|'.join(sorted(openings))})\b"
     longest = max((len(s.split(" ")) for s in known), default=1) + 12
     table = F.create_map(*(F.lit(x) for s, name in known.items() for x in (s, f"<{name}>"))) if known else None
 
@@ -228,7 +270,9 @@ def _sequence(sentences: str, known: dict[str, str]) -> Column:
         return F.transform(F.array(lines), read)[0]
 
     if known:
-        found = F.transform(found, lambda s: F.when(s.contains(LINE), of_lines(s)).otherwise(s))
+        found = F.transform(
+            found, lambda s: F.when(~s.contains(LINE), s).when(s.rlike(opening), of_lines(s)).otherwise(GAP)
+        )
     return F.regexp_replace(F.array_join(found, ""), f"{GAP}+", GAP)
 
 
@@ -241,21 +285,22 @@ def scan_licences(
 ) -> DataFrame:
     """One row per document: key, licences, statements, known_sentences, unmatched, sequence.
 
-    Sentences end at ``.``, ``;``, ``:``, ``!`` or ``?`` before a blank; lower
+    Sentences end at ``.``, ``;``, ``:``, ``!`` or ``?`` before a blank, but not at ``v.`` before a digit; lower
     case, letters and digits only, single blanks. In the sequence ``~`` stands for unknown
     sentences. A rule needs its identifiers side by side; rules are tried in order and take the
     sentences they match. licences: distinct names in rule order, joined by commas, empty if none;
     statements: matches of all rules; unmatched: known sentences that no rule took. A line
     break ends a sentence unless the lines are known as one sentence; empty lines always end it. Null and empty texts have no sentence. One pass, no shuffle.
     """
-    known = known_sentences() if known is None else known
-    rules = licence_rules() if rules is None else rules
+    known = known_sentences() | published_sentences() if known is None else known
+    rules = published_rules() + licence_rules() if rules is None else rules
     rule_list = F.expr(
         "array(" + ", ".join(f"named_struct('name', '{name}', 'run', '{rule_text(ids)}')" for name, ids in rules) + ")"
     )
 
     def sentences() -> Column:
         body = F.translate(F.lower(F.coalesce(F.col(text), F.lit(""))), f"{LINE}\r", "  ")
+        body = F.regexp_replace(body, VERSION_MARK, "v ")
         cut = F.regexp_replace(F.regexp_replace(body, PARAGRAPH_END, ". "), SENTENCE_END, "\r")
         plain = F.regexp_replace(F.translate(cut, "\n\r", f"{LINE}\n"), rf"[^a-z0-9\n{LINE}]+", " ")
         marked = F.when(

@@ -75,6 +75,53 @@ def test_statements_by_line_and_wrapped_in_one_text(spark):
         assert (set(filter(None, rows[i].licences.split(","))), rows[i].statements, rows[i].unmatched) == (expected, statements, 0), (text, rows[i])
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+GPL = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the {1} as published by
+the Free Software Foundation, either version {2} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+{1} for more details."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+UNLICENSE = "This is free and unencumbered software released into the public\ndomain.\n\nAnyone is free to copy."
+PUBLISHED = [
+    (APACHE, "Apache-2.0"), (APACHE.replace("http:", "https:"), "Apache-2.0"), (APACHE.split("\n", 1)[1], "Apache-2.0"),
+    (MPL, "MPL-2.0"), (GPL.format(":", "GNU General Public License", "3"), "GPL-3.0-or-later"),
+    (GPL.format(";", "GNU General Public License", "2"), "GPL-2.0-or-later"),
+    (GPL.format(":", "GNU Affero General Public License", "3"), "AGPL-3.0-or-later"),
+    (GPL.format(";", "GNU Lesser General Public License", "2.1").replace("program", "library"), "LGPL-2.1-or-later"),
+    (ISC, "ISC"), (UNLICENSE, "Unlicense"), (MIT, "MIT"), (WRAPPED_BSD, "BSD-2-Clause"),
+    ("Licensed under the Mozilla Public License, v. 2.0.", "MPL-2.0"),
+]
+
+
+def test_published_headers(spark):
+    """Each header as published, on one line a paragraph, and as a comment."""
+    one_line = lambda t: "\n\n".join(" ".join(x.split()) for x in t.split("\n\n"))
+    forms = [(f(t), name) for t, name in PUBLISHED for f in (str, one_line, lambda t: "\n".join(" * " + x for x in t.split("\n")))]
+    rows = {r.doc_id: r for r in licences.scan_licences(make_docs(spark, [(i, c[0]) for i, c in enumerate(forms)])).collect()}
+    for i, (text, name) in enumerate(forms):
+        assert (rows[i].licences, rows[i].statements, rows[i].unmatched) == (name, 1, 0), (text, rows[i])
+
+
 def test_own_tables(spark):
     row = licences.scan_licences(
         make_docs(spark, [(1, "First thing. Second thing. First thing.")]),
