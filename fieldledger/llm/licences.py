@@ -303,10 +303,8 @@ def scan_licences(
         body = F.regexp_replace(body, VERSION_MARK, "v ")
         cut = F.regexp_replace(F.regexp_replace(body, PARAGRAPH_END, ". "), SENTENCE_END, "\r")
         plain = F.regexp_replace(F.translate(cut, "\n\r", f"{LINE}\n"), rf"[^a-z0-9\n{LINE}]+", " ")
-        marked = F.when(
-            plain.contains(LINE),
-            F.regexp_replace(F.regexp_replace(plain, rf" ?\{LINE}[ {LINE}]*", LINE), rf"[ {LINE}]*\n[ {LINE}]*|^[ {LINE}]+|[ {LINE}]+$", "\n"),
-        ).otherwise(F.regexp_replace(plain, r" *\n *|^ | $", "\n"))
+        joined = F.regexp_replace(plain, rf" ?\{LINE}[ {LINE}]*", LINE)
+        marked = F.regexp_replace(joined, rf"[ {LINE}]?\n[ {LINE}]*|^[ {LINE}]+|[ {LINE}]$", "\n")
         lines = F.regexp_replace(marked, BULLET, "")
         return F.when(lines.contains(" under "), F.regexp_replace(lines, LEAD, "under ")).otherwise(lines)
 
