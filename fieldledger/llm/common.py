@@ -6,6 +6,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,40 @@ def text_slices(
             yield piece.reset_index(drop=True)
 
 
+def arrow_slices(
+    batches: Iterable[pa.RecordBatch], column: int = 1, chars: int = 1_000_000, rows: int = 10_000
+) -> Iterator[pa.RecordBatch]:
+    """The same for Arrow batches, by the bytes of a text column; nulls stay."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = sizes.astype(np.int64).cumsum() // chars + np.arange(batch.num_rows) // rows
+        starts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, batch.num_rows].tolist()
+        for lo, hi in zip(starts, starts[1:], strict=False):
+            yield batch.slice(lo, hi - lo)
+
+
+def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (rid, label) after joining the classes of linked rows (a, b); a class is named by its
+    smallest rid. Each turn hooks every class to the smallest one it touches."""
+    while True:
+        la = labels.select(F.col("rid").alias("a"), F.col("label").alias("la"))
+        lb = labels.select(F.col("rid").alias("b"), F.col("label").alias("lb"))
+        across = links.join(la, "a").join(lb, "b").filter("la <> lb")
+        hooks = stored(
+            across.groupBy(F.greatest("la", "lb").alias("label")).agg(F.min(F.least("la", "lb")).alias("to")), "hooks"
+        )
+        if hooks.isEmpty():
+            return labels
+        for _ in range(2):  # a class that is hooked to a hooked one goes on to that one's
+            further = hooks.select(F.col("label").alias("to"), F.col("to").alias("further"))
+            hooks = hooks.join(further, "to", "left").select("label", F.coalesce("further", "to").alias("to"))
+        labels = stored(
+            labels.join(hooks, "label", "left").select("rid", F.coalesce("to", "label").alias("label")), "labels"
+        )
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser with full avalanche (xor-shift and multiply)."""
     x = x ^ (x >> np.uint64(30))

@@ -96,6 +96,68 @@ FROM best
 """
 
 
+def _vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Whole numbers below 2**53 are exact in the inner products."""
+    steps = [
+        f"""
+kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label,
+    list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+pieces AS MATERIALIZED (
+  SELECT rid, part, v[len(v) * part // {parts} + 1 : len(v) * (part + 1) // {parts}] AS x
+  FROM kept, (SELECT unnest(range({parts})) AS part)
+),
+sized AS MATERIALIZED (SELECT *, list_inner_product(x, x) AS xx FROM pieces),
+book0 AS MATERIALIZED (
+  SELECT part, rid - 1 AS entry, x AS y, list_inner_product(x, x) AS yy FROM pieces WHERE rid <= {entries}
+)"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"""
+near{k} AS MATERIALIZED (
+  SELECT rid, p.part, min({{'d': (xx - 2 * list_inner_product(x, y) + yy)::BIGINT, 'e': entry}}) AS best
+  FROM sized AS p JOIN book{k} AS b ON p.part = b.part
+  GROUP BY rid, p.part
+)""")
+        if k < rounds:
+            steps.append(f"""
+mean{k} AS (
+  SELECT part, entry, list(((s - (((s % n) + n) % n)) // n)::DOUBLE ORDER BY pos) AS y
+  FROM (
+    SELECT part, entry, pos, sum(x)::BIGINT AS s, count(*) AS n
+    FROM (
+      SELECT p.part, best.e AS entry, unnest(x) AS x, generate_subscripts(x, 1) AS pos
+      FROM pieces AS p JOIN near{k} AS n ON p.rid = n.rid AND p.part = n.part
+    )
+    GROUP BY ALL
+  )
+  GROUP BY part, entry
+),
+book{k + 1} AS MATERIALIZED (
+  SELECT part, entry, y, list_inner_product(y, y) AS yy
+  FROM (
+    SELECT b.part, b.entry, coalesce(m.y, b.y) AS y
+    FROM book{k} AS b LEFT JOIN mean{k} AS m ON b.part = m.part AND b.entry = m.entry
+  )
+)""")
+    return f"""
+WITH {",".join(steps)},
+coded AS (
+  SELECT rid, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error
+  FROM near{rounds} GROUP BY rid
+),
+flat AS (
+  SELECT part, entry, unnest(y)::BIGINT AS y, generate_subscripts(y, 1) AS pos FROM book{rounds}
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, entry, pos)) FROM flat) AS codebooks_sha256
+FROM kept JOIN coded USING (rid)
+"""
+
+
 STATEMENTS: dict[str, str] = {
     "op1_licence_scan": _licences(),
     "op2_rendezvous_shards": _shards(),
@@ -105,4 +167,5 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
   doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
 FROM d
 """,
+    "op12_vector_codes": _vector_codes(),
 }

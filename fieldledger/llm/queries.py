@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from fieldledger.llm import (
@@ -15,10 +14,13 @@ from fieldledger.llm import (
     licences,
     mixing,
     oracles,
+    periodic_runs,
     sharding,
+    simhash_index,
     spaced_seeds,
     toxicity,
     url_filter,
+    vector_codes,
     warc,
 )
 from fieldledger.llm.common import label_fold, table
@@ -101,6 +103,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, model)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.repeat_tail(table(spark, sf_dir, "documents"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(docs))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_error(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(vector_codes.codebooks_digest(codebooks)).alias("codebooks_sha256")
+    )
+
+
+def op13_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_index.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licence_scan": op1_licence_scan,
     "op2_rendezvous_shards": op2_rendezvous_shards,
@@ -112,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_soft_mixing": op8_soft_mixing,
     "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
     "op10_url_filter": op10_url_filter,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_simhash_index": op13_simhash_index,
 }
 
 ORACLES: dict[str, str] = dict(oracles.STATEMENTS)
