@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldledger.llm.common import mix64, stored, text_slices
+from fieldledger.llm.common import merge_labels, mix64, stored, text_slices
 from fieldledger.llm.spaced_seeds import tokens_of
 
 SHINGLE = 5
@@ -33,10 +33,10 @@ DARTS = COORDINATES * (np.log(COORDINATES) + 2)
 LOWEST = -4
 #: A task signs so many texts, or characters, at a time; each text has about DARTS darts.
 SLICE_ROWS, SLICE_CHARS = 200, 500_000
-#: Buckets up to this size compare all pairs of different classes at once.
-SMALL_BUCKET = 32
-#: After so many rounds of centres all remaining pairs are compared.
-CENTRE_ROUNDS = 2
+#: Shingles are counted in so many groups to bound what two sets can have in common.
+GROUPS = 32
+#: Buckets are compared in blocks of about so many members, each block pair a row group of its own.
+BLOCK = 1024
 
 
 @cache
@@ -115,6 +115,12 @@ def shingles_of(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, counts.astype(float)
 
 
+def _shortened(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 32-bit hashes of distinct shingles; the weights of hashes that fall together add up."""
+    short, place = np.unique((values >> np.uint64(32)).astype(np.uint32).view(np.int32), return_inverse=True)
+    return short, np.bincount(place, weights=weights, minlength=len(short)).astype(np.float32)
+
+
 def _signature_batches(weighting: str) -> Callable:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in text_slices(batches, chars=SLICE_CHARS, rows=SLICE_ROWS):
@@ -126,7 +132,8 @@ def _signature_batches(weighting: str) -> Callable:
             element = np.concatenate([s for s, _ in sets])
             weight = np.concatenate([w for _, w in sets]) if weighting == "count" else np.ones(len(element))
             keys = band_keys(signatures(owner, element, weight, len(sets)))
-            weights = np.split(weight.astype(np.float32), np.cumsum(sizes)[:-1])
+            short = [_shortened(s, w) for s, w in sets]
+            totals = [float(len(s) if weighting != "count" else w.sum()) for s, w in short]
             yield pd.DataFrame(
                 {
                     "doc_id": rows.doc_id.astype("Int64"),
@@ -136,9 +143,9 @@ def _signature_batches(weighting: str) -> Callable:
                         hashlib.md5(p.tobytes() if len(p) else b"\0" + t.encode()).hexdigest()
                         for p, t in zip(parts, rows.text, strict=True)
                     ],
-                    "total": np.bincount(owner, weights=weight, minlength=len(sets)),
-                    "shingles": [(s >> np.uint64(32)).astype(np.uint32).view(np.int32) for s, _ in sets],
-                    "weights": weights if weighting == "count" else None,
+                    "total": totals,
+                    "shingles": [s for s, _ in short],
+                    "weights": [w for _, w in short] if weighting == "count" else None,
                     "bands": [k if n else k[:0] for k, n in zip(keys, sizes, strict=True)],
                 }
             )
@@ -166,26 +173,6 @@ def _verify(threshold: float) -> Callable:
     return run
 
 
-def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels (rid, label) after joining the classes of linked rows; a class is named by its
-    smallest rid. Each turn hooks every class to the smallest one it touches."""
-    while True:
-        la = labels.select(F.col("rid").alias("a"), F.col("label").alias("la"))
-        lb = labels.select(F.col("rid").alias("b"), F.col("label").alias("lb"))
-        across = links.join(la, "a").join(lb, "b").filter("la <> lb")
-        hooks = stored(
-            across.groupBy(F.greatest("la", "lb").alias("label")).agg(F.min(F.least("la", "lb")).alias("to")), "hooks"
-        )
-        if hooks.isEmpty():
-            return labels
-        for _ in range(2):  # a class that is hooked to a hooked one goes on to that one's
-            further = hooks.select(F.col("label").alias("to"), F.col("to").alias("further"))
-            hooks = hooks.join(further, "to", "left").select("label", F.coalesce("further", "to").alias("to"))
-        labels = stored(
-            labels.join(hooks, "label", "left").select("rid", F.coalesce("to", "label").alias("label")), "labels"
-        )
-
-
 def _link(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) that reach the threshold, of pairs whose sizes allow it."""
     a = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
@@ -200,35 +187,44 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return held.join(keys.filter("lo < hi").select("key", "n"), "key")
 
 
-def _own_weight(held: DataFrame, sets: DataFrame) -> DataFrame:
-    """rid, own: what each open set has to itself among all open sets; linear in their elements."""
+def _in_groups(weight: Column) -> list[Column]:
+    """Sums of weight by group of the shingle."""
+    group = F.pmod("shingle", F.lit(GROUPS))
+    return [F.sum(F.when(group == g, weight).otherwise(0.0)).alias(f"g{g}") for g in range(GROUPS)]
+
+
+def _shared_weight(held: DataFrame, sets: DataFrame) -> DataFrame:
+    """rid, shared: for each open set the weight, by group, of the elements it shares with any other
+    open set. Linear in their elements: all it has, less what it has to itself."""
     ones = F.transform("shingles", lambda _: F.lit(1.0).cast("float"))
     elements = F.arrays_zip("shingles", F.coalesce("weights", ones).alias("weights"))
-    rows = sets.join(held.select("rid").distinct(), "rid").select("rid", F.explode(elements).alias("x"))
-    alone = (
-        rows.groupBy("x.shingles")
-        .agg(F.count("*").alias("n"), F.min("rid").alias("rid"), F.min("x.weights").alias("w"))
-        .filter("n = 1")
+    rows = stored(
+        sets.join(held.select("rid").distinct(), "rid")
+        .select("rid", F.explode(elements).alias("x"))
+        .select("rid", F.col("x.shingles").alias("shingle"), F.col("x.weights").alias("w")),
+        "elements",
     )
-    return alone.groupBy("rid").agg(F.sum("w").alias("own"))
+    alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("rid").alias("rid"), F.min("w").alias("w")).filter("n = 1")
+    signed = rows.unionByName(alone.select("rid", "shingle", (-F.col("w")).alias("w")))
+    sums = signed.groupBy("rid").agg(*_in_groups(F.col("w")))
+    return sums.select("rid", F.array(*(F.col(f"g{g}").cast("float") for g in range(GROUPS))).alias("shared"))
 
 
-def _possible(a: str, own_a: str, b: str, own_b: str, threshold: float) -> Column:
-    """Whether two sets of totals a and b can reach the threshold: what a set has to itself is in
-    no intersection. Exact."""
-    common = F.least(F.col(a) - F.col(own_a), F.col(b) - F.col(own_b))
-    return common >= threshold * (F.col(a) + F.col(b) - common) - F.lit(1e-4)
+def _possible(common: Column, a: str, b: str, threshold: float) -> Column:
+    """Whether two sets of totals a and b with at most ``common`` in both can reach the threshold."""
+    return common >= threshold * (F.col(a) + F.col(b) - common) - F.lit(1e-3)
 
 
 def _classes(sets: DataFrame, threshold: float) -> DataFrame:
     """rid, label of the sets that share a band with another; a label is the smallest rid of a class.
 
-    In each bucket all members are compared with a centre, the member with the largest buckets
-    overall. A bucket whose members are then of one class is done. From the others the centre,
-    which has met every member, is taken out; in the next round small buckets compare all pairs of
-    different classes, larger ones the next centre; after CENTRE_ROUNDS rounds all that is left is
-    compared. Pairs whose totals and own weights rule the threshold out are not looked at. So every
-    pair that shares a band is linked, known to be dissimilar, or of one class.
+    First all members of a bucket are compared with a centre, the member that meets most others over
+    all its buckets. That joins what is near one original. A bucket whose members are then of one
+    class is done. In the others, members of different classes are held against each other by an
+    upper bound of what they can have in common: the smaller of both sums, group by group of
+    shingles, of what each shares with any open set. Only pairs that the bound lets through become
+    rows, and these are compared shingle by shingle. So every pair that shares a band is linked,
+    known to be dissimilar, or of one class; no pair is left out. Large buckets are dealt in blocks.
     """
     bands = sets.select("rid", "total", F.explode("bands").alias("key"))
     sizes = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -236,43 +232,35 @@ def _classes(sets: DataFrame, threshold: float) -> DataFrame:
     weight = members.groupBy("rid").agg(F.sum("n").alias("meets"))
     members = stored(members.join(weight, "rid").select("key", "rid", "total", "meets"), "members")
     labels = stored(members.select("rid", F.col("rid").alias("label")).distinct(), "labels")
-    close = _possible("total", "own", "other", "other_own", threshold)
-    turn = 0
-    while True:
-        held = stored(_open(members, labels), "open")
-        if held.isEmpty():
-            return labels
-        if turn:
-            own = stored(_own_weight(held, sets), "own")
-            held = held.join(own, "rid", "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
-            held = stored(held, "open")
-        else:
-            held = held.withColumn("own", F.lit(0.0))
-        every = F.lit(turn > CENTRE_ROUNDS) | ((F.col("n") <= SMALL_BUCKET) & F.lit(turn > 0))
-        centre = held.filter(~every).groupBy("key").agg(
-            F.max(
-                F.struct("meets", (-F.col("rid")).alias("r"), F.col("label").alias("l"), F.col("total").alias("t"), F.col("own").alias("o"))
-            ).alias("c")
-        )
-        # Stored, so that the join below reads two shuffles and can split large buckets.
-        centre = stored(
-            centre.select(
-                "key", (-F.col("c.r")).alias("b"), F.col("c.l").alias("lb"), F.col("c.t").alias("other"), F.col("c.o").alias("other_own")
-            ),
-            "centres",
-        )
-        stars = held.join(centre, "key").filter((F.col("rid") != F.col("b")) & (F.col("label") != F.col("lb")) & close)
-        pairs = stars.select(F.least("rid", "b").alias("a"), F.greatest("rid", "b").alias("b"))
-        if turn:
-            other = held.filter(every).select(
-                "key", F.col("rid").alias("b"), F.col("label").alias("lb"), F.col("total").alias("other"), F.col("own").alias("other_own")
-            )
-            crossed = held.filter(every).join(other, "key").filter((F.col("rid") < F.col("b")) & (F.col("label") != F.col("lb")) & close)
-            pairs = pairs.unionByName(crossed.select(F.col("rid").alias("a"), "b"))
-        labels = _merge(labels, _link(pairs.distinct(), sets, threshold))
-        left = held.filter(~every).join(centre.select("key", "b"), "key").filter(F.col("rid") != F.col("b"))
-        members = stored(left.select("key", "rid", "total", "meets"), "members")
-        turn += 1
+    best = F.max(F.struct("meets", (-F.col("rid")).alias("r"), F.col("total").alias("t"))).alias("c")
+    # Stored, so that the join below reads two shuffles and can split large buckets.
+    centre = stored(
+        members.groupBy("key").agg(best).select("key", (-F.col("c.r")).alias("b"), F.col("c.t").alias("other")), "centres"
+    )
+    met = members.join(centre, "key").filter(F.col("rid") != F.col("b"))
+    stars = met.filter(_possible(F.least("total", "other"), "total", "other", threshold))
+    pairs = stars.select(F.least("rid", "b").alias("a"), F.greatest("rid", "b").alias("b")).distinct()
+    labels = merge_labels(labels, _link(pairs, sets, threshold))
+    held = stored(_open(met.select("key", "rid", "total"), labels), "open")
+    if held.isEmpty():
+        return labels
+    held = stored(held.join(_shared_weight(held, sets), "rid"), "open")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own, every = F.pmod(F.xxhash64("rid"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    left = held.select("key", "rid", "label", "total", "shared", own.alias("i"), every.alias("j"))
+    right = held.select(
+        "key",
+        F.col("rid").alias("b"),
+        F.col("label").alias("lb"),
+        F.col("total").alias("other"),
+        F.col("shared").alias("other_shared"),
+        every.alias("i"),
+        own.alias("j"),
+    )
+    common = sum((F.least(F.col("shared")[g], F.col("other_shared")[g]) for g in range(1, GROUPS)), F.least(F.col("shared")[0], F.col("other_shared")[0]))
+    close = (F.col("rid") < F.col("b")) & (F.col("label") != F.col("lb")) & _possible(common, "total", "other", threshold)
+    pairs = left.join(right, ["key", "i", "j"]).filter(close).select(F.col("rid").alias("a"), "b").distinct()
+    return merge_labels(labels, _link(pairs, sets, threshold))
 
 
 def near_duplicates(
@@ -285,7 +273,7 @@ def near_duplicates(
     texts are linked from ``threshold`` on, and classes are what links connect. class_id is the
     smallest id of the class, whose row is kept (exactly one row; null ids come last). Texts
     without any word, null and empty among them, are alike only if equal, null being empty. Equal
-    texts are compared once. Other columns are not read.
+    texts are compared once. Ids are read as 64-bit numbers. Other columns are not read.
     """
     texts = docs.select(
         F.col(id_column).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("text_key")

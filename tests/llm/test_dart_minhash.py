@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from fieldledger.llm import dart_minhash
 from fieldledger.llm.dart_minhash import (
     COORDINATES,
     keep_one_per_class,
@@ -132,3 +133,18 @@ def test_one_row_of_each_class_stays(spark, tricky_rows):
 def test_no_documents(no_docs):
     assert near_duplicates(no_docs).count() == 0
     assert keep_one_per_class(no_docs).count() == 0
+
+
+def test_large_group_in_blocks(spark, monkeypatch):
+    """A few hundred variants around the threshold: many links, many that just miss, no pair lost."""
+    monkeypatch.setattr(dart_minhash, "BLOCK", 16)
+    rng = random.Random(12)
+    text = prose(31, 150)
+    rows = [(i, mutated(text, rng, rng.randint(1, 9))) for i in range(250)] + [(900, text)]
+    check(rows, near_duplicates(make_docs(spark, rows)).collect())
+
+
+def test_shingles_that_fall_together_count_once():
+    values = np.array([1 << 40, (1 << 40) + 5, 1 << 50], dtype=np.uint64)
+    short, weights = dart_minhash._shortened(values, np.array([1.0, 2.0, 1.0]))
+    assert len(short) == 2 and sorted(weights) == [1.0, 3.0]
