@@ -7,6 +7,8 @@ documents, however they are punctuated.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +32,20 @@ _ABROAD = (
     r"|\d{1,4}[ ./-]\d{3,4}[ .-]\d{3,4}|\d{2,5}[ ./-]\d{5,8}|\d{8,12}"
 )
 _AT_HOME = r"0\d(?:[ .-]\d{2}){4}|0\d{1,4}[ /-]\d{3,4}[ -]\d{3,4}|0\d{2,5}[ /-]\d{5,8}"
+MONTHS = (
+    "January", "February", "March", "April", "May", "June",
+    "July", "August", "September", "October", "November", "December",
+)
+_MONTH = f"(?:{'|'.join(MONTHS)})"
+_DAY = r"(?:[1-9]|[12]\d|3[01])"
 #: Kinds of items in the order in which they are tried at a place, each with its layout.
 LAYOUTS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.)++[A-Za-z]{2,24}\b",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
-    "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-]|\.\d)",
+    "date": (
+        r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}"
+        rf"|{_DAY} {_MONTH} \d{{4}}|{_MONTH} {_DAY}, \d{{4}})(?![\w/-]|\.\d)"
+    ),
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w)",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
@@ -51,7 +62,7 @@ PRINTED_IBAN = "|".join(
 )
 #: Digits of a run of numbers, unless another item starts there or the number goes on.
 _NUMBER = (
-    r"(?![A-Za-z0-9._%+-]{0,63}@|\d{2}/\d{2}/\d{4}(?![\w/-]|\.\d)|0\d{2,5}/\d{3})\d++(?!\w|\.\d|-(?!\d))"
+    r"(?![A-Za-z0-9._%+-]{0,63}@|\d{1,2}/\d{1,2}/\d{4}(?![\w/-]|\.\d)|0\d{2,5}/\d{3})\d++(?!\w|\.\d|-(?!\d))"
 )
 #: Numbers side by side, which may be several items: 13 digits or more, or a printed IBAN and what follows it.
 RUN_LAYOUT = (
@@ -61,20 +72,31 @@ RUN_LAYOUT = (
 #: Usual groups of a card's digits; other groups are tried where nothing else fits, by number of digits in this order.
 CARD_GROUPS = r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5}"
 CARD_SIZES = (16, 15, 19, 18, 17, 14, 13)
+#: Labels of a host name at most. A group that may be given back, and so is matched by recursion, needs such a bound.
+HOST_LABELS = 127
 #: Any item but those in runs of numbers, and any item or run; the mail name's characters are taken whole, so this has
 #: no costly retries.
 ANY_LAYOUT = "|".join(
-    [LAYOUTS["email"].replace("{0,63}+@", "{0,63}@").replace("++", "+"), LAYOUTS["ip"], RUN_LAYOUT]
+    [LAYOUTS["email"].replace(")++", f"){{1,{HOST_LABELS}}}"), LAYOUTS["ip"], RUN_LAYOUT]
     + [LAYOUTS[k] for k in ("date", "ssn", "iban", "phone")]
 )
 #: Kind of a part that is no item.
 BETWEEN = "between"
 VALID_SSN = r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}"
-DATE_FORMATS = {
-    r"^\d{4}-\d{2}-\d{2}$": "yyyy-MM-dd",
-    r"^\d{2}\.\d{2}\.\d{4}$": "dd.MM.yyyy",
-    r"^\d{2}/\d{2}/\d{4}$": "dd/MM/yyyy",
-}
+#: Layout and format of each kind of date. Slash dates are day first where that is a date, else month
+#: first; a class is permuted within itself, so that no two dates get the same pseudonym.
+DATE_FORMATS = (
+    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
+    (r"^\d{2}\.\d{2}\.\d{4}$", "dd.MM.yyyy"),
+    (r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy"),
+    (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"),
+    (r"^(?:[1-9]/[1-9]\d?|[1-9]\d/[1-9])/\d{4}$", "d/M/yyyy"),
+    (r"^(?:[1-9]/[1-9]\d?|[1-9]\d/[1-9])/\d{4}$", "M/d/yyyy"),
+    (rf"^{_DAY} {_MONTH} \d{{4}}$", "d MMMM yyyy"),
+    (rf"^{_MONTH} {_DAY}, \d{{4}}$", "MMMM d, yyyy"),
+)
+#: Times that a date is permuted again at most until it is of its class; a chance below 1e-25 of more.
+WALK = 64
 #: Days from 1800-01-01 to 2199-12-31 are 189 x 773; dates outside are left as they are.
 FIRST_DAY, DATE_SIDES = "1800-01-01", (189, 773)
 #: Valid areas (001-899 but 666), and groups and serials (neither all zero).
@@ -88,8 +110,12 @@ def _let(value: Column, body) -> Column:
 
 
 def _mac(key: str, kind: str, turn: Column, other: Column) -> Column:
-    """Hex digest of one round, 128 characters."""
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), other.cast("string")), 512)
+    """Hex digest of one round, 128 characters: HMAC-SHA-512 of kind, turn and the other half under
+    the digest of the key. Kind and turn hold no bar, so no two messages are alike."""
+    secret = hashlib.sha512(key.encode()).digest().ljust(128, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ pad for b in secret)) for pad in (0x36, 0x5C))
+    message = F.concat_ws("|", F.lit(kind), turn.cast("string"), other.cast("string")).cast("binary")
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 512))), 512)
 
 
 def _mac_number(*args) -> Column:
@@ -215,19 +241,43 @@ def _ip(m: Column, key: str) -> Column:
     return _let(F.transform(F.split(m, r"\."), lambda x: x.cast("long")), body)
 
 
+#: Formats of which only some dates are written so; the others are read in an earlier format.
+PART_CLASSES = {
+    "MM/dd/yyyy": lambda day: F.dayofmonth(day) > 12,
+    "d/M/yyyy": lambda day: (F.dayofmonth(day) < 10) | (F.month(day) < 10),
+    "M/d/yyyy": lambda day: (F.dayofmonth(day) > 12) & (F.month(day) < 10),
+}
+
+
+def _in_class(day: Column, fmt: str) -> Column:
+    return PART_CLASSES.get(fmt, lambda _: F.lit(True))(day)
+
+
 def _date(m: Column, key: str) -> Column:
+    def at(n):
+        return F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
+
     def moved(fmt):
         def body(d):
-            new = F.date_add(F.lit(FIRST_DAY).cast("date"), permute_number(d, DATE_SIDES, key, "date").cast("int"))
-            return F.when((d >= 0) & (d < DATE_SIDES[0] * DATE_SIDES[1]), F.date_format(new, fmt))
+            # The first step always moves; further ones go on while the date is of another class.
+            def step(n, i):
+                again = permute_number(n, DATE_SIDES, key, "date")
+                return F.when((i > 1) & _in_class(at(n), fmt), n).otherwise(again)
+
+            if fmt in PART_CLASSES:
+                new = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), d, step)
+            else:
+                new = permute_number(d, DATE_SIDES, key, "date")
+            inside = (d >= 0) & (d < DATE_SIDES[0] * DATE_SIDES[1])
+            return F.when(inside, _let(new, lambda n: F.when(_in_class(at(n), fmt), F.date_format(at(n), fmt))))
 
         return body
 
-    out = F.lit(None).cast("string")
-    for layout, fmt in DATE_FORMATS.items():
+    def tried(layout, fmt):
         day = F.datediff(F.try_to_timestamp(m, F.lit(fmt)).cast("date"), F.lit(FIRST_DAY).cast("date"))
-        out = F.when(m.rlike(layout), _let(day.cast("long"), moved(fmt))).otherwise(out)
-    return out
+        return F.when(m.rlike(layout), _let(day.cast("long"), moved(fmt)))
+
+    return F.coalesce(*(tried(layout, fmt) for layout, fmt in DATE_FORMATS))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -399,7 +449,9 @@ def item_parts(item: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Replace ``text`` and add ``found`` array<struct<kind,new>>, one entry for each item replaced.
 
-    ``key`` is the secret of the permutations. Numbers side by side are parted into the items among
+    ``key`` is the secret of the permutations. What is derived from it stands as literals in the plan,
+    and so in the event log and the user interface, which need the same protection; the key itself
+    does not. Dates with slashes count as day first where that is a date, else as month first. Numbers side by side are parted into the items among
     them. Items that don't validate, and everything between items, stay byte for byte. A null text
     stays null with ``found`` empty; other columns pass through. One pass over the rows, without a
     shuffle.
