@@ -7,6 +7,7 @@ the two token rows are laid side by side and the best stretch with few substitut
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
@@ -19,6 +20,8 @@ from fieldledger.llm.common import mix64, stored, text_slices
 
 #: The masks; 1 is compared, 0 may differ.
 MASKS = ("11111", "1101011", "11001011", "101011001", "1000110101", "110000010011")
+#: A text with fewer tokens has no window; it is hashed as a whole.
+SHORTEST = min(map(len, MASKS))
 #: Tokens of context kept on both sides of the outermost hits; hits nearer than twice that share a stretch.
 REACH = 64
 #: An overlap counts from so many tokens, of which this share is equal; every such overlap holds a
@@ -51,16 +54,23 @@ def window_hashes(tokens: np.ndarray, mask: str, number: int) -> np.ndarray:
     return mix64(out)
 
 
+def whole_hash(tokens: np.ndarray) -> np.ndarray:
+    """Hash of a whole text that is too short for any window."""
+    return window_hashes(tokens, "1" * len(tokens), len(MASKS) + len(tokens))
+
+
 def _item_windows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in text_slices(batches):
         tokens, counts = tokens_of(rows.text)
         ends = np.cumsum(counts)
-        for item, start, end in zip(rows.item_id, ends - counts, ends, strict=True):
+        for item, start, end in zip(rows.item, ends - counts, ends, strict=True):
             own = tokens[start:end]
-            for number, mask in enumerate(MASKS):
-                hashes = window_hashes(own, mask, number)
+            found = [window_hashes(own, mask, number) for number, mask in enumerate(MASKS)]
+            if 0 < len(own) < SHORTEST:
+                found.append(whole_hash(own))
+            for hashes in found:
                 yield pd.DataFrame(
-                    {"item_id": item, "hash": hashes.view(np.int64), "item_at": np.arange(len(hashes), dtype=np.int32)}
+                    {"item": item, "hash": hashes.view(np.int64), "item_at": np.arange(len(hashes), dtype=np.int32)}
                 )
 
 
@@ -68,7 +78,7 @@ def _item_tokens(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in text_slices(batches):
         tokens, counts = tokens_of(rows.text)
         parts = np.split(tokens.view(np.int64), np.cumsum(counts)[:-1])
-        yield pd.DataFrame({"item_id": rows.item_id, "item_tokens": parts})
+        yield pd.DataFrame({"item": rows.item, "item_tokens": parts})
 
 
 def hash_bitmap(windows: DataFrame) -> tuple[int, np.ndarray]:
@@ -103,6 +113,12 @@ def _stretches(bits: int, packed):
             tokens, counts = tokens_of(rows.text)
             ends = np.cumsum(counts)
             at, hashes, masks = [], [], []
+            for d in np.flatnonzero((counts > 0) & (counts < SHORTEST)):
+                own = whole_hash(tokens[ends[d] - counts[d] : ends[d]])
+                if _flagged(flags, own >> first)[0] and _flagged(flags, (own >> second) & low)[0]:
+                    at.append(np.array([ends[d] - counts[d]]))
+                    hashes.append(own)
+                    masks.append(counts[d : d + 1])
             for number, mask in enumerate(MASKS):
                 all_hashes = window_hashes(tokens, mask, number)
                 hit = np.flatnonzero(_flagged(flags, all_hashes >> first))
@@ -129,13 +145,14 @@ def _stretches(bits: int, packed):
                 out.append(
                     (
                         rows.doc_id.iloc[d],
+                        hashlib.md5(rows.text.iloc[d].encode()).hexdigest(),
                         int(start - (ends[d] - counts[d])),
                         tokens[start:stop].view(np.int64),
                         hashes[lo:hi].view(np.int64),
                         (at[lo:hi] - start).astype(np.int32),
                     )
                 )
-            frame = pd.DataFrame(out, columns=["doc_id", "start", "tokens", "hashes", "places"])
+            frame = pd.DataFrame(out, columns=["doc_id", "doc_key", "start", "tokens", "hashes", "places"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
@@ -173,29 +190,22 @@ def _verify(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r in batch.itertuples(index=False):
             at, item_at, length, same = best_overlap(r.tokens, r.item_tokens, r.shift)
             if counts_as_overlap(length, same, len(r.item_tokens)):
-                out.append((r.doc_id, r.item_id, r.start + at, item_at, length, same))
-        yield pd.DataFrame(out, columns=["doc_id", "item_id", "doc_start", "item_start", "tokens", "equal_tokens"]).astype(
-            "Int64"
-        )
-
+                out.append((r.sid, r.item, r.start + at, item_at, length, same))
+        yield pd.DataFrame(out, columns=["sid", "item", "doc_start", "item_start", "tokens", "equal_tokens"])
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id") -> DataFrame:
-    """One row per document and item that overlap: doc_id, item_id, doc_start, item_start, tokens,
-    equal_tokens of the longest such stretch (in words, from 0).
 
-    Words are runs of letters, digits and underscores in lower case. Items with fewer than five
-    words have no window and match nothing. Null and empty texts have no words. Rows without id
-    take part with a null id. Insertions end a stretch; each side of one counts by itself. Only
-    stretches around possible hits are shuffled, never whole documents.
-    """
+def _overlaps(docs: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id") -> DataFrame:
+    """Overlaps around each possible hit, with doc_id, doc_key (md5 of the text), item_id, and the
+    item's row number in ``item``."""
     items = benchmark.select(F.col(item_key).cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    windows = stored(items.mapInPandas(_item_windows, "item_id long, hash long, item_at int"), "windows")
+    items = stored(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    windows = stored(items.select("item", "text").mapInPandas(_item_windows, "item long, hash long, item_at int"), "windows")
     bits, packed = hash_bitmap(windows)
     flags = docs.sparkSession.sparkContext.broadcast(packed)
     texts = docs.select(F.col(doc_key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stretches = texts.mapInPandas(
         _stretches(bits, flags),
-        "doc_id long, start int, tokens array<long>, hashes array<long>, places array<int>",
+        "doc_id long, doc_key string, start int, tokens array<long>, hashes array<long>, places array<int>",
     )
     stretches = stored(stretches.withColumn("sid", F.monotonically_increasing_id()), "stretches")
     hits = stretches.select("sid", F.explode(F.arrays_zip("hashes", "places")).alias("h")).select(
@@ -203,19 +213,32 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id"
     )
     pairs = (
         hits.join(windows, "hash")
-        .select("sid", "item_id", (F.col("place") - F.col("item_at")).alias("shift"))
+        .select("sid", "item", (F.col("place") - F.col("item_at")).alias("shift"))
         .distinct()
     )
-    item_tokens = items.mapInPandas(_item_tokens, "item_id long, item_tokens array<long>")
+    item_tokens = items.select("item", "text").mapInPandas(_item_tokens, "item long, item_tokens array<long>")
     checked = (
-        pairs.join(stretches.select("sid", "doc_id", "start", "tokens"), "sid")
-        .join(item_tokens, "item_id")
-        .mapInPandas(
-            _verify, "doc_id long, item_id long, doc_start long, item_start long, tokens long, equal_tokens long"
-        )
+        pairs.join(stretches.select("sid", "start", "tokens"), "sid")
+        .join(item_tokens, "item")
+        .mapInPandas(_verify, "sid long, item long, doc_start long, item_start long, tokens long, equal_tokens long")
     )
+    return checked.join(stretches.select("sid", "doc_id", "doc_key"), "sid").join(items.select("item", "item_id"), "item")
+
+
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id") -> DataFrame:
+    """One row per document and item that overlap: doc_id, item_id, doc_start, item_start, tokens,
+    equal_tokens of the longest such stretch (in words, from 0).
+
+    Words are runs of letters, digits and underscores in lower case. An item of fewer than five
+    words has no window; it matches the documents that are those words and no others. Null and
+    empty texts have no words. Rows without id take part with a null id. Documents of one id (or of
+    none) share their row; items are told apart by row, so items of one id each have theirs.
+    Insertions end a stretch; each side of one counts by itself. Only stretches around possible hits
+    are shuffled, never whole documents.
+    """
     best = F.max(F.struct("tokens", "equal_tokens", (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i")))
-    return checked.groupBy("doc_id", "item_id").agg(best.alias("b")).select(
+    found = _overlaps(docs, benchmark, doc_key, item_key).groupBy("doc_id", "item", "item_id").agg(best.alias("b"))
+    return found.select(
         "doc_id",
         "item_id",
         (-F.col("b.d")).alias("doc_start"),
@@ -226,6 +249,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, doc_key: str = "doc_id"
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that overlap no item, with all their columns. Rows without id are kept."""
-    found = find_overlaps(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"] == found["doc_id"], "left_anti")
+    """The documents that overlap no item, with all their columns. A document is known by its id
+    (null being one) and its text, so one that shares its id with a contaminated one stays."""
+    found = _overlaps(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key")).distinct()
+    own = F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"))
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (own == F.col("__key")), "left_anti")

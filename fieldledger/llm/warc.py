@@ -19,24 +19,57 @@ RECORD_SCHEMA = (
     " content_type string, content_length long, block_digest string, header string, block string"
 )
 
-_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|template|noscript|head)\b[^>]*>.*?</\1\s*>")
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
+_OPENING = re.compile(r"(?i)<!--|<(script|style|template|noscript|head|title)\b[^>]*>")
+_CLOSING = {
+    name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "template", "noscript", "head", "title")
+}
 _BLOCK = re.compile(
     r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|table|tr|section|article|header|footer|nav|aside|main|pre"
     r"|blockquote|form|figure|figcaption|title|body|html)\b[^>]*>"
 )
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 _BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
-_LANG = re.compile(r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([a-z-]+)")
+_HTML = re.compile(r"(?i)<html\b[^>]*>")
+_LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?([a-z-]+)")
+
+
+def without_hidden(markup: str) -> str:
+    """The markup without comments and elements that are not shown, each up to its nearest closing.
+    One pass: once a closing isn't found, it isn't looked for again."""
+    out, at, missing = [], 0, set()
+    start = _OPENING.search(markup)
+    while start:
+        name = (start.group(1) or "").lower()
+        stop = -1
+        if name != "title" and name not in missing:
+            closing = _CLOSING[name].search(markup, start.end()) if name else None
+            stop = closing.end() if closing else -1 if name else markup.find("-->", start.end()) + 3
+            if stop < start.end():
+                stop = -1
+                missing.add(name)
+        if stop >= 0:
+            out += [markup[at : start.start()], " "]
+            at = stop
+        start = _OPENING.search(markup, max(at, start.end()))
+    return "".join(out) + markup[at:]
+
+
+def title_of(markup: str) -> str | None:
+    start = next((m for m in _OPENING.finditer(markup) if (m.group(1) or "").lower() == "title"), None)
+    stop = start and _CLOSING["title"].search(markup, start.end())
+    return markup[start.end() : stop.start()] if stop else None
 
 
 def plain_text(markup: str) -> str:
-    """Readable text: title first, one line per block, without scripts, styles and comments."""
-    title = _TITLE.search(markup)
-    body = _BLOCK.sub("\n", _HIDDEN.sub(" ", markup))
-    if title:
-        body = title.group(1) + "\n" + body
-    body = entities.unescape(_TAG.sub("", body))
+    """Readable text: title first, one line per block, without scripts, styles and comments. Linear
+    in the markup: behind the last ">" nothing can be a tag."""
+    end = markup.rfind(">") + 1
+    tags = markup[:end]
+    title = title_of(tags)
+    body = _TAG.sub("", _BLOCK.sub("\n", without_hidden(tags))) + markup[end:]
+    if title is not None:
+        body = _TAG.sub("", title) + "\n" + body
+    body = entities.unescape(body)
     lines = (_BLANKS.sub(" ", line).strip() for line in body.split("\n"))
     return "\n".join(line for line in lines if line)
 
@@ -45,6 +78,12 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def language_of(markup: str) -> str | None:
+    """The lang attribute of the first html tag that has one."""
+    tags = (_LANG.search(m.group()) for m in _HTML.finditer(markup[: markup.rfind(">") + 1]))
+    return next((m.group(1).lower() for m in tags if m), None)
+
+
 def record_id(*parts: str) -> str:
     """A urn that depends on the parts alone, so that a task run again makes the same record."""
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(31).join(parts))}>"
@@ -61,13 +100,14 @@ def derive(row) -> Iterator[tuple]:
     payload = (row.payload or "").encode()
     source_digest = digest(payload)
     text = plain_text(row.payload or "")
-    conversion = record_id(source, "conversion")
-    lang = _LANG.search(row.payload or "")
+    named = source or f"{uri}{chr(31)}{row.warc_date or ''}{chr(31)}{source_digest}"
+    conversion = record_id(named, "conversion")
+    lang = language_of(row.payload or "")
     facts = [
         ("source-payload-digest", source_digest),
         ("source-payload-length", str(len(payload))),
         ("conversion-record", conversion),
-        ("language", lang and lang.group(1).lower()),
+        ("language", lang),
     ]
     for line in (row.http_headers or "").split("\r\n"):
         name, colon, value = line.partition(":")
@@ -77,7 +117,7 @@ def derive(row) -> Iterator[tuple]:
             facts.append(("source-status-line", line.strip()))
     fields = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in facts if v is not None)
     for kind, own, content_type, block in (
-        ("metadata", record_id(source, "metadata"), "application/warc-fields", fields),
+        ("metadata", record_id(named, "metadata"), "application/warc-fields", fields),
         ("conversion", conversion, "text/plain; charset=UTF-8", text),
     ):
         data = block.encode()
@@ -116,7 +156,8 @@ def build_derivatives(responses: DataFrame) -> DataFrame:
     (decoded markup). Both records point to the response by id, URI and date and carry its payload
     digest; the metadata record names the conversion and repeats the response's HTTP headers.
     header + block is the record as it stands in a file. A null payload is an empty one, a null
-    URI is empty, null headers give none. Row by row; nothing is shuffled.
+    URI is empty, null headers give none. A response without id has no refers-to; its records are
+    then named by its URI, date and payload digest. Row by row; nothing is shuffled.
     """
     columns = ["doc_id", "record_id", "target_uri", "warc_date", "http_headers", "payload"]
     return responses.select(*columns).mapInPandas(_derive_batches, RECORD_SCHEMA)

@@ -1,7 +1,9 @@
 import base64
 import glob
 import hashlib
+import random
 import re
+import time
 from html.parser import HTMLParser
 
 from fieldledger.llm import licences, warc
@@ -217,3 +219,32 @@ def test_pages_and_empty(spark):
     out = warc.build_derivatives(warc.page_responses(pages)).collect()
     assert len(out) == 4 and all(r.refers_to.startswith("<urn:uuid:") for r in out)
     assert warc.build_derivatives(warc.page_responses(pages.limit(0))).count() == 0
+
+
+def test_response_without_id(spark):
+    rows = [(1, None, "http://a/", "2020-01-01T00:00:00Z", None, "<p>x</p>", "h"), (2, None, None, None, None, None, "h"),
+            (3, None, "http://b/", "2020-01-01T00:00:00Z", None, "<p>x</p>", "h")]
+    out = warc.build_derivatives(spark.createDataFrame(rows, RESPONSE)).collect()
+    assert len({r.record_id for r in out}) == 6
+    assert all(r.refers_to is None and "Refers-To:" not in r.header for r in out)
+
+
+def brute_hidden(markup):
+    return re.sub(r"(?is)<!--.*?-->|<(script|style|template|noscript|head)\b[^>]*>.*?</\1\s*>", " ", markup)
+
+
+def test_hidden_parts_match_one_expression():
+    rng = random.Random(4)
+    parts = ["<!--", "-->", "<script>", "<SCRIPT src='x'>", "</script>", "</script >", "<style>", "</style>", "<head>",
+             "</head>", "<title>", "</title>", "a", "<p>", " ", "<!", "--", ">", "<header>"]
+    for _ in range(3000):
+        markup = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+        assert warc.without_hidden(markup) == brute_hidden(markup), markup
+
+
+def test_markup_that_never_closes_takes_linear_time():
+    for piece in ("<script>", "<!--", "<title>", "<a", "<script", "<html ", "</p", "<p>", "<style><head>"):
+        started = time.monotonic()
+        warc.plain_text(piece * 150_000)
+        warc.language_of(piece * 150_000)
+        assert time.monotonic() - started < 20

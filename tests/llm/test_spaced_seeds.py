@@ -79,3 +79,21 @@ def test_best_overlap_is_the_longest_within_the_share():
     a = np.array([1, 2, 3, 4, 9, 6, 7, 8], dtype=np.int64)
     b = np.array([1, 2, 3, 4, 5, 6, 7, 8], dtype=np.int64)
     assert best_overlap(a, b, 0) == (0, 0, 8, 7)
+
+
+def test_items_and_documents_without_or_with_shared_ids(spark):
+    item, other = prose(700, 30), prose(701, 30)
+    docs = make_docs(spark, [(1, "x " + item), (1, prose(702, 20)), (None, item), (None, prose(703, 9)), (2, other), (3, None)])
+    bench = spark.createDataFrame([(None, item), (5, other), (5, prose(704, 20))], "item_id long, text string")
+    rows = find_overlaps(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(1, None), (None, None), (2, 5)}
+    left = {(r.doc_id, r.text) for r in clean_documents(docs, bench).collect()}
+    assert left == {(1, prose(702, 20)), (None, prose(703, 9)), (3, None)}
+
+
+def test_items_too_short_for_a_window(spark):
+    """They match the documents that are their words and nothing else."""
+    bench = spark.createDataFrame([(1, "Yes, indeed!"), (2, "no"), (3, "...")], "item_id long, text string")
+    docs = make_docs(spark, [(1, "yes indeed"), (2, "yes indeed it is"), (3, "No."), (4, "no no"), (5, "..."), (6, prose(1, 50) + " no")])
+    assert {(r.doc_id, r.item_id) for r in find_overlaps(docs, bench).collect()} == {(1, 1), (3, 2)}
+    assert {r.doc_id for r in clean_documents(docs, bench).collect()} == {2, 4, 5, 6}
