@@ -29,6 +29,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """At most ``limit`` rows, different in ``keys``: those of the smallest hash. Only hashes are sorted
+    and sent; the rows stay where they are until they are chosen, and equal ones fold map-side."""
+    hashed = rows.withColumn("__hash", F.xxhash64(*keys))
+    chosen = hashed.select("__hash").distinct().orderBy("__hash").limit(limit)
+    return hashed.join(F.broadcast(chosen), "__hash").dropDuplicates(["__hash"]).drop("__hash")
+
+
 def label_fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; fold 0 is held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5

@@ -91,10 +91,17 @@ def test_rates_meet_the_targets(spark, ceiling):
     members = spark.createDataFrame([(int(t), [float(x) for x in q]) for t, q in zip(tokens, p)], "tokens long, p array<double>")
     targets = {"a": 2.0, "b": 3.0, "c": 1.0}
     budget = 1.0 if ceiling is None else 0.7
-    steps = mixing.fit_rates(members, list(targets), targets, budget, ceiling)
-    rows = members.select("tokens", "p", mixing.rate_column(F.col("p"), steps, ceiling).alias("r")).collect()
+    fitted = mixing.fit_rates(members, list(targets), targets, budget, ceiling)
+    rows = members.select("tokens", "p", mixing.rate_column(F.col("p"), fitted.steps, ceiling).alias("r")).collect()
     got = sum(np.array(r.p) * r.tokens * r.r for r in rows)
-    wanted = budget * tokens.sum() * np.array([2, 3, 1]) / 6
+    wanted = fitted.budget * tokens.sum() * np.array([2, 3, 1]) / 6
+    assert fitted.budget <= budget and np.allclose(fitted.wanted, wanted) and np.allclose(fitted.reached, got)
+    assert fitted.converged == bool(np.all(abs(got - wanted) <= 1.001 * mixing.TOLERANCE * tokens.sum()))
+    assert fitted.converged or ceiling is not None
+    if ceiling is not None:  # as much as the scarcest domain allows
+        share = np.array([2, 3, 1]) / 6
+        scarcest = ((tokens[:, None] * p).sum(0) / (share * tokens.sum())).min()
+        assert np.isclose(fitted.budget, min(budget, mixing.SUPPLY_SHARE * scarcest))
     _, best = brute_rates(p, tokens, wanted, np.inf if ceiling is None else ceiling)
     supply = (tokens[:, None] * p).sum(0)
     loss = lambda t: (((t - wanted) ** 2) / supply).sum() / tokens.sum()
@@ -141,3 +148,32 @@ def test_copies_follow_the_rate(spark):
     rows = spark.range(n).select(mixing.copies_column(F.lit(1.3), F.xxhash64("id")).alias("c")).groupBy("c").count().collect()
     counts = {r.c: r["count"] for r in rows}
     assert set(counts) == {1, 2} and abs(counts[2] / n - 0.3) < 0.02
+
+
+def test_pipeline_meets_its_targets(spark):
+    """Expected tokens by predicted and by true language, without repeating a document."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labelled = mixing.choose_labelled(docs, spark.read.parquet(f"{SF}/labels.parquet"), F.col("lang"))
+    targets = corpus_pipeline.TARGETS
+    mixture, members = mixing.fit_mixture(docs, labelled, targets, corpus_pipeline.BUDGET, max_rate=1.0)
+    assert mixture.fitted.converged
+    rate = mixture.rate(F.col("p"))
+    rows = members.join(docs.select("doc_id", "lang"), "doc_id").select("lang", "tokens", rate.alias("rate")).toPandas()
+    assert rows.rate.max() <= 1
+    tokens = (rows.tokens * rows.rate).groupby(rows.lang).sum()
+    for language, share in targets.items():
+        assert abs(tokens[language] / tokens.sum() - share) < 0.01
+
+
+def test_sample_is_bounded_and_holds_no_row_twice(spark, monkeypatch):
+    """An id that most rows carry does not multiply the labelled rows."""
+    from fieldledger.llm.common import bounded_sample
+
+    docs = make_docs(spark, [(7, "same text")] * 500 + [(7, f"text {i}") for i in range(500)] + [(None, "x")])
+    labels = spark.createDataFrame([(7, 1, "x")], LABELS)
+    assert bounded_sample(docs, ["doc_id", "text"], 40).count() == 40
+    assert bounded_sample(docs, ["doc_id", "text"], 4_000).count() == 502
+    monkeypatch.setattr(toxicity, "MAX_LABELLED", 30)
+    assert toxicity.labelled_rows(docs, labels, F.lit(True)).count() == 30
