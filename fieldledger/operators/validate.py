@@ -1,223 +1,301 @@
 """Strict validation of raw extractor output.
 
-The JSON text is parsed once into VARIANT. The schema is walked on the driver and yields one
-expression for the typed record and one for the array of reasons why it is not acceptable;
-a record with any reason is a reject, never an exception.
+The JSON text is parsed once into VARIANT. List elements become rows of their own next to the row of
+their envelope; every leaf of the schema is then a handful of compiled expressions over columns, first
+its raw value, then its JSON text, then its typed value and its problem. At last the rows of an
+envelope meet again. A record with any problem is a reject, never an exception.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldledger.functions.numbers import round_exact, round_money
-from fieldledger.functions.text import (
-    filing_currency,
-    let,
-    pad_cik,
-    snippet,
-    strip,
-    upper_code,
-)
+from fieldledger.functions.numbers import round_exact
+from fieldledger.functions.text import WHITESPACE, snippet
 from fieldledger.operators.flatten import list_length
-from fieldledger.operators.stages import compute_once
 from fieldledger.schemas import Group, Items, Leaf, envelope, struct_type
 
 # Layouts of dates and times inside JSON, and the limit on the kept source text.
 ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ]00:00(?::00(?:\.0+)?)?)?$"
 ISO_TIME = r"^(?:[01][0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9](?:\.[0-9]{1,6})?)?$"
 
-_CLEAN = {
-    "strip": strip,
-    "upper": upper_code,
-    "currency": upper_code,
-    "filing_currency": filing_currency,
-    "cik": pad_cik,
+# Expressions are written as SQL text: a schema has hundreds of them, and each call that builds a
+# Column object costs the driver a round trip to the JVM.
+_BLANKS = "".join(f"\\u{ord(c):04x}" for c in WHITESPACE)
+
+
+def _strip(x: str) -> str:
+    return f"btrim({x}, '{_BLANKS}')"
+
+
+def _upper(x: str) -> str:
+    return f"nullif(upper({_strip(x)}), '')"
+
+
+_CLEAN: dict[str, Callable[[str], str]] = {
+    "strip": _strip,
+    "upper": _upper,
+    "currency": _upper,
+    "filing_currency": lambda x: f"coalesce({_upper(x)}, 'USD')",
 }
 
 
-def _value(v: Column, json: Column, leaf: Leaf) -> Column:
-    """Value of a leaf after coercion; null when absent, null or of the wrong type.
+def _case(*cases: tuple[str, str], otherwise: str = "NULL") -> str:
+    if not cases:
+        return otherwise
+    return "CASE " + " ".join(f"WHEN {c} THEN {x}" for c, x in cases) + f" ELSE {otherwise} END"
+
+
+def _value(v: str, json: str, leaf: Leaf) -> str:
+    """Value of a leaf after coercion; null when absent, null or of the wrong type. Money is not
+    rounded yet.
 
     The first character of ``json`` (the value's JSON text) tells its type.
     """
-    text = F.try_variant_get(v, "$", "string")
-    is_text = json.startswith('"')
+    text = f"try_variant_get({v}, '$', 'string')"
+    only_text = f"if(startswith({json}, '\"'), {text}, NULL)"
     if leaf.kind == "text":
         if leaf.clean == "cik":
-            return pad_cik(F.when(json != "null", text))
-        return _CLEAN[leaf.clean](F.when(is_text, text))
+            s = _strip(f"if({json} <> 'null', {text}, NULL)")
+            return f"if(rlike({s}, '^[0-9]{{1,9}}$'), lpad({s}, 10, '0'), {s})"
+        return _CLEAN[leaf.clean](only_text)
     if leaf.kind in ("float", "int"):
-        number = F.when(
-            ~json.startswith("{") & ~json.startswith("["), strip(text).try_cast("double")
+        number = _case(
+            (f"{json} IN ('true', 'false')", f"CAST({json} = 'true' AS DOUBLE)"),
+            (f"startswith({json}, '{{') OR startswith({json}, '[')", "NULL"),
+            otherwise=f"try_cast({_strip(text)} AS DOUBLE)",
         )
-        number = F.when(json.isin("true", "false"), (json == "true").cast("double")).otherwise(
-            number
-        )
-        if leaf.kind == "int":
-            return let(number, lambda n: F.when(n == F.floor(n), n.try_cast("int")))
-        return round_money(number) if leaf.clean == "money" else number
-    s = strip(F.when(is_text, text))
+        return f"if({number} = floor({number}), try_cast({number} AS INT), NULL)" if leaf.kind == "int" else number
+    s = _strip(only_text)
     if leaf.kind == "date":
-        day = F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd")
-        return F.when(s.rlike(ISO_DATE), day)
-    full = F.when(F.length(s) == 5, F.concat(s, F.lit(":00"))).otherwise(s)
-    return F.when(s.rlike(ISO_TIME), full)
+        return f"if(rlike({s}, r'{ISO_DATE}'), try_to_date(substring({s}, 1, 10), 'yyyy-MM-dd'), NULL)"
+    return f"if(rlike({s}, r'{ISO_TIME}'), if(length({s}) = 5, concat({s}, ':00'), {s}), NULL)"
 
 
-def _leaf(v: Column, path: str, leaf: Leaf) -> Column:
-    """(r, e): the value and at most one problem of a leaf."""
+def _leaf_problem(value: str, json: str, path: str, leaf: Leaf) -> str:
+    """The first problem of a leaf, or null; ``value`` has its default already."""
     lenient = leaf.clean in ("upper", "currency", "filing_currency") and not leaf.required
-
-    def judge(x: Column) -> Column:
-        value = x["value"]
-        e = F.when(F.lit(False), "")
-        if leaf.default is not None:
-            value = F.when(x["json"].isNull(), F.lit(leaf.default)).otherwise(value)
-        elif leaf.required:
-            e = e.when(x["json"].isNull(), f"missing:{path}")
-        if leaf.required:
-            e = e.when((x["json"] == "null") & value.isNull(), f"null:{path}")
-        if not lenient:
-            e = e.when((x["json"] != "null") & value.isNull(), f"type:{path}")
-        if leaf.low is not None:
-            e = e.when(value < leaf.low, f"range:{path}")
-        if leaf.high is not None:
-            e = e.when(value > leaf.high, f"range:{path}")
-        if leaf.choices:
-            e = e.when(~value.isin(*leaf.choices), f"choice:{path}")
-        return F.struct(value.alias("r"), e.alias("e"))
-
-    def read(x: Column) -> Column:
-        value = _value(x["v"], x["json"], leaf)
-        return let(F.struct(value.alias("value"), x["json"].alias("json")), judge)
-
-    return let(F.struct(v.alias("v"), F.to_json(v).alias("json")), read)
-
-
-_NO_PROBLEMS = "array<string>"
-
-
-def _nothing() -> Column:
-    return F.array().cast(_NO_PROBLEMS)
-
-
-def _group(v: Column, path: str, schema: Group) -> Column:
-    """(r, e) of a nested record; ``e`` lists the problems of everything inside."""
-
-    def absent(x: Column) -> Column:
-        e = F.when(F.is_variant_null(x["v"]), f"null:{path}" if schema.required else None)
-        if schema.required:
-            e = F.when(x["v"].isNull(), f"missing:{path}").otherwise(e)
-        e = F.when(x["v"].isNotNull() & ~F.is_variant_null(x["v"]), f"type:{path}").otherwise(e)
-        problems = F.filter(F.array(e.cast("string")), lambda y: y.isNotNull())
-        return F.struct(F.lit(None).cast(struct_type(schema)).alias("r"), problems.alias("e"))
-
-    def read(x: Column) -> Column:
-        inside = _object(x["v"], x["m"], f"{path}.", schema)
-        return F.when(x["m"].isNotNull(), inside).otherwise(absent(x))
-
-    return let(F.struct(v.alias("v"), _as_map(v).alias("m")), read)
-
-
-def _as_map(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>")
-
-
-def _items(v: Column, path: str, items: Items) -> Column:
-    """(r, e) of a list; a missing list is an empty one."""
-    element_type = struct_type(items.group)
-
-    def element(x: Column) -> Column:
-        wrong = F.struct(
-            F.lit(None).cast(element_type).alias("r"), F.array(F.lit(f"type:{path}[]")).alias("e")
-        )
-        return let(
-            F.struct(x.alias("v"), _as_map(x).alias("m")),
-            lambda y: F.when(
-                y["m"].isNotNull(), _object(y["v"], y["m"], f"{path}[].", items.group)
-            ).otherwise(wrong),
-        )
-
-    def read(x: Column) -> Column:
-        e = F.when(F.is_variant_null(x["v"]), f"null:{path}").when(
-            x["v"].isNotNull() & x["list"].isNull(), f"type:{path}"
-        )
+    cases = []
+    if leaf.required and leaf.default is None:
+        cases.append((f"{json} IS NULL", f"'missing:{path}'"))
+    if leaf.required:
+        cases.append((f"{json} = 'null' AND {value} IS NULL", f"'null:{path}'"))
+    if not lenient:
+        cases.append((f"{json} <> 'null' AND {value} IS NULL", f"'type:{path}'"))
+    if leaf.low is not None:
+        cases.append((f"{value} < {leaf.low}", f"'range:{path}'"))
+    if leaf.high is not None:
+        cases.append((f"{value} > {leaf.high}", f"'range:{path}'"))
+    if leaf.choices:
+        cases.append((f"{value} NOT IN ({', '.join(map(repr, leaf.choices))})", f"'choice:{path}'"))
+    return _case(*cases)
+
+
+@dataclass
+class _Shadow:
+    """The flat view of one kind of row: the envelope itself, or the elements of one list. Nodes are
+    numbered; ``at`` is a node's place in the row's value, ``path`` its name in problems, ``inside``
+    the number of its group."""
+
+    number: int
+    leaves: list[tuple[str, str, int, Leaf]] = field(default_factory=list)
+    groups: list[tuple[str, str, int | None, Group]] = field(default_factory=list)
+    lists: list[tuple[str, str, int, Items]] = field(default_factory=list)
+
+    def add(self, group: Group, at: str, path: str, inside: int | None) -> None:
+        own = len(self.groups)
+        self.groups.append((at, path, inside, group))
+        for name, node in group.fields.items():
+            place = (f"{at}.{name}", f"{path}.{name}" if path else name, own)
+            if isinstance(node, Leaf):
+                self.leaves.append((*place, node))
+            elif isinstance(node, Items):
+                self.lists.append((*place, node))
+            else:
+                self.add(node, place[0], place[1], own)
+
+    def named(self, kind: str, k: int) -> str:
+        return f"_{kind}{self.number}_{k}"
+
+
+def _shadows(schema: Group) -> tuple[_Shadow, list[_Shadow]]:
+    """The envelope's view, and that of each of its lists."""
+    head = _Shadow(0)
+    head.add(schema, "$", "", None)
+    lists = []
+    for number, (_, path, _, items) in enumerate(head.lists, 1):
+        if any(isinstance(n, Items) for n in items.group.fields.values()):
+            raise ValueError(f"{path}: a list inside a list is not supported")
+        shadow = _Shadow(number)
+        shadow.add(items.group, "$", f"{path}[]", None)
+        lists.append(shadow)
+    return head, lists
+
+
+def _each(shadow: _Shadow, kind: str, made: Iterable[str]) -> list[str]:
+    """Columns that only rows of this view compute."""
+    return [f"if(_kind = {shadow.number}, {x}, NULL) AS {shadow.named(kind, k)}" for k, x in enumerate(made)]
+
+
+def _money_rounded(rows: DataFrame, shadows: list[_Shadow]) -> DataFrame:
+    """Round the money leaves to two places by their exact binary value. Amounts that print with at
+    most two decimals are rounded already; only rows with others need the exact rule."""
+    money = [s.named("x", k) for s in shadows for k, (*_, leaf) in enumerate(s.leaves) if leaf.clean == "money"]
+    if not money:
+        return rows
+    done = " AND ".join(f"({c} IS NULL OR round({c}, 2) = {c} OR abs({c}) >= 4503599627370496D)" for c in money)
+    exact = F.transform(F.array(*money), lambda x: round_exact(x, 2))
+    rows = rows.select("*", F.when(~F.expr(done), exact).alias("_exact"))
+    others = [c for c in rows.columns if c not in (*money, "_exact")]
+    return rows.selectExpr(*others, *(f"if(_exact IS NULL, {c}, _exact[{k}]) AS {c}" for k, c in enumerate(money)))
+
+
+def _problems(shadow: _Shadow) -> str:
+    """All problems of a row of this view, one to a line, or an empty text."""
+    found = []
+    for k, (_, path, inside, group) in enumerate(shadow.groups):
+        keys = shadow.named("keys", k)
+        known = ", ".join(f"'{name}'" for name in group.fields)
+        label = f"extra:{path}." if path else "extra:"
+        extra = f"array_except({keys}, array({known}))"
+        found.append(f"if(size({extra}) > 0, concat('{label}', array_join({extra}, '{_BREAK}{label}')), NULL)")
+        if inside is None:
+            continue
+        v = shadow.named("v", k)
+        cases = [(f"{keys} IS NOT NULL", "NULL")]
+        if group.required:
+            cases += [(f"{v} IS NULL", f"'missing:{path}'"), (f"is_variant_null({v})", f"'null:{path}'")]
+        cases.append((f"{v} IS NOT NULL AND NOT is_variant_null({v})", f"'type:{path}'"))
+        found.append(f"if({shadow.named('keys', inside)} IS NOT NULL, {_case(*cases)}, NULL)")
+    for k, (_, path, inside, leaf) in enumerate(shadow.leaves):
+        problem = _leaf_problem(shadow.named("x", k), shadow.named("json", k), path, leaf)
+        found.append(f"if({shadow.named('keys', inside)} IS NOT NULL, {problem}, NULL)")
+    for k, (_, path, inside, items) in enumerate(shadow.lists):
+        v, size = shadow.named("list", k), shadow.named("size", k)
+        cases = [(f"is_variant_null({v})", f"'null:{path}'"), (f"{v} IS NOT NULL AND {size} IS NULL", f"'type:{path}'")]
         if items.limit is not None:
-            e = e.when(F.size(x["list"]) > items.limit, f"range:{path}")
-        own = F.filter(F.array(e), lambda y: y.isNotNull())
-
-        def gather(c: Column) -> Column:
-            records = F.transform(c, lambda y: y["r"])
-            inside = F.flatten(F.transform(c, lambda y: y["e"]))
-            return F.struct(records.alias("r"), F.concat(own, inside).alias("e"))
-
-        parsed = F.transform(F.coalesce(x["list"], F.array().cast("array<variant>")), element)
-        return let(parsed, gather)
-
-    as_list = F.try_variant_get(v, "$", "array<variant>")
-    return let(F.struct(v.alias("v"), as_list.alias("list")), read)
-
-
-def _object(v: Column, members: Column, path: str, schema: Group) -> Column:
-    """(r, e) of a value that is a JSON object; ``members`` is the same object as a map."""
-    names = list(schema.fields)
-    as_struct = F.try_variant_get(v, "$", "struct<" + ",".join(f"`{n}`:variant" for n in names) + ">")
-    extra = F.array_except(F.map_keys(members), F.array(*[F.lit(n) for n in names]))
-
-    def check(x: Column) -> Column:
-        parts = []
-        for name, node in schema.fields.items():
-            make = {Leaf: _leaf, Group: _group, Items: _items}[type(node)]
-            parts.append(make(x["s"][name], path + name, node).alias(name))
-        return let(F.struct(*parts, x["extra"].alias("_extra")), collect)
-
-    def collect(c: Column) -> Column:
-        leaves = [n for n in names if isinstance(schema.fields[n], Leaf)]
-        others = [n for n in names if n not in leaves]
-        problems = [F.transform(c["_extra"], lambda k: F.concat(F.lit(f"extra:{path}"), k))]
-        if leaves:
-            own = F.array(*[c[n]["e"] for n in leaves])
-            problems.append(F.filter(own, lambda y: y.isNotNull()))
-        problems += [c[n]["e"] for n in others]
-        record = F.struct(*[c[n]["r"].alias(n) for n in names])
-        return F.struct(record.alias("r"), F.concat(*problems).alias("e"))
-
-    return let(F.struct(as_struct.alias("s"), extra.alias("extra")), check)
+            cases.append((f"{size} > {items.limit}", f"'range:{path}'"))
+        found.append(f"if({shadow.named('keys', inside)} IS NOT NULL, {_case(*cases)}, NULL)")
+    return f"concat_ws('{_BREAK}', {', '.join(found)})"
+
+
+#: What parts problems in a row's text; JSON keys hold it only if they spell it out.
+_BREAK = "\\u0000"
+
+
+def _record(shadow: _Shadow, group: Group, number: int, at: str, list_of: Callable[[int], str] | None) -> str:
+    """The typed record of a group, null unless the value is an object."""
+    fields = []
+    for name, node in group.fields.items():
+        place = f"{at}.{name}"
+        if isinstance(node, Leaf):
+            x = shadow.named("x", next(k for k, leaf in enumerate(shadow.leaves) if leaf[0] == place))
+        elif isinstance(node, Items):
+            x = list_of(next(k for k, items in enumerate(shadow.lists) if items[0] == place))
+        else:
+            x = _record(shadow, node, next(k for k, g in enumerate(shadow.groups) if g[0] == place), place, list_of)
+        fields.append(f"'{name}', {x}")
+    return f"if({shadow.named('there', number)}, named_struct({', '.join(fields)}), NULL)"
+
+
+def _typed_rows(df: DataFrame, head: _Shadow, lists: list[_Shadow], raw: str) -> DataFrame:
+    """Rows (_rid, _kind, _pos, _doc, _e, and the typed leaves and groups of their view): one per
+    envelope and one per list element. Only the envelope's row has the columns of ``df``."""
+    opened = df.select(
+        F.struct(*df.columns).alias("_doc"),
+        F.monotonically_increasing_id().alias("_rid"),
+        F.try_parse_json(raw).alias("_root"),
+    )
+    opened = opened.selectExpr(
+        "*", *(f"try_variant_get(_root, '{at}', 'array<variant>') AS _l{k}" for k, (at, *_) in enumerate(head.lists))
+    )
+    element = "array<struct<_kind:int,_pos:int,_v:variant>>"
+    parts = [f"CAST(array(struct(0, 0, _root)) AS {element})"]
+    for k in range(len(lists)):
+        zipped = f"arrays_zip(array_repeat({k + 1}, size(_l{k})), sequence(0, size(_l{k}) - 1), _l{k})"
+        parts.append(f"if(size(_l{k}) > 0, CAST({zipped} AS {element}), CAST(array() AS {element}))")
+    sizes = ", ".join(f"if(_l{k} IS NOT NULL, size(_l{k}), NULL)" for k in range(len(lists)))
+    rows = opened.selectExpr("_doc", "_rid", f"array({sizes}) AS _sizes", f"inline(concat({', '.join(parts)}))")
+
+    every = [head, *lists]
+    get = lambda at: f"try_variant_get(_v, '{at}', 'variant')" if at != "$" else "_v"
+    stage = ["if(_kind = 0, _doc, NULL) AS _doc", "_rid", "_kind", "_pos"]
+    for s in every:
+        stage += _each(s, "v", (get(at) for at, *_ in s.groups))
+        stage += _each(s, "raw", (get(at) for at, *_ in s.leaves))
+        stage += _each(s, "list", (get(at) for at, *_ in s.lists))
+        stage += _each(s, "size", (f"_sizes[{k}]" for k in range(len(s.lists))))
+    rows = rows.selectExpr(*stage)
+    stage = []
+    for s in every:
+        as_map = (f"try_variant_get({s.named('v', k)}, '$', 'map<string,variant>')" for k in range(len(s.groups)))
+        stage += _each(s, "keys", (f"map_keys({x})" for x in as_map))
+        stage += _each(s, "json", (f"to_json({s.named('raw', k)})" for k in range(len(s.leaves))))
+    rows = rows.selectExpr("*", *stage)
+    stage = []
+    for s in every:
+        for k, (*_, leaf) in enumerate(s.leaves):
+            json = s.named("json", k)
+            value = _value(s.named("raw", k), json, leaf)
+            if leaf.default is not None:
+                value = f"if({json} IS NULL, '{leaf.default}', {value})"
+            stage.append(f"{value} AS {s.named('x', k)}")
+    rows = _money_rounded(rows.selectExpr("*", *stage), every)
+    cases = []
+    for s, (_, path, _, _) in zip(lists, head.lists, strict=True):
+        own = f"if({s.named('keys', 0)} IS NULL, 'type:{path}[]', {_problems(s)})"
+        cases.append((f"_kind = {s.number}", own))
+    cases += [("_v0_0 IS NULL", "'invalid_json'"), ("_keys0_0 IS NULL", "'type:envelope'")]
+    return rows.selectExpr(
+        "_doc",
+        "_rid",
+        "_kind",
+        "_pos",
+        f"{_case(*cases, otherwise=_problems(head))} AS _e",
+        *(s.named("x", k) for s in every for k in range(len(s.leaves))),
+        *(
+            f"{s.named('keys', k)} IS NOT NULL AS {s.named('there', k)}"
+            for s in every
+            for k in range(len(s.groups))
+        ),
+    )
 
 
 def validate_envelopes(df: DataFrame, doc_type: str, raw: str = "raw") -> DataFrame:
     """Add ``data``, ``field_confidences``, ``warnings`` and ``reasons``.
 
     ``reasons`` is empty exactly when the envelope is acceptable; the other three are null
-    otherwise. Each value is visited once and gives both its typed form and its problem.
+    otherwise. Rows that are equal stay rows of their own. The one shuffle carries typed values,
+    and the columns of ``df`` once per envelope.
     """
     schema = envelope(doc_type)
-
-    def refused(reason: str) -> Column:
-        return F.struct(
-            F.lit(None).cast(struct_type(schema)).alias("r"), F.array(F.lit(reason)).alias("e")
-        )
-
-    def check(x: Column) -> Column:
-        return (
-            F.when(x["v"].isNull(), refused("invalid_json"))
-            .when(x["m"].isNull(), refused("type:envelope"))
-            .otherwise(_object(x["v"], x["m"], "", schema))
-        )
-
-    def opened(v: Column) -> Column:
-        return let(F.struct(v.alias("v"), _as_map(v).alias("m")), check)
-
-    checked = compute_once(df, _c=let(F.try_parse_json(raw), opened))
-    ok = F.size("_c.e") == 0
-    return checked.select(
-        *df.columns,
-        *[
-            F.when(ok, F.col(f"_c.r.{name}")).alias(name)
-            for name in ("data", "field_confidences", "warnings")
-        ],
-        F.array_sort(F.array_distinct("_c.e")).alias("reasons"),
-    )
+    head, lists = _shadows(schema)
+    own = [head.named("x", k) for k in range(len(head.leaves))] + [head.named("there", k) for k in range(len(head.groups))]
+    packed = ["_doc", "_rid", "nullif(_e, '') AS _e", f"if(_kind = 0, struct({', '.join(own)}), NULL) AS _head"]
+    for s in lists:
+        record = _record(s, s.groups[0][3], 0, "$", None)
+        packed.append(f"if(_kind = {s.number}, struct(_pos, {record} AS r), NULL) AS _items{s.number}")
+    gathered = [
+        F.expr("first(_doc, true) AS _doc"),
+        F.expr("first(_head, true) AS _head"),
+        F.expr(f"array_join(collect_list(_e), '{_BREAK}') AS _e"),
+        *(F.expr(f"sort_array(collect_list(_items{s.number})).r AS _items{s.number}") for s in lists),
+    ]
+    whole = _typed_rows(df, head, lists, raw).selectExpr(*packed).groupBy("_rid").agg(*gathered)
+    reasons = f"if(_e = '', CAST(array() AS array<string>), array_sort(array_distinct(split(_e, '{_BREAK}')))) AS _reasons"
+    flat = whole.selectExpr("_doc.*", reasons, *(f"_items{s.number}" for s in lists), "_head.*")
+    made = []
+    for name, node in schema.fields.items():
+        if isinstance(node, Items):
+            x = f"_items{next(k for k, items in enumerate(head.lists) if items[0] == f'$.{name}') + 1}"
+        else:
+            k = next(k for k, group in enumerate(head.groups) if group[0] == f"$.{name}")
+            x = _record(head, node, k, f"$.{name}", lambda i: f"_items{i + 1}")
+        made.append(F.expr(f"if(size(_reasons) = 0, {x}, NULL) AS {name}"))
+    return flat.select(*df.columns, *made, F.col("_reasons").alias("reasons"))
 
 
 def accepted(validated: DataFrame) -> DataFrame:

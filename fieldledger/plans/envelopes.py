@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldledger.operators import infer, score, validate
 from fieldledger.operators.flatten import flatten_rows
@@ -10,21 +10,27 @@ from fieldledger.plans import invoices
 from fieldledger.schemas import INVOICE
 
 
+def _item_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """l_orderkey, items: the order's items as JSON texts, by line number."""
+    part = invoices.table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    lines = invoices.order_lines(spark, sf_dir).join(part, F.col("partkey") == F.col("p_partkey"), "left")
+    k = F.col("l_orderkey")
+    item = F.to_json(
+        F.struct(
+            F.col("p_name").alias("description"),
+            F.col("partkey").cast("string").alias("sku"),
+            F.when(k % 49 == 0, -1.0).otherwise(F.col("quantity")).alias("quantity"),
+            F.col("amount").alias("total"),
+            F.when(k % 51 == 0, 1.5).otherwise(F.col("tax_rate")).alias("tax_rate"),
+        )
+    )
+    rows = lines.select("l_orderkey", F.struct("l_linenumber", item.alias("item")).alias("x"))
+    return rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x"))["item"].alias("items"))
+
+
 def raw_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, raw: one envelope per order."""
     k = F.col("o_orderkey")
-
-    def item(x: Column) -> Column:
-        return F.to_json(
-            F.struct(
-                x["p_name"].alias("description"),
-                x["partkey"].cast("string").alias("sku"),
-                F.when(k % 49 == 0, -1.0).otherwise(x["quantity"]).alias("quantity"),
-                x["amount"].alias("total"),
-                F.when(k % 51 == 0, 1.5).otherwise(x["tax_rate"]).alias("tax_rate"),
-            )
-        )
-
     total = F.format_string("%.2f", "o_totalprice")
     number = k.cast("string")
     vendor = F.when(k % 53 == 0, '"vendor":{"email":"a@b.c"}').when(
@@ -38,7 +44,7 @@ def raw_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 3 == 0, '"customer":null'),
         F.concat(
             F.lit('"line_items":['),
-            F.array_join(F.transform(F.coalesce("lines", F.array()), item), ","),
+            F.coalesce(F.array_join("items", ","), F.lit("")),
             F.lit("]"),
         ),
         F.when(k % 35 == 0, None)
@@ -63,9 +69,10 @@ def raw_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     raw = F.when(k % 31 == 0, '{"data": {').otherwise(raw)
     text = F.when(k % 5 != 0, F.concat(F.lit("order "), number))
-    return invoices.order_heads(spark, sf_dir).select(
-        number.alias("doc_id"), text.alias("text"), raw.alias("raw")
+    orders = invoices.table(spark, sf_dir, "orders").join(
+        _item_texts(spark, sf_dir), k == F.col("l_orderkey"), "left"
     )
+    return orders.select(number.alias("doc_id"), text.alias("text"), raw.alias("raw"))
 
 
 def validate_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
