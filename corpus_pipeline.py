@@ -13,8 +13,8 @@ from fieldledger.llm import dart_minhash, mixing, sharding, spaced_seeds, toxici
 from fieldledger.llm.common import label_fold, stored, table
 
 SHARDS = 40
-#: Shares of the tokens that are kept, by language, and the share of all tokens to keep. With them
-#: no rate is above 1, so the mixture repeats no document.
+#: Shares of the tokens that are kept, by language, and the share of all tokens to keep at most. Less
+#: is kept where the scarcest language has too little, so that no document is repeated and the shares hold.
 TARGETS = {"en": 0.56, "de": 0.165, "fr": 0.165, "es": 0.11}
 BUDGET = 0.9
 
