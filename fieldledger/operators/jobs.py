@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 # The stages of one request in order.
 STAGES = ("starting", "loading", "model_call", "validated", "result", "error", "done")
 
+#: Items on a page of a job's snapshot.
+PAGE_SIZE = 1000
+
 
 def latest_items(events: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """job_id, item, status, seq, started: the newest status of every item.
@@ -73,19 +76,24 @@ def job_progress(items: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
     )
 
 
-def job_snapshots(items: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """Progress plus the job's items in order; one job is one document, as in a status reply."""
+def item_pages(items: DataFrame, extra: Sequence[str] = (), page_size: int = PAGE_SIZE) -> DataFrame:
+    """job_id, page, items: a job's items in order, in pages by their index. Page k holds the items
+    from k x ``page_size`` on, so no list is longer than a page, however large the job, and pages of
+    one job are built in different tasks. All items are kept."""
     entry = F.struct(F.col("item").alias("index"), "status", *extra)
-    counted = items.groupBy("job_id").agg(
-        *_progress(), F.array_sort(F.collect_list(entry)).alias("items")
-    )
-    status = job_status(F.col("total"), F.col("done") + F.col("errors"), F.col("started"))
-    return counted.select(
-        "job_id",
-        status.alias("status"),
-        F.struct("total", "done", "errors", "pending", "running").alias("progress"),
-        "items",
+    page = F.floor(F.col("item") / page_size).cast("long")
+    return items.groupBy("job_id", page.alias("page")).agg(F.sort_array(F.collect_list(entry)).alias("items"))
+
+
+def job_snapshots(
+    items: DataFrame, extra: Sequence[str] = (), jobs: DataFrame | None = None, page_size: int = PAGE_SIZE
+) -> DataFrame:
+    """Status and progress of each job beside each page of its items; a job without items (of
+    ``jobs``) has one row without a page."""
+    progress = job_progress(items, jobs).select(
+        "job_id", "status", F.struct("total", "done", "errors", "pending", "running").alias("progress")
     )
+    return progress.join(item_pages(items, extra, page_size), "job_id", "left")
 
 
 def stage_times() -> list[Column]:

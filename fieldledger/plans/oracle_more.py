@@ -220,9 +220,11 @@ FROM field_stats WHERE support > 0 OR fp > 0""",
        coalesce(running, 0) AS running, coalesce(status, 'done') AS status
 FROM customer LEFT JOIN judged ON job_id = c_custkey""",
     "job_snapshot": _JOBS
-    + """SELECT job_id, status, total,
-       (SELECT string_agg(item || ':' || l.status, ',' ORDER BY item) FROM latest l
-        WHERE l.job_id = j.job_id) AS items FROM judged j""",
+    + """SELECT j.job_id, j.status, total, l.page, l.items
+FROM judged j JOIN (
+  SELECT job_id, CAST(floor(item / 1000) AS BIGINT) AS page,
+         string_agg(item || ':' || status, ',' ORDER BY item) AS items
+  FROM latest GROUP BY ALL) l ON l.job_id = j.job_id""",
     "job_progress_stream": _JOBS
     + "SELECT job_id, total, done, errors, pending, running, status FROM judged",
     "stage_timing": _STAGES + "SELECT * EXCLUDE (t5) FROM timing",

@@ -47,12 +47,13 @@ def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per job and page of its items, in pages of the usual size."""
     snaps = jobs.job_snapshots(jobs.latest_items(item_events(invoices.table(spark, sf_dir, "events"))))
     listed = F.transform(
         "items", lambda x: F.concat(x["index"].cast("string"), F.lit(":"), x["status"])
     )
     return snaps.select(
-        "job_id", "status", F.col("progress.total").alias("total"), F.array_join(listed, ",").alias("items")
+        "job_id", "status", F.col("progress.total").alias("total"), "page", F.array_join(listed, ",").alias("items")
     )
 
 

@@ -168,3 +168,22 @@ def test_flatten_paths(spark):
     assert dict(field_types(get_schema("filing")))["financials.revenue"] == "number"
     with pytest.raises(KeyError):
         get_schema("memo")
+
+
+def test_snapshot_pages_hold_every_item_of_a_large_job(spark):
+    from pyspark.sql import functions as F
+
+    from fieldledger.operators import jobs
+
+    large = spark.range(5_300).select(
+        F.lit("large").alias("job_id"), F.col("id").alias("item"), F.lit("done").alias("status"), F.lit(True).alias("started")
+    )
+    small = spark.createDataFrame([("small", 7, "pending", False)], large.schema)
+    listed = spark.createDataFrame([("large",), ("small",), ("empty",)], "job_id string")
+    rows = jobs.job_snapshots(large.union(small), jobs=listed, page_size=1000).orderBy("job_id", "page").collect()
+    assert [(r.job_id, r.page, r.status) for r in rows] == [
+        ("empty", None, "done"), *(("large", k, "done") for k in range(6)), ("small", 0, "pending"),
+    ]
+    pages = [[x["index"] for x in r["items"]] for r in rows if r.job_id == "large"]
+    assert max(map(len, pages)) == 1000 and sum(pages, []) == list(range(5_300))
+    assert {r.progress.total for r in rows if r.job_id == "large"} == {5_300}
