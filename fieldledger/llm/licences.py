@@ -6,6 +6,7 @@ sentence, and the sequence of identifiers is matched against an ordered list of
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -29,9 +30,9 @@ _CC_NAMES = {
 }
 #: Short forms "licensed under ..." etc. of licences with one name.
 _NAMED = {
-    "Apache-2.0": ("apache license version 2 0", "apache license 2 0", "apache 2 0 license"),
-    "MIT": ("mit license",),
-    "ISC": ("isc license",),
+    "Apache-2.0": ("apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache 2 0", "apache license v2 0"),
+    "MIT": ("mit license", "mit"),
+    "ISC": ("isc license", "isc"),
     "BSD-2-Clause": ("bsd 2 clause license", "2 clause bsd license", "simplified bsd license"),
     "BSD-3-Clause": ("bsd 3 clause license", "3 clause bsd license", "new bsd license"),
     "MPL-2.0": ("mozilla public license version 2 0", "mozilla public license v 2 0"),
@@ -41,7 +42,13 @@ _NAMED = {
     "BSL-1.0": ("boost software license version 1 0",),
     "Zlib": ("zlib license",),
 }
-#: Openings of a short statement, all read as "under".
+#: Words before "under" in a short statement.
+VERBS = "licensed|released|distributed|published|available|made available"
+#: Openings of a short statement, all read as "under": in the operator, and in the DuckDB statement.
+OPENING = (
+    "(?m)^(?:(?:this|the|all|our)(?: (?!(?:not|never|no|is|are|was|were) )[a-z0-9]+){0,6} (?:is|are) )?(?:also )?(?:dual )?"
+    rf"(?:{VERBS}) under (?:the terms of )?(?:the |a |an )?"
+)
 LEAD = (
     "(?m)^(?:this [a-z]+ is )?(?:also )?(?:dual )?(?:licensed|released|distributed|published|available|made available)"
     " under (?:the terms of )?(?:the |a |an )?"
@@ -95,6 +102,12 @@ _SENTENCES = {
         "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
         " products derived from this software without specific prior written permission"
     ),
+    "bsd-advert": (
+        "all advertising materials mentioning features or use of this software must display the following"
+        " acknowledgement"
+    ),
+    "bsd-acknowledge": "this product includes software",
+    "bsd-other": "another clause",
     "apache-grant": "you may not use this file except in compliance with the license",
     "apache-copy": "you may obtain a copy of the license at",
     "apache-warranty": (
@@ -121,10 +134,11 @@ def known_sentences() -> dict[str, str]:
     for kind, title in _GPL_NAMES.items():
         for v in _GPL_VERSIONS[kind]:
             label = f"{kind}-{v.replace(' ', '.') if ' ' in v else v + '.0'}"
-            for joint in ("version", "v"):
-                out[f"under {title} {joint} {v}"] = f"named:{label}-only"
+            short = kind.lower()
+            for named in (f"{title} version {v}", f"{title} v {v}", f"{title} v{v}", f"{short} v{v}", f"{short}v{v}"):
+                out[f"under {named}"] = f"named:{label}-only"
                 for tail in ("or later", "or any later version", "or at your option any later version"):
-                    out[f"under {title} {joint} {v} {tail}"] = f"named:{label}-or-later"
+                    out[f"under {named} {tail}"] = f"named:{label}-or-later"
             out[
                 f"this program is free software you can redistribute it and or modify it under the terms of the {title}"
                 f" as published by the free software foundation either version {v} of the license or at your option any"
@@ -145,7 +159,11 @@ def licence_rules() -> list[tuple[str, tuple[str, ...]]]:
         ("MIT", ("mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
         ("MIT", ("mit-grant", "mit-notice", "mit-warranty")),
         ("MIT", ("mit-grant", "mit-notice")),
+        ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-acknowledge", "bsd-endorse")),
         ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+        ("LicenseRef-BSD-other", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-acknowledge")),
+        ("LicenseRef-BSD-other", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert")),
+        ("LicenseRef-BSD-other", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-other")),
         ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
         ("Apache-2.0", ("named:Apache-2.0", "apache-grant", "apache-copy", "apache-warranty", "apache-see")),
         ("Apache-2.0", ("named:Apache-2.0", "apache-grant", "apache-copy")),
@@ -171,6 +189,10 @@ def published_sentences() -> dict[str, str]:
         "https www apache org licenses license 2 0": "apache-url",
         "without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-implied",
     }
+    labels = {name.partition(":")[2] for name in known_sentences().values() if name.startswith("named:")}
+    for label in labels | {label.removesuffix("-only") for label in labels}:
+        name = label if label in labels else f"{label}-only"
+        out["spdx " + " ".join(re.findall("[a-z0-9]+", label.lower()))] = f"named:{name}"
     for kind in ("program", "library"):
         out[f"this {kind} is free software"] = "gpl-free"
         out[f"this {kind} is distributed in the hope that it will be useful but without any warranty"] = "gpl-warranty"
@@ -201,13 +223,54 @@ def published_rules() -> list[tuple[str, tuple[str, ...]]]:
     return rules
 
 
+#: Blanks, punctuation and comment marks between the words of a wrapped statement.
+_W = "[^a-z0-9]++"
+#: A list item after the two clauses of a BSD text that is neither of the known further ones.
+OTHER_CLAUSE = r"(?m)^[3c][ \n](?!neither the name of |all advertising )[^\n]+$"
+#: A remark after a named licence, within the line it stands on.
+REMARK = (
+    " (?:see|unless|except where|refer to|found in|found at|which|copyright|please|for (?:more |further )?(?:details|information)"
+    "|as described|as stated|in the license file|in the copying file|https?)(?: .*)?$"
+)
+_REMARK_IN_TEXT = f"(?m)^(under [^\n|]*?){REMARK.replace('.', '[^\\n|]')}"
+
+
+def _wrapped(words: str) -> str:
+    return words.replace(" ", _W)
+
+
+def rewrites() -> list[tuple[str, str, str]]:
+    """Gate, pattern and replacement, in order, on the lower-cased text before it is cut: statements
+    with a free part become ones without.
+
+    SPDX lines give one statement for each name (AND and OR alike; exceptions after WITH are left out; + is
+    "or later"); two licences named in one statement give two; holders in clauses give one fixed holder.
+    """
+    names = sorted({f for forms in _NAMED.values() for f in forms}, key=lambda f: (-len(f), f))
+    gpl = "gnu (?:lesser |affero )?general public license (?:version |v)[^a-z0-9]*[0-9](?: 1)?"
+    named = rf"(?:the{_W})?((?:{_wrapped('|'.join([gpl, *names]))})\b)"
+    spdx = r"(?:spdx-license-identifier:|(?!^)\G[ \t]+(?:and|or))[ \t(]*([a-z0-9][a-z0-9.+-]*)(?:[ \t]+with[ \t]+[a-z0-9.-]+)?\)*"
+    either = rf"(?:either|both)(?:{_W}of)?{_W}{named}[^a-z0-9(]*(?:\([^)]{{0,200}}\))?[^a-z0-9]*(?:(?:or|and){_W})?{named}"
+    joint = rf"{named}{_W}(?:or|and){_W}{named}"
+    tail = _wrapped("used to endorse or promote products derived from")
+    return [
+        ("spdx-license-identifier:", r"\b([al]?gpl-[0-9.]*[0-9])\+", "$1-or-later"),
+        ("spdx-license-identifier:", spdx, "\n\nspdx $1.\n\n"),
+        (" under", rf"\bunder{_W}(?:{_wrapped('the terms of')}{_W})?(?:{either}|{joint})", "under $1$3.\n\nlicensed under $2$4.\n\n"),
+        ("endorse", rf"\bneither{_W}(?:(?:the|my){_W})?names?\b.{{0,300}}?\bmay{_W}be{_W}{tail}", _ENDORSE),
+        ("endorse", rf"\bthe{_W}names?{_W}of{_W}.{{0,300}}?\bmay{_W}not{_W}be{_W}{tail}", _ENDORSE),
+        ("this product includes", rf"{_wrapped('this product includes software developed by')}\b[^.]{{0,300}}\.", "this product includes software."),
+    ]
+
+
+_ENDORSE = _SENTENCES["bsd-endorse"].partition(" this software")[0]
 #: Marks of a sequence: an unknown stretch, and a place where a rule has taken its sentences.
 GAP, TAKEN = "~", "|"
 #: Mark of a line's end within a sentence.
 LINE = "|"
 #: Words that LEAD can start with.
 LEAD_WORDS = (
-    "this", "also", "dual", "licensed", "released", "distributed", "published", "available", "made",
+    "this", "the", "all", "our", "also", "dual", "licensed", "released", "distributed", "published", "available", "made",
 )
 
 
@@ -234,14 +297,16 @@ def _sequence(sentences: str, known: dict[str, str]) -> Column:
     )
     firsts = "|".join(sorted({s.split(" ")[0] for s in known} | set(LEAD_WORDS)))
     start = rf"^(?:(?:[0-9]+|[a-z]) )?(?:{firsts})(?: |$)"
-    # Every known sentence holds its first two words, or "under", in whatever lines it is: others need no reading by lines.
-    openings = {rf"[ {LINE}]".join(s.split(" ")[:2]) for s in known if not s.startswith("under ")} | {"under"}
+    # Every known sentence holds its first two words, or "under" after a verb or as its first word, in whatever lines it is:
+    # others need no reading by lines.
+    openings = {rf"[ {LINE}]".join(s.split(" ")[:2]) for s in known if not s.startswith("under ")}
+    openings |= {rf"^(?:(?:[0-9]+|[a-z])[ {LINE}])?under", rf"(?:{VERBS})[ {LINE}]under"}
     opening = rf"\b(?:{'|'.join(sorted(openings))})\b"
     longest = max((len(s.split(" ")) for s in known), default=1) + 12
     table = F.create_map(*(F.lit(x) for s, name in known.items() for x in (s, f"<{name}>"))) if known else None
 
     def bare(run: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(run, BULLET, ""), LEAD, "under ")
+        return F.regexp_replace(F.regexp_replace(run, BULLET, ""), OPENING, "under ")
 
     def of_lines(sentence: Column) -> Column:
         lines = F.filter(F.split(sentence, rf"\{LINE}"), lambda x: bare(x) != "")
@@ -249,8 +314,17 @@ def _sequence(sentences: str, known: dict[str, str]) -> Column:
         def read(lines: Column) -> Column:
             def best(line, at):
                 def tried(k):
+                    run = F.array_join(F.slice(lines, at + 1, k), " ")
+                    last = F.get(lines, at + k - 1)
+                    # The run without the remark at the end of its last line.
+                    short = bare(F.concat(F.left(run, F.length(run) - F.length(last)), F.regexp_replace(last, REMARK, "")))
+                    short = F.when(short.startswith("under "), short)
                     return F.struct(
-                        k.alias("k"), F.try_element_at(table, bare(F.array_join(F.slice(lines, at + 1, k), " "))).alias("id")
+                        k.alias("k"),
+                        F.coalesce(
+                            F.try_element_at(table, bare(run)),
+                            F.when(last.rlike(REMARK), F.try_element_at(table, F.coalesce(short, F.lit("")))),
+                        ).alias("id"),
                     )
 
                 runs = F.sequence(F.least(F.lit(longest), F.size(lines) - at), F.lit(1), F.lit(-1))
@@ -290,7 +364,9 @@ def scan_licences(
     sentences. A rule needs its identifiers side by side; rules are tried in order and take the
     sentences they match. licences: distinct names in rule order, joined by commas, empty if none;
     statements: matches of all rules; unmatched: known sentences that no rule took. A line
-    break ends a sentence unless the lines are known as one sentence; empty lines always end it. Null and empty texts have no sentence. One pass, no shuffle.
+    break ends a sentence unless the lines are known as one sentence; empty lines always end it. Null and empty texts have no sentence.
+    ``rewrites`` and remarks after a named licence (REMARK, up to the line's end) apply before the look-up. A numbered third clause
+    that no rule knows makes a BSD text LicenseRef-BSD-other. One pass, no shuffle.
     """
     known = known_sentences() | published_sentences() if known is None else known
     rules = published_rules() + licence_rules() if rules is None else rules
@@ -300,13 +376,20 @@ def scan_licences(
 
     def sentences() -> Column:
         body = F.translate(F.lower(F.coalesce(F.col(text), F.lit(""))), f"{LINE}\r", "  ")
+        for gate, pattern, form in rewrites():
+            body = F.when(body.contains(gate), F.regexp_replace(body, f"(?s){pattern}", form)).otherwise(body)
         body = F.regexp_replace(body, VERSION_MARK, "v ")
         cut = F.regexp_replace(F.regexp_replace(body, PARAGRAPH_END, ". "), SENTENCE_END, "\r")
         plain = F.regexp_replace(F.translate(cut, "\n\r", f"{LINE}\n"), rf"[^a-z0-9\n{LINE}]+", " ")
         joined = F.regexp_replace(plain, rf" ?\{LINE}[ {LINE}]*", LINE)
         marked = F.regexp_replace(joined, rf"[ {LINE}]?\n[ {LINE}]*|^[ {LINE}]+|[ {LINE}]$", "\n")
-        lines = F.regexp_replace(marked, BULLET, "")
-        return F.when(lines.contains(" under "), F.regexp_replace(lines, LEAD, "under ")).otherwise(lines)
+        clauses = F.when(
+            marked.contains("redistributions in binary form"), F.regexp_replace(marked, OTHER_CLAUSE, "another clause")
+        ).otherwise(marked)
+        lines = F.regexp_replace(clauses, BULLET, "")
+        # Sentences of several lines are read by lines, with their openings and remarks.
+        named = F.regexp_replace(F.regexp_replace(lines, rf"{OPENING}(?=[^\n{LINE}]*$)", "under "), _REMARK_IN_TEXT, "$1")
+        return F.when(lines.rlike(r"\bunder "), named).otherwise(lines)
 
     def take(state, rule):
         left = F.replace(state["seq"], rule["run"], F.lit(TAKEN))
