@@ -278,6 +278,11 @@ def rule_text(identifiers: Sequence[str]) -> str:
     return "".join(f"<{i}>" for i in identifiers)
 
 
+def _where(value: Column, gate: str, change) -> Column:
+    """``value``, changed if it contains ``gate``. It is worked out once, where CASE alone would copy its expression."""
+    return F.transform(F.array(value), lambda v: F.when(v.contains(gate), change(v)).otherwise(v))[0]
+
+
 def _look_up(known: dict[str, str]):
     names = ", ".join(f"'{s}'" for s in known)
     ids = ", ".join(f"'{s}', '<{name}>'" for s, name in known.items())
@@ -377,19 +382,21 @@ def scan_licences(
     def sentences() -> Column:
         body = F.translate(F.lower(F.coalesce(F.col(text), F.lit(""))), f"{LINE}\r", "  ")
         for gate, pattern, form in rewrites():
-            body = F.when(body.contains(gate), F.regexp_replace(body, f"(?s){pattern}", form)).otherwise(body)
+            body = _where(body, gate, lambda b, p=pattern, f=form: F.regexp_replace(b, f"(?s){p}", f))
         body = F.regexp_replace(body, VERSION_MARK, "v ")
         cut = F.regexp_replace(F.regexp_replace(body, PARAGRAPH_END, ". "), SENTENCE_END, "\r")
         plain = F.regexp_replace(F.translate(cut, "\n\r", f"{LINE}\n"), rf"[^a-z0-9\n{LINE}]+", " ")
         joined = F.regexp_replace(plain, rf" ?\{LINE}[ {LINE}]*", LINE)
         marked = F.regexp_replace(joined, rf"[ {LINE}]?\n[ {LINE}]*|^[ {LINE}]+|[ {LINE}]$", "\n")
-        clauses = F.when(
-            marked.contains("redistributions in binary form"), F.regexp_replace(marked, OTHER_CLAUSE, "another clause")
-        ).otherwise(marked)
+        clauses = _where(
+            marked, "redistributions in binary form", lambda m: F.regexp_replace(m, OTHER_CLAUSE, "another clause")
+        )
         lines = F.regexp_replace(clauses, BULLET, "")
         # Sentences of several lines are read by lines, with their openings and remarks.
-        named = F.regexp_replace(F.regexp_replace(lines, rf"{OPENING}(?=[^\n{LINE}]*$)", "under "), _REMARK_IN_TEXT, "$1")
-        return F.when(lines.rlike(r"\bunder "), named).otherwise(lines)
+        opened = rf"{OPENING}(?=[^\n{LINE}]*$)"
+        return _where(
+            lines, "under ", lambda x: F.regexp_replace(F.regexp_replace(x, opened, "under "), _REMARK_IN_TEXT, "$1")
+        )
 
     def take(state, rule):
         left = F.replace(state["seq"], rule["run"], F.lit(TAKEN))
