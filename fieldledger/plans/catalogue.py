@@ -49,6 +49,7 @@ QUERIES: dict[str, Query] = {
     "route_documents": texts.route_documents,
     "ft_rows": texts.ft_rows,
     "ft_split_sizes": texts.ft_split_sizes,
+    "ft_sink_roundtrip": texts.ft_sink_roundtrip,
     "text_similarity": texts.text_similarity,
     "infer_partitions": texts.infer_partitions,
     "validate_invoices": envelopes.validate_invoices,

@@ -145,9 +145,8 @@ _EMPTY = "WHEN size = 0 THEN 'empty_document'"
 
 _LABELLED = """
 WITH docs AS (
-  SELECT d.doc_id, CASE WHEN d.doc_id % 17 <> 0 THEN d.text END AS text,
-         d.source, d.lang, quality, toxic,
-         CASE WHEN d.doc_id % 17 = 0 OR d.text = '' THEN 'no_text'
+  SELECT d.doc_id, d.text, d.source, d.lang, quality, toxic,
+         CASE WHEN coalesce(d.text, '') = '' THEN 'no_text'
               WHEN quality IS NULL THEN 'empty_ground_truth' END AS problem
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
 """
@@ -180,7 +179,7 @@ FROM texts t""",
     "document_requests": f"""
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'You read invoices.' ELSE 'You read receipts.' END
          AS system, md5({_document_message('t')}) AS digest
-FROM (SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN text END AS t FROM documents)""",
+FROM (SELECT doc_id, text AS t FROM documents)""",
     "html_to_text": f"""
 WITH bare AS (
   SELECT page_id, replace(replace(replace(replace(replace(
@@ -215,6 +214,15 @@ SELECT page_id, source_type,
          '{{"data":{{"source":"' || source || '","lang":"' || lang || '","note":"Gr\\u00f6\\u00dfe",'
          || '"quality":' || quality || ',"toxic":' || toxic
          || '}},"field_confidences":[],"warnings":[]}}' END AS assistant, problem FROM docs""",
+    "ft_sink_roundtrip": _LABELLED
+    + f""", n AS (SELECT count(*) AS n, greatest(1, CAST(round_even(count(*) * 0.2e0, 0) AS BIGINT))
+                        AS v FROM docs WHERE problem IS NULL)
+SELECT 'system,user,assistant' AS roles, 'You read receipts.' AS system,
+       md5({_document_message('text')}) AS user_digest,
+       '{{"data":{{"source":"' || source || '","lang":"' || lang || '","note":"Gr\\u00f6\\u00dfe",'
+         || '"quality":' || quality || ',"toxic":' || toxic
+         || '}},"field_confidences":[],"warnings":[]}}' AS assistant, n - v AS n_train, v AS n_val
+FROM docs, n WHERE problem IS NULL""",
     "ft_split_sizes": _LABELLED
     + """, n AS (SELECT count(*) AS n, greatest(1, CAST(round_even(count(*) * 0.2e0, 0) AS BIGINT))
                         AS v FROM docs WHERE problem IS NULL)

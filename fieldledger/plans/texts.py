@@ -10,6 +10,8 @@ from fieldledger.functions.text import normalize
 from fieldledger.operators import admission, chatrows, infer, sections
 from fieldledger.plans.invoices import table
 from fieldledger.plans.receipts import choose
+from fieldledger.sources.reports import read_chat_rows, write_chat_rows
+from fieldledger.sources.storage import new_folder
 
 PROMPTS = {
     "filing": "You read annual filings.",
@@ -90,10 +92,8 @@ def filing_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    k = F.col("doc_id")
-    text = F.when(k % 9 != 0, F.col("text"))
-    kind = choose(k, F.lit("invoice"), F.lit(" Receipt"))
-    asked = sections.document_requests(docs.select("doc_id", text.alias("text")), kind, PROMPTS)
+    kind = choose(F.col("doc_id"), F.lit("invoice"), F.lit(" Receipt"))
+    asked = sections.document_requests(docs.select("doc_id", "text"), kind, PROMPTS)
     return asked.select(
         "doc_id",
         F.col("messages")[0]["content"].alias("system"),
@@ -158,10 +158,7 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     record = F.struct("source", "lang", F.lit("Größe").alias("note"), "quality", "toxic")
     truth = F.when(F.col("quality").isNull(), "{}").otherwise(F.to_json(record))
-    text = F.when(F.col("doc_id") % 17 != 0, F.col("text"))
-    return docs.join(labels, "doc_id", "left").select(
-        "doc_id", text.alias("text"), truth.alias("ground_truth")
-    )
+    return docs.join(labels, "doc_id", "left").select("doc_id", "text", truth.alias("ground_truth"))
 
 
 def ft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,15 +176,39 @@ def ft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, messages, split of the usable rows. The rows are stored once, so that the passes that
+    find the cut read the ids and problems alone; marking shuffles nothing."""
+    path = new_folder(spark, "chat-rows")
+    rows = chatrows.chat_rows(labelled_documents(spark, sf_dir), "receipt", PROMPTS)
+    rows.select("doc_id", "messages", "problem").write.parquet(path)
+    return chatrows.split(chatrows.usable(spark.read.parquet(path)), ["doc_id"])
+
+
 def ft_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per split. Whether a row is usable is found from a flag, so that no text is shuffled;
-    the messages are joined to the split ids by whoever writes them."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    shown = F.when((F.col("doc_id") % 17 != 0) & (F.coalesce("text", F.lit("")) != ""), "x")
-    truth = F.when(F.col("quality").isNull(), "{}").otherwise("{x}")
-    flags = docs.select("doc_id", shown.alias("shown")).join(labels, "doc_id", "left")
-    usable = flags.where(chatrows.row_problem(F.col("shown"), truth).isNull())
-    return chatrows.enough_rows(chatrows.split(usable.select("doc_id"), ["doc_id"]))
+    """Rows per split, of real texts and truth."""
+    return chatrows.enough_rows(_split_rows(spark, sf_dir))
+
+
+def ft_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages as written by split and read back, with the number of rows of either split."""
+    path = new_folder(spark, "ft")
+    write_chat_rows(_split_rows(spark, sf_dir), path)
+    back = read_chat_rows(spark, path)
+    sizes = [F.count_if(F.col("split") == name).alias(name) for name in ("train", "val")]
+    counts = back.agg(F.struct(*sizes)).scalar()
+
+    def content(i: int) -> Column:
+        return F.get("messages", F.lit(i))["content"]
+
+    return back.select(
+        F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"),
+        content(0).alias("system"),
+        F.md5(content(1)).alias("user_digest"),
+        content(2).alias("assistant"),
+        counts["train"].alias("n_train"),
+        counts["val"].alias("n_val"),
+    )
 
 
 # --- similarity ---------------------------------------------------------------------------------

@@ -188,3 +188,9 @@ def write_comparison(compared: DataFrame, path: str) -> dict[str, str]:
 def write_chat_rows(rows: DataFrame, path: str) -> None:
     """``messages`` as JSON lines, in one folder per split."""
     rows.select("split", "messages").write.mode("overwrite").partitionBy("split").json(path)
+
+
+def read_chat_rows(spark: SparkSession, path: str) -> DataFrame:
+    """messages, split of all rows that ``write_chat_rows`` left; a split without rows has no folder."""
+    schema = "messages array<struct<role: string, content: string>>, split string"
+    return spark.read.schema(schema).json(path, mode="FAILFAST")

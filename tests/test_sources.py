@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from fieldledger.operators import infer, jobs, rollup, score
+from fieldledger.operators import chatrows, infer, jobs, rollup, score
 from fieldledger.schemas import RECEIPT, struct_type
 from fieldledger.sources import documents, jsonl, reports
 from fieldledger.streaming import progress, stages
@@ -191,3 +191,23 @@ def test_stage_stream_across_batches(spark, tmp_path):
         assert (got[2].error_ms, got[2].outcome) == (4000, "error") and got[3].outcome == "open"
         if place == log:
             stages.compact_stage_log(spark, log, str(tmp_path / "small"))
+
+
+def test_chat_rows_written_by_split(spark, tmp_path):
+    """Null and empty texts and empty truth are set aside; both splits come back; an empty one has no folder."""
+    rows = [(i, f"text {i}\n\"é\"", '{"a":1}') for i in range(20)]
+    odd = [(20, None, '{"a":1}'), (21, "", '{"a":1}'), (22, "x", "{}"), (23, "x", None), (24, None, None)]
+    df = spark.createDataFrame(rows + odd, "doc_id int, text string, ground_truth string")
+    made = chatrows.chat_rows(df, "receipt", {"receipt": "Read."}).select("doc_id", "messages", "problem")
+    problems = {r.doc_id: r.problem for r in chatrows.skipped(made, "doc_id").collect()}
+    assert problems == {20: "no_text", 21: "no_text", 22: "empty_ground_truth", 23: "empty_ground_truth", 24: "no_text"}
+    marked = chatrows.split(chatrows.usable(made), ["doc_id"])
+    reports.write_chat_rows(marked, str(tmp_path / "both"))
+    back = reports.read_chat_rows(spark, str(tmp_path / "both")).collect()
+    wanted = {(r.split, tuple(m.content for m in r.messages)) for r in marked.collect()}
+    assert len(back) == 20 and {(r.split, tuple(m.content for m in r.messages)) for r in back} == wanted
+    assert sum(r.split == "val" for r in back) == 4
+    reports.write_chat_rows(chatrows.split(chatrows.usable(made), ["doc_id"], fraction=0), str(tmp_path / "one"))
+    assert [p.name for p in (tmp_path / "one").glob("split=*")] == ["split=train"]
+    reports.write_chat_rows(marked.limit(0), str(tmp_path / "none"))
+    assert reports.read_chat_rows(spark, str(tmp_path / "none")).count() == 0
