@@ -24,10 +24,16 @@ def envelope_json(truth_json: Column) -> Column:
     )
 
 
+def text_problem(text: Column) -> Column:
+    return F.when(F.coalesce(text, F.lit("")) == "", "no_text")
+
+
+def truth_problem(truth_json: Column) -> Column:
+    return F.when(F.coalesce(truth_json, F.lit("")).isin(*_EMPTY_TRUTH), "empty_ground_truth")
+
+
 def row_problem(text: Column, truth_json: Column) -> Column:
-    return F.when(F.coalesce(text, F.lit("")) == "", "no_text").when(
-        F.coalesce(truth_json, F.lit("")).isin(*_EMPTY_TRUTH), "empty_ground_truth"
-    )
+    return F.coalesce(text_problem(text), truth_problem(truth_json))
 
 
 def chat_rows(

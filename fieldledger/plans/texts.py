@@ -156,9 +156,12 @@ def route_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, ground_truth (JSON text; empty where there is no label)."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return docs.join(labels, "doc_id", "left").select("doc_id", "text", _truth().alias("ground_truth"))
+
+
+def _truth() -> Column:
     record = F.struct("source", "lang", F.lit("Größe").alias("note"), "quality", "toxic")
-    truth = F.when(F.col("quality").isNull(), "{}").otherwise(F.to_json(record))
-    return docs.join(labels, "doc_id", "left").select("doc_id", "text", truth.alias("ground_truth"))
+    return F.when(F.col("quality").isNull(), "{}").otherwise(F.to_json(record))
 
 
 def ft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,8 +189,12 @@ def _split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ft_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per split, of real texts and truth."""
-    return chatrows.enough_rows(_split_rows(spark, sf_dir))
+    """Rows per split. Texts are judged where they are read, so that none is shuffled."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    judged = docs.select("doc_id", "source", "lang", chatrows.text_problem(F.col("text")).alias("no_text"))
+    problem = F.coalesce("no_text", chatrows.truth_problem(_truth()))
+    usable = judged.join(labels, "doc_id", "left").where(problem.isNull())
+    return chatrows.enough_rows(chatrows.split(usable.select("doc_id"), ["doc_id"]))
 
 
 def ft_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
