@@ -76,8 +76,12 @@ def round_money(c: Column) -> Column:
 
 def fixed_4(c: Column) -> Column:
     """Number as text with at most four decimals and no trailing zeros."""
+    # Most numbers print with at most four decimals as they are; only the others are rounded.
+    plain = c.cast("double").cast("string")
     shown = F.regexp_replace(F.format_string("%.4f", round_exact(c, 4)), r"\.?0+$", "")
-    return F.when(c.isNotNull(), shown)
+    return F.when(plain.rlike(r"^-?[0-9]+\.[0-9]{1,4}$"), F.regexp_replace(plain, r"\.0$", "")).when(
+        c.isNotNull(), shown
+    )
 
 
 def fixed(c: Column, places: int, before: str = "", after: str = "") -> Column:

@@ -196,10 +196,12 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def summary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run summaries written as reports and read back, the newest of each run folder."""
-    path = new_folder(spark, "summaries")
-    pairs = invoice_pairs(spark, sf_dir)
-    summary = score.run_summary(score.run_statistics(pairs, "invoice"), "invoice")
-    reports.write_summary(summary, score.field_stats(pairs, "invoice"), "invoice", path, "2026-01-01T00:00:00+00:00")
+    path, kept = new_folder(spark, "summaries"), new_folder(spark, "counts")
+    # A few rows per run, from one pass over the documents; everything in the report follows from them.
+    score.run_counts(invoice_pairs(spark, sf_dir), "invoice").write.parquet(kept)
+    counts = spark.read.parquet(kept)
+    summary = score.run_summary(score.statistics_of(counts), "invoice")
+    reports.write_summary(summary, score.field_rates(counts), "invoice", path, "2026-01-01T00:00:00+00:00")
     return reports.read_latest_summaries(spark, path).select(
         *RUN, "label", "n_docs", "errors", "micro_f1", "macro_f1", "doc_exact_match", "total_cost_usd"
     )
@@ -209,7 +211,7 @@ def per_record_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome rows of receipts written as CSV, one folder per run, read back and counted."""
     path = new_folder(spark, "per-record")
     pairs = score.with_cost(receipt_pairs(spark, sf_dir))
-    reports.write_per_record(score.outcome_rows(score.score_documents(pairs, "receipt", detail=True)), "receipt", path)
+    reports.write_per_record(score.document_outcomes(pairs, "receipt"), "receipt", path)
     back = spark.read.option("header", True).option("escape", '"').csv(path)
     return back.groupBy("tag", "field", "field_type", "outcome").agg(F.count("*").alias("n"))
 

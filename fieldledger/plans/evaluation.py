@@ -20,8 +20,7 @@ def eval_field_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_field_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = invoice_pairs(spark, sf_dir)
-    return score.outcome_rows(score.score_documents(pairs, "invoice", detail=True))
+    return score.document_outcomes(invoice_pairs(spark, sf_dir), "invoice")
 
 
 def eval_doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

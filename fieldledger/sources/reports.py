@@ -144,7 +144,7 @@ def write_reports(pairs: DataFrame, doc_type: str, path: str) -> dict[str, str]:
     persisted or stored table when it is expensive."""
     stats = score.field_stats(pairs, doc_type)
     summary = score.run_summary(score.run_statistics(pairs, doc_type), doc_type)
-    outcomes = score.outcome_rows(score.score_documents(pairs, doc_type, detail=True))
+    outcomes = score.document_outcomes(pairs, doc_type)
     out = {k: f"{path}/{k}" for k in ("per_record", "summary", "markdown")}
     stamp = _now()
     write_per_record(outcomes, doc_type, out["per_record"])

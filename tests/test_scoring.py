@@ -187,3 +187,38 @@ def test_snapshot_pages_hold_every_item_of_a_large_job(spark):
     pages = [[x["index"] for x in r["items"]] for r in rows if r.job_id == "large"]
     assert max(map(len, pages)) == 1000 and sum(pages, []) == list(range(5_300))
     assert {r.progress.total for r in rows if r.job_id == "large"} == {5_300}
+
+
+def test_document_outcomes_equal_the_nested_ones(spark):
+    p = pairs(spark, CASES)
+    keys = ["doc_id", "field"]
+    nested = score.outcome_rows(score.score_documents(p, "receipt", detail=True)).orderBy(*keys).collect()
+    flat = score.document_outcomes(p, "receipt")
+    assert flat.orderBy(*keys).collect() == nested
+    # Every field is compared once, as a column of a row; no array of outcomes is built per document.
+    assert "fields" not in flat._jdf.queryExecution().analyzed().toString()
+
+
+def test_run_summary_reads_the_documents_once(spark):
+    p = pairs(spark, CASES)
+    counts = score.run_counts(p, "receipt")
+    plan = score.run_summary(score.run_statistics(p, "receipt"), "receipt")._jdf.queryExecution().optimizedPlan().toString()
+    alone = p._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == alone.count("LogicalRDD")
+    assert plan.count("Join") == alone.count("Join")
+    by_path = {(r.path, r.tp, r.fp, r.fn, r.tn) for r in score.field_rates(counts).collect()}
+    assert by_path == {(r.path, r.tp, r.fp, r.fn, r.tn) for r in score.field_counts(p, "receipt").collect()}
+
+
+def test_counted_blocks_equal_the_fields_one_by_one(spark):
+    p = pairs(spark, CASES)
+    fields = score.score_documents(p, "receipt").select("error", F.inline("fields"))
+    wanted = {}
+    for r in fields.collect():
+        if r.outcome != "TN" or r.error is None:
+            wanted[r.path, r.outcome] = wanted.get((r.path, r.outcome), 0) + 1
+    for r in score.field_counts(p, "receipt").collect():
+        tp, tn = wanted.get((r.path, "TP"), 0), wanted.get((r.path, "TN"), 0)
+        mismatch = wanted.get((r.path, "MISMATCH"), 0)
+        assert (r.tp, r.tn) == (tp, tn), r.path
+        assert r.fp == wanted.get((r.path, "FP"), 0) + mismatch and r.fn == wanted.get((r.path, "FN"), 0) + mismatch
