@@ -211,3 +211,10 @@ def test_chat_rows_written_by_split(spark, tmp_path):
     assert [p.name for p in (tmp_path / "one").glob("split=*")] == ["split=train"]
     reports.write_chat_rows(marked.limit(0), str(tmp_path / "none"))
     assert reports.read_chat_rows(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_facts_first_unit_shuffles_once(spark):
+    from fieldledger.plans import benchmarks
+
+    plan = benchmarks.facts_first_unit(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
