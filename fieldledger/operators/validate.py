@@ -1,21 +1,24 @@
 """Strict validation of raw extractor output.
 
-The JSON text is parsed once into VARIANT. List elements become rows of their own next to the row of
-their envelope; every leaf of the schema is then a handful of compiled expressions over columns, first
-its raw value, then its JSON text, then its typed value and its problem. At last the rows of an
-envelope meet again. A record with any problem is a reject, never an exception.
+The JSON text is parsed once into VARIANT and taken apart by casts to the schema's shape. Every leaf of
+the record is then a few expressions over columns, in steps: its type in the JSON, its typed value, its
+problem. The elements of lists take the same steps in array functions, beside the record's: each element
+sees its own leaves only, and no row is moved. (A projection with an array function is compiled in small
+methods; without one it would be fused into a method too long for the JVM to compile.) A record with any
+problem is a reject, never an exception.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldledger.functions.numbers import round_exact
-from fieldledger.functions.text import WHITESPACE, snippet
+from fieldledger.functions.text import WHITESPACE, let, snippet
 from fieldledger.operators.flatten import list_length
+from fieldledger.operators.stages import compute_once
 from fieldledger.schemas import Group, Items, Leaf, envelope, struct_type
 
 # Layouts of dates and times inside JSON, and the limit on the kept source text.
@@ -49,23 +52,22 @@ def _case(*cases: tuple[str, str], otherwise: str = "NULL") -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN {x}" for c, x in cases) + f" ELSE {otherwise} END"
 
 
-def _value(v: str, json: str, leaf: Leaf) -> str:
+def _value(text: str, kind: str, leaf: Leaf) -> str:
     """Value of a leaf after coercion; null when absent, null or of the wrong type. Money is not
     rounded yet.
 
-    The first character of ``json`` (the value's JSON text) tells its type.
+    ``kind`` is the type that the JSON value has, ``text`` the value as text.
     """
-    text = f"try_variant_get({v}, '$', 'string')"
-    only_text = f"if(startswith({json}, '\"'), {text}, NULL)"
+    only_text = f"if({kind} = 'STRING', {text}, NULL)"
     if leaf.kind == "text":
         if leaf.clean == "cik":
-            s = _strip(f"if({json} <> 'null', {text}, NULL)")
+            s = _strip(text)
             return f"if(rlike({s}, '^[0-9]{{1,9}}$'), lpad({s}, 10, '0'), {s})"
         return _CLEAN[leaf.clean](only_text)
     if leaf.kind in ("float", "int"):
         number = _case(
-            (f"{json} IN ('true', 'false')", f"CAST({json} = 'true' AS DOUBLE)"),
-            (f"startswith({json}, '{{') OR startswith({json}, '[')", "NULL"),
+            (f"{kind} = 'BOOLEAN'", f"CAST({text} = 'true' AS DOUBLE)"),
+            (f"startswith({kind}, 'OBJECT') OR startswith({kind}, 'ARRAY')", "NULL"),
             otherwise=f"try_cast({_strip(text)} AS DOUBLE)",
         )
         return f"if({number} = floor({number}), try_cast({number} AS INT), NULL)" if leaf.kind == "int" else number
@@ -75,16 +77,16 @@ def _value(v: str, json: str, leaf: Leaf) -> str:
     return f"if(rlike({s}, r'{ISO_TIME}'), if(length({s}) = 5, concat({s}, ':00'), {s}), NULL)"
 
 
-def _leaf_problem(value: str, json: str, path: str, leaf: Leaf) -> str:
+def _leaf_problem(value: str, kind: str, path: str, leaf: Leaf) -> str:
     """The first problem of a leaf, or null; ``value`` has its default already."""
     lenient = leaf.clean in ("upper", "currency", "filing_currency") and not leaf.required
     cases = []
     if leaf.required and leaf.default is None:
-        cases.append((f"{json} IS NULL", f"'missing:{path}'"))
+        cases.append((f"{kind} IS NULL", f"'missing:{path}'"))
     if leaf.required:
-        cases.append((f"{json} = 'null' AND {value} IS NULL", f"'null:{path}'"))
+        cases.append((f"{kind} = 'VOID' AND {value} IS NULL", f"'null:{path}'"))
     if not lenient:
-        cases.append((f"{json} <> 'null' AND {value} IS NULL", f"'type:{path}'"))
+        cases.append((f"{kind} <> 'VOID' AND {value} IS NULL", f"'type:{path}'"))
     if leaf.low is not None:
         cases.append((f"{value} < {leaf.low}", f"'range:{path}'"))
     if leaf.high is not None:
@@ -95,17 +97,22 @@ def _leaf_problem(value: str, json: str, path: str, leaf: Leaf) -> str:
 
 
 @dataclass
-class _Shadow:
-    """The flat view of one kind of row: the envelope itself, or the elements of one list. Nodes are
-    numbered; ``at`` is a node's place in the row's value, ``path`` its name in problems, ``inside``
-    the number of its group."""
-
-    number: int
+class _View:
+    """The flat view of an object: the envelope, whose parts are columns, or an element of a list, whose
+    parts are fields of ``e``. Nodes are numbered; ``at`` is a node's place in the object, ``path`` its
+    name in problems, ``inside`` the number of its group."""
+
+    group: Group
+    path: str = ""
+    element: bool = False
     leaves: list[tuple[str, str, int, Leaf]] = field(default_factory=list)
     groups: list[tuple[str, str, int | None, Group]] = field(default_factory=list)
     lists: list[tuple[str, str, int, Items]] = field(default_factory=list)
 
-    def add(self, group: Group, at: str, path: str, inside: int | None) -> None:
+    def __post_init__(self) -> None:
+        self._add(self.group, "$", self.path, None)
+
+    def _add(self, group: Group, at: str, path: str, inside: int | None) -> None:
         own = len(self.groups)
         self.groups.append((at, path, inside, group))
         for name, node in group.fields.items():
@@ -115,187 +122,203 @@ class _Shadow:
             elif isinstance(node, Items):
                 self.lists.append((*place, node))
             else:
-                self.add(node, place[0], place[1], own)
-
-    def named(self, kind: str, k: int) -> str:
-        return f"_{kind}{self.number}_{k}"
-
-
-def _shadows(schema: Group) -> tuple[_Shadow, list[_Shadow]]:
-    """The envelope's view, and that of each of its lists."""
-    head = _Shadow(0)
-    head.add(schema, "$", "", None)
-    lists = []
-    for number, (_, path, _, items) in enumerate(head.lists, 1):
-        if any(isinstance(n, Items) for n in items.group.fields.values()):
-            raise ValueError(f"{path}: a list inside a list is not supported")
-        shadow = _Shadow(number)
-        shadow.add(items.group, "$", f"{path}[]", None)
-        lists.append(shadow)
-    return head, lists
-
-
-def _each(shadow: _Shadow, kind: str, made: Iterable[str]) -> list[str]:
-    """Columns that only rows of this view compute."""
-    return [f"if(_kind = {shadow.number}, {x}, NULL) AS {shadow.named(kind, k)}" for k, x in enumerate(made)]
-
-
-def _money_rounded(rows: DataFrame, shadows: list[_Shadow]) -> DataFrame:
-    """Round the money leaves to two places by their exact binary value. Amounts that print with at
-    most two decimals are rounded already; only rows with others need the exact rule."""
-    money = [s.named("x", k) for s in shadows for k, (*_, leaf) in enumerate(s.leaves) if leaf.clean == "money"]
-    if not money:
-        return rows
-    done = " AND ".join(f"({c} IS NULL OR round({c}, 2) = {c} OR abs({c}) >= 4503599627370496D)" for c in money)
-    exact = F.transform(F.array(*money), lambda x: round_exact(x, 2))
-    rows = rows.select("*", F.when(~F.expr(done), exact).alias("_exact"))
-    others = [c for c in rows.columns if c not in (*money, "_exact")]
-    return rows.selectExpr(*others, *(f"if(_exact IS NULL, {c}, _exact[{k}]) AS {c}" for k, c in enumerate(money)))
-
-
-def _problems(shadow: _Shadow) -> str:
-    """All problems of a row of this view, one to a line, or an empty text."""
-    found = []
-    for k, (_, path, inside, group) in enumerate(shadow.groups):
-        keys = shadow.named("keys", k)
+                self._add(node, place[0], place[1], own)
+
+    def named(self, part: str) -> str:
+        return f"e.{part}" if self.element else f"_{part}"
+
+    def made(self, parts: dict[str, str]) -> list[str]:
+        """Parts of the next step: columns, or the fields of one struct."""
+        if self.element:
+            return [f"named_struct({', '.join(f"'{name}', {x}" for name, x in parts.items())})"]
+        return [f"{x} AS _{name}" for name, x in parts.items()]
+
+    def kept(self, *parts: str) -> dict[str, str]:
+        return {part: self.named(part) for part in parts}
+
+    def numbered(self, part: str, nodes: list) -> list[str]:
+        return [f"{part}{k}" for k in range(len(nodes))]
+
+    @property
+    def money(self) -> list[str]:
+        return [f"x{k}" for k, (*_, leaf) in enumerate(self.leaves) if leaf.clean == "money"]
+
+
+def _ddl(group: Group, leaf: str) -> str:
+    """Type of a group with all leaves as ``leaf``, without its lists."""
+    inside = [
+        f"`{name}`: {leaf if isinstance(node, Leaf) else _ddl(node, leaf)}"
+        for name, node in group.fields.items()
+        if not isinstance(node, Items)
+    ]
+    return f"struct<{', '.join(inside)}>"
+
+
+def _opened(view: _View, v: str) -> dict[str, str]:
+    """The object taken apart: its leaves as they are and as text, the keys of its groups, its lists."""
+    parts = {"v": v}
+    for part, leaf in (("raw", "variant"), ("text", "string")):
+        parts[part] = f"try_variant_get({v}, '$', '{_ddl(view.group, leaf)}')"
+    for k, (at, *_) in enumerate(view.groups):
+        # Values stay variants: a failing cast to another type costs an exception each.
+        parts[f"keys{k}"] = f"map_keys(try_variant_get({v}, '{at}', 'map<string,variant>'))"
+    for k, (at, *_) in enumerate(view.lists):
+        parts[f"list{k}"] = f"try_variant_get({v}, '{at}', 'array<variant>')"
+    return parts
+
+
+def _kinds(view: _View) -> dict[str, str]:
+    """The types that the leaves have; of a group or list only where it is none."""
+    parts = view.kept("text", *view.numbered("keys", view.groups))
+    v, raw = view.named("v"), view.named("raw")
+    for k, (at, *_) in enumerate(view.leaves):
+        parts[f"kind{k}"] = f"schema_of_variant({raw}{at[1:]})"
+    for part, node, nodes in (("keys", "other", view.groups), ("list", "otherlist", view.lists)):
+        for k, (at, *_) in enumerate(nodes):
+            found = f"schema_of_variant(try_variant_get({v}, '{at}', 'variant'))"
+            parts[f"{node}{k}"] = f"if({view.named(part)}{k} IS NULL, {found}, NULL)"
+    return parts
+
+
+def _values(view: _View) -> dict[str, str]:
+    """The typed leaves, money not rounded yet."""
+    parts = view.kept(
+        *view.numbered("keys", view.groups),
+        *view.numbered("other", view.groups),
+        *view.numbered("otherlist", view.lists),
+        *view.numbered("kind", view.leaves),
+    )
+    for k, (at, *_, leaf) in enumerate(view.leaves):
+        kind = view.named(f"kind{k}")
+        value = _value(view.named("text") + at[1:], kind, leaf)
+        parts[f"x{k}"] = value if leaf.default is None else f"if({kind} IS NULL, '{leaf.default}', {value})"
+    return parts
+
+
+def _exact_money(money: list[Column]) -> Column:
+    """The amounts rounded to two places by their exact binary value, or null where all of them are so
+    already: those that print with at most two decimals."""
+    done = F.lit(True)
+    for c in money:
+        done = done & (c.isNull() | (F.round(c, 2) == c) | (F.abs(c) >= 4503599627370496.0))
+    return F.when(~done, F.transform(F.array(*money), lambda x: round_exact(x, 2)))
+
+
+def _problems(view: _View) -> str:
+    """All problems of an object, an array."""
+    found, extras = [], []
+    for k, (_, path, inside, group) in enumerate(view.groups):
+        keys, other = view.named(f"keys{k}"), view.named(f"other{k}")
         known = ", ".join(f"'{name}'" for name in group.fields)
         label = f"extra:{path}." if path else "extra:"
-        extra = f"array_except({keys}, array({known}))"
-        found.append(f"if(size({extra}) > 0, concat('{label}', array_join({extra}, '{_BREAK}{label}')), NULL)")
+        extras.append(f"transform(array_except({keys}, array({known})), k -> concat('{label}', k))")
         if inside is None:
             continue
-        v = shadow.named("v", k)
         cases = [(f"{keys} IS NOT NULL", "NULL")]
         if group.required:
-            cases += [(f"{v} IS NULL", f"'missing:{path}'"), (f"is_variant_null({v})", f"'null:{path}'")]
-        cases.append((f"{v} IS NOT NULL AND NOT is_variant_null({v})", f"'type:{path}'"))
-        found.append(f"if({shadow.named('keys', inside)} IS NOT NULL, {_case(*cases)}, NULL)")
-    for k, (_, path, inside, leaf) in enumerate(shadow.leaves):
-        problem = _leaf_problem(shadow.named("x", k), shadow.named("json", k), path, leaf)
-        found.append(f"if({shadow.named('keys', inside)} IS NOT NULL, {problem}, NULL)")
-    for k, (_, path, inside, items) in enumerate(shadow.lists):
-        v, size = shadow.named("list", k), shadow.named("size", k)
-        cases = [(f"is_variant_null({v})", f"'null:{path}'"), (f"{v} IS NOT NULL AND {size} IS NULL", f"'type:{path}'")]
+            cases += [(f"{other} IS NULL", f"'missing:{path}'"), (f"{other} = 'VOID'", f"'null:{path}'")]
+        cases.append((f"{other} <> 'VOID'", f"'type:{path}'"))
+        found.append(f"if({view.named(f'keys{inside}')} IS NOT NULL, {_case(*cases)}, NULL)")
+    for k, (_, path, inside, leaf) in enumerate(view.leaves):
+        problem = _leaf_problem(view.named(f"x{k}"), view.named(f"kind{k}"), path, leaf)
+        found.append(f"if({view.named(f'keys{inside}')} IS NOT NULL, {problem}, NULL)")
+    for k, (_, path, inside, items) in enumerate(view.lists):
+        other = view.named(f"otherlist{k}")
+        cases = [(f"{other} = 'VOID'", f"'null:{path}'"), (f"{other} IS NOT NULL", f"'type:{path}'")]
         if items.limit is not None:
-            cases.append((f"{size} > {items.limit}", f"'range:{path}'"))
-        found.append(f"if({shadow.named('keys', inside)} IS NOT NULL, {_case(*cases)}, NULL)")
-    return f"concat_ws('{_BREAK}', {', '.join(found)})"
+            cases.append((f"size({view.named(f'e{k}')}) > {items.limit}", f"'range:{path}'"))
+        found.append(f"if({view.named(f'keys{inside}')} IS NOT NULL, {_case(*cases)}, NULL)")
+    empty = "CAST(array() AS array<string>)"
+    extra = ", ".join(f"coalesce({x}, {empty})" for x in extras)
+    return f"concat(filter(array({', '.join(found)}), x -> x IS NOT NULL), {extra})"
 
 
-#: What parts problems in a row's text; JSON keys hold it only if they spell it out.
-_BREAK = "\\u0000"
-
-
-def _record(shadow: _Shadow, group: Group, number: int, at: str, list_of: Callable[[int], str] | None) -> str:
+def _record(view: _View, group: Group, at: str = "$") -> str:
     """The typed record of a group, null unless the value is an object."""
     fields = []
     for name, node in group.fields.items():
         place = f"{at}.{name}"
         if isinstance(node, Leaf):
-            x = shadow.named("x", next(k for k, leaf in enumerate(shadow.leaves) if leaf[0] == place))
+            x = view.named(f"x{next(k for k, leaf in enumerate(view.leaves) if leaf[0] == place)}")
         elif isinstance(node, Items):
-            x = list_of(next(k for k, items in enumerate(shadow.lists) if items[0] == place))
+            x = f"_items{next(k for k, items in enumerate(view.lists) if items[0] == place)}"
         else:
-            x = _record(shadow, node, next(k for k, g in enumerate(shadow.groups) if g[0] == place), place, list_of)
+            x = _record(view, node, place)
         fields.append(f"'{name}', {x}")
-    return f"if({shadow.named('there', number)}, named_struct({', '.join(fields)}), NULL)"
-
-
-def _typed_rows(df: DataFrame, head: _Shadow, lists: list[_Shadow], raw: str) -> DataFrame:
-    """Rows (_rid, _kind, _pos, _doc, _e, and the typed leaves and groups of their view): one per
-    envelope and one per list element. Only the envelope's row has the columns of ``df``."""
-    opened = df.select(
-        F.struct(*df.columns).alias("_doc"),
-        F.monotonically_increasing_id().alias("_rid"),
-        F.try_parse_json(raw).alias("_root"),
-    )
-    opened = opened.selectExpr(
-        "*", *(f"try_variant_get(_root, '{at}', 'array<variant>') AS _l{k}" for k, (at, *_) in enumerate(head.lists))
-    )
-    element = "array<struct<_kind:int,_pos:int,_v:variant>>"
-    parts = [f"CAST(array(struct(0, 0, _root)) AS {element})"]
-    for k in range(len(lists)):
-        zipped = f"arrays_zip(array_repeat({k + 1}, size(_l{k})), sequence(0, size(_l{k}) - 1), _l{k})"
-        parts.append(f"if(size(_l{k}) > 0, CAST({zipped} AS {element}), CAST(array() AS {element}))")
-    sizes = ", ".join(f"if(_l{k} IS NOT NULL, size(_l{k}), NULL)" for k in range(len(lists)))
-    rows = opened.selectExpr("_doc", "_rid", f"array({sizes}) AS _sizes", f"inline(concat({', '.join(parts)}))")
-
-    every = [head, *lists]
-    get = lambda at: f"try_variant_get(_v, '{at}', 'variant')" if at != "$" else "_v"
-    stage = ["if(_kind = 0, _doc, NULL) AS _doc", "_rid", "_kind", "_pos"]
-    for s in every:
-        stage += _each(s, "v", (get(at) for at, *_ in s.groups))
-        stage += _each(s, "raw", (get(at) for at, *_ in s.leaves))
-        stage += _each(s, "list", (get(at) for at, *_ in s.lists))
-        stage += _each(s, "size", (f"_sizes[{k}]" for k in range(len(s.lists))))
-    rows = rows.selectExpr(*stage)
-    stage = []
-    for s in every:
-        as_map = (f"try_variant_get({s.named('v', k)}, '$', 'map<string,variant>')" for k in range(len(s.groups)))
-        stage += _each(s, "keys", (f"map_keys({x})" for x in as_map))
-        stage += _each(s, "json", (f"to_json({s.named('raw', k)})" for k in range(len(s.leaves))))
-    rows = rows.selectExpr("*", *stage)
-    stage = []
-    for s in every:
-        for k, (*_, leaf) in enumerate(s.leaves):
-            json = s.named("json", k)
-            value = _value(s.named("raw", k), json, leaf)
-            if leaf.default is not None:
-                value = f"if({json} IS NULL, '{leaf.default}', {value})"
-            stage.append(f"{value} AS {s.named('x', k)}")
-    rows = _money_rounded(rows.selectExpr("*", *stage), every)
-    cases = []
-    for s, (_, path, _, _) in zip(lists, head.lists, strict=True):
-        own = f"if({s.named('keys', 0)} IS NULL, 'type:{path}[]', {_problems(s)})"
-        cases.append((f"_kind = {s.number}", own))
-    cases += [("_v0_0 IS NULL", "'invalid_json'"), ("_keys0_0 IS NULL", "'type:envelope'")]
-    return rows.selectExpr(
-        "_doc",
-        "_rid",
-        "_kind",
-        "_pos",
-        f"{_case(*cases, otherwise=_problems(head))} AS _e",
-        *(s.named("x", k) for s in every for k in range(len(s.leaves))),
-        *(
-            f"{s.named('keys', k)} IS NOT NULL AS {s.named('there', k)}"
-            for s in every
-            for k in range(len(s.groups))
-        ),
-    )
+    own = next(k for k, found in enumerate(view.groups) if found[0] == at)
+    return f"if({view.named(f'keys{own}')} IS NOT NULL, named_struct({', '.join(fields)}), NULL)"
 
 
 def validate_envelopes(df: DataFrame, doc_type: str, raw: str = "raw") -> DataFrame:
     """Add ``data``, ``field_confidences``, ``warnings`` and ``reasons``.
 
     ``reasons`` is empty exactly when the envelope is acceptable; the other three are null
-    otherwise. Rows that are equal stay rows of their own. The one shuffle carries typed values,
-    and the columns of ``df`` once per envelope.
+    otherwise. Rows that are equal stay rows of their own. Nothing is moved: an envelope is one row.
     """
     schema = envelope(doc_type)
-    head, lists = _shadows(schema)
-    own = [head.named("x", k) for k in range(len(head.leaves))] + [head.named("there", k) for k in range(len(head.groups))]
-    packed = ["_doc", "_rid", "nullif(_e, '') AS _e", f"if(_kind = 0, struct({', '.join(own)}), NULL) AS _head"]
-    for s in lists:
-        record = _record(s, s.groups[0][3], 0, "$", None)
-        packed.append(f"if(_kind = {s.number}, struct(_pos, {record} AS r), NULL) AS _items{s.number}")
-    gathered = [
-        F.expr("first(_doc, true) AS _doc"),
-        F.expr("first(_head, true) AS _head"),
-        F.expr(f"array_join(collect_list(_e), '{_BREAK}') AS _e"),
-        *(F.expr(f"sort_array(collect_list(_items{s.number})).r AS _items{s.number}") for s in lists),
-    ]
-    whole = _typed_rows(df, head, lists, raw).selectExpr(*packed).groupBy("_rid").agg(*gathered)
-    reasons = f"if(_e = '', CAST(array() AS array<string>), array_sort(array_distinct(split(_e, '{_BREAK}')))) AS _reasons"
-    flat = whole.selectExpr("_doc.*", reasons, *(f"_items{s.number}" for s in lists), "_head.*")
+    head = _View(schema)
+    lists = [_View(items.group, f"{path}[]", True) for _, path, _, items in head.lists]
+    if any(view.lists for view in lists):
+        raise ValueError("a list inside a list is not supported")
+
+    rows = df.select(*df.columns, F.try_parse_json(raw).alias("_root"))
+    rows = rows.selectExpr(*df.columns, *head.made(_opened(head, "_root")))
+    # Each list is opened beside the envelope's next step.
+    below = [f"transform(_list{k}, v -> {view.made(_opened(view, 'v'))[0]}) AS _e{k}" for k, view in enumerate(lists)]
+    rows = rows.selectExpr(*df.columns, "_v IS NULL AS _broken", *head.made(_kinds(head)), *below)
+    rows = rows.selectExpr(
+        *df.columns,
+        "_broken",
+        *head.made(_values(head)),
+        *(f"transform(_e{k}, e -> {view.made(_kinds(view))[0]}) AS _e{k}" for k, view in enumerate(lists)),
+    )
+    own = [c for c in rows.columns if c not in {f"_e{k}" for k in range(len(lists))}]
+    rows = rows.select(
+        *own,
+        _exact_money([F.col(f"_{c}") for c in head.money]).alias("_exact"),
+        *(F.expr(f"transform(_e{k}, e -> {view.made(_values(view))[0]}) AS _e{k}") for k, view in enumerate(lists)),
+    )
+    money = {f"_{c}": f"if(_exact IS NULL, _{c}, _exact[{i}]) AS _{c}" for i, c in enumerate(head.money)}
+    rounded = []
+    for k, view in enumerate(lists):
+        x = F.col(f"_e{k}")
+        if view.money:
+            x = F.transform(x, lambda e: _with_exact(e, view.money))
+        rounded.append(x.alias(f"_e{k}"))
+    rows = rows.select(*(F.expr(money[c]) if c in money else c for c in own), *rounded)
+    found = [_problems(head)]
+    for k, view in enumerate(lists):
+        one = f"if(e.keys0 IS NULL, array('type:{view.path}'), {_problems(view)})"
+        found.append(f"coalesce(flatten(transform(_e{k}, e -> {one})), CAST(array() AS array<string>))")
+    reasons = _case(
+        ("_broken", "array('invalid_json')"),
+        ("_keys0 IS NULL", "array('type:envelope')"),
+        otherwise=f"array_sort(array_distinct(concat({', '.join(found)})))",
+    )
+    rows = compute_once(rows, reasons=F.expr(reasons))
+    # A list that is absent is an empty one.
+    items = [f"coalesce(transform(_e{k}, e -> {_record(view, view.group)}), array()) AS _items{k}" for k, view in enumerate(lists)]
+    rows = rows.selectExpr(*own, "reasons", *items)
     made = []
     for name, node in schema.fields.items():
         if isinstance(node, Items):
-            x = f"_items{next(k for k, items in enumerate(head.lists) if items[0] == f'$.{name}') + 1}"
+            x = f"_items{next(k for k, found in enumerate(head.lists) if found[0] == f'$.{name}')}"
         else:
-            k = next(k for k, group in enumerate(head.groups) if group[0] == f"$.{name}")
-            x = _record(head, node, k, f"$.{name}", lambda i: f"_items{i + 1}")
-        made.append(F.expr(f"if(size(_reasons) = 0, {x}, NULL) AS {name}"))
-    return flat.select(*df.columns, *made, F.col("_reasons").alias("reasons"))
+            x = _record(head, node, f"$.{name}")
+        made.append(f"if(size(reasons) = 0, {x}, NULL) AS {name}")
+    return rows.selectExpr(*df.columns, *made, "reasons")
+
+
+def _with_exact(e: Column, money: list[str]) -> Column:
+    """An element with its money rounded."""
+
+    def replaced(exact: Column) -> Column:
+        out = e
+        for i, c in enumerate(money):
+            out = out.withField(c, F.get(exact, F.lit(i)))
+        return F.when(exact.isNull(), e).otherwise(out)
+
+    return let(_exact_money([e[c] for c in money]), replaced)
 
 
 def accepted(validated: DataFrame) -> DataFrame:
