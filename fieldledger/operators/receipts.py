@@ -54,7 +54,7 @@ def amount(v: Column) -> Column:
     """Money from a JSON value: numbers are only rounded, strings are parsed."""
 
     def read(x: Column) -> Column:
-        number = F.when(kind(x) != "STRING", F.try_variant_get(x, "$", "double"))
+        number = F.when(F.schema_of_variant(x) != "STRING", F.try_variant_get(x, "$", "double"))
         return F.coalesce(round_money(number), parse_money(as_text(x)))
 
     return let(v, read)
@@ -139,23 +139,28 @@ def normalize_flat(
     return _result(out, source, position, default_id(source, F.col(position), *ids))
 
 
+_ENTRY = "struct<nm:variant,cnt:variant,unitprice:variant,price:variant>"
+
+
 def _menu_items(src: Column) -> Column:
-    """Array of raw menu entries; a single entry counts as a list of one."""
-    menu = member(src, "menu")
-    return (
-        F.when(kind(menu) == "ARRAY", F.try_variant_get(menu, "$", "array<variant>"))
-        .when(kind(menu) == "OBJECT", F.array(menu))
-        .otherwise(F.array().cast("array<variant>"))
-    )
+    """Array of raw menu entries, each taken apart at once and null if it is no object; a single entry
+    counts as a list of one."""
+
+    def entries(menu: Column) -> Column:
+        one = let(F.try_variant_get(menu, "$", _ENTRY), lambda m: F.when(m.isNotNull(), F.array(m)))
+        many = F.try_variant_get(menu, "$", f"array<{_ENTRY}>")
+        return F.coalesce(many, one, F.array().cast(f"array<{_ENTRY}>"))
+
+    return let(member(src, "menu"), entries)
 
 
 def _line_item(m: Column) -> Column:
-    count = F.when(kind(member(m, "cnt")) != "VOID", as_text(member(m, "cnt")))
+    price = F.coalesce(truthy(m["unitprice"]), m["price"])
     return F.struct(
-        clean_text(as_text(truthy(member(m, "nm")))).alias("description"),
-        strip(count).try_cast("double").alias("quantity"),
-        amount(either(m, "unitprice", "price")).alias("unit_price"),
-        amount(member(m, "price")).alias("total"),
+        clean_text(as_text(truthy(m["nm"]))).alias("description"),
+        strip(as_text(m["cnt"])).try_cast("double").alias("quantity"),
+        amount(price).alias("unit_price"),
+        amount(m["price"]).alias("total"),
     )
 
 
@@ -189,7 +194,7 @@ def normalize_menu(
     reason = (
         F.when(F.col("v").isNull(), "invalid_json")
         .when(src.isNull(), "not_an_object")
-        .when(F.exists("menu", lambda m: kind(m) != "OBJECT"), "bad_menu_entry")
+        .when(F.exists("menu", lambda m: m.isNull()), "bad_menu_entry")
         .when(F.exists("items", lambda x: x["quantity"] < 0), "negative_quantity")
         .when(F.col("total").isNull(), "missing_total")
         .when(F.col("total") < 0, "negative_total")
