@@ -3,9 +3,7 @@
 The JSON text is parsed once into VARIANT and taken apart by casts to the schema's shape. Every leaf of
 the record is then a few expressions over columns, in steps: its type in the JSON, its typed value, its
 problem. The elements of lists take the same steps in array functions, beside the record's: each element
-sees its own leaves only, and no row is moved. (A projection with an array function is compiled in small
-methods; without one it would be fused into a method too long for the JVM to compile.) A record with any
-problem is a reject, never an exception.
+sees its own leaves only, and no row is moved. A record with any problem is a reject, never an exception.
 """
 
 from __future__ import annotations
