@@ -10,7 +10,7 @@ from fieldledger.plans import invoices
 
 def invoice_pairs(spark: SparkSession, sf_dir: str, runs=invoices.RUNS) -> DataFrame:
     pairs = score.pair_documents(
-        invoices.truth_invoices(spark, sf_dir), invoices.predicted_invoices(spark, sf_dir), runs
+        invoices.truth_invoices(spark, sf_dir), invoices.predicted_invoices(spark, sf_dir), runs, invoices.KEY
     )
     return score.with_cost(pairs)
 

@@ -30,3 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def partitions(spark: SparkSession) -> int:
+    """How many partitions a shuffle of the session has."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
