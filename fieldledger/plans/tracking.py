@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldledger.operators import jobs, score
 from fieldledger.plans import invoices
-from fieldledger.sources.storage import new_folder
+from fieldledger.sources.storage import bucketed, new_folder
 from fieldledger.streaming import progress, scores, stages
 
 
@@ -95,11 +95,14 @@ def stage_timing_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def incremental_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions arrive as a stream of orders; counts merge to the batch result."""
-    folder, checkpoint, kept = (new_folder(spark, n) for n in ("scores", "offsets", "truth"))
-    invoices.truth_invoices(spark, sf_dir).write.parquet(kept)
-    truth = spark.read.parquet(kept)
+    folder, checkpoint = new_folder(spark, "scores"), new_folder(spark, "offsets")
+    # Lines and truth do not change while orders arrive: both are made once and lie by document.
+    lists = bucketed(invoices.order_lists(spark, sf_dir), "lines", "list_id")
+    truth = bucketed(invoices.truth_invoices(spark, sf_dir, lists), "truth", "doc_id")
     orders = in_pieces(spark, invoices.table(spark, sf_dir, "orders"), "o_orderkey")
-    arriving = invoices.predicted_invoices(spark, sf_dir, orders)
-    scores.start_scoring(arriving, truth, "invoice", folder, checkpoint).awaitTermination()
-    stats = scores.read_field_stats(spark, folder, truth, "invoice", invoices.RUNS)
+    scores.start_scoring(
+        orders, truth, "invoice", folder, checkpoint, invoices.KEY,
+        predict=lambda batch: invoices.predicted_invoices(spark, sf_dir, batch, lists),
+    ).awaitTermination()
+    stats = scores.read_field_stats(spark, folder, truth, "invoice", invoices.RUNS, invoices.KEY)
     return stats.select(*score.RUN, "path", "tp", "fp", "fn", "tn", "support", "f1")

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,3 +35,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def partitions(spark: SparkSession) -> int:
     """How many partitions a shuffle of the session has."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(rows: DataFrame, name: str, key: str) -> DataFrame:
+    """The rows stored in one bucket per partition of a shuffle by ``key``: whatever meets them by
+    ``key`` reads them where they lie, as often as it likes, and only the other side moves.
+
+    Buckets are known to the catalogue alone; the name is dropped once the table is resolved, the
+    files stay.
+    """
+    spark = rows.sparkSession
+    n, path = partitions(spark), new_folder(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    rows.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(table, format="parquet")
+    kept = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return kept

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldledger.operators import score
-from fieldledger.plans import evaluation
+from fieldledger.plans import evaluation, invoices, tracking
+from fieldledger.sources.storage import bucketed
+from fieldledger.streaming import scores
 
 RUNS = [("a", "low"), ("b", None), ("never", None)]
 TRUTH = [("x", "1", "t1"), ("x", "2", "t2"), ("x", "2", "t2 again"), ("y", "1", "t3"), ("x", None, "t4"), (None, "1", "t5")]
@@ -72,6 +74,23 @@ def test_sides_that_lie_by_the_key_do_not_move(sides):
     n = int(truth.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = truth.repartition(n, "doc_id"), found.repartition(n, "doc_id")
     assert shuffles(score.pair_documents(*placed, RUNS, ("doc_id",))) == ["doc_id"] * 2
+    kept = bucketed(truth, "truth", "doc_id")
+    assert shuffles(score.pair_documents(kept, found, RUNS, ("doc_id",))) == ["doc_id"]
+    assert shuffles(scores.arrived(kept, found, ("doc_id",))) == ["doc_id"]
+    assert shuffles(scores.unmatched(kept, found, ("doc_id",))) == ["doc_id"]
+
+
+@pytest.mark.parametrize("key", [score.DOCUMENT, ("doc_id",)])
+def test_arrived_and_unmatched_part_the_predictions(sides, key):
+    truth, found = sides
+    kept = bucketed(truth, "truth", "doc_id")
+    assert not truth.sparkSession.catalog.listTables()
+    known = {(d, i) for d, i, _ in TRUTH if None not in (d, i)}
+    there = sorted(r.data or "" for r in scores.arrived(kept, found, key).collect())
+    twice = [p for p in FOUND if (p[2], p[3]) == ("x", "2")]
+    assert there == sorted(p[4] or "" for p in [*(p for p in FOUND if (p[2], p[3]) in known), *twice])
+    rejects = scores.unmatched(kept, found, key).collect()
+    assert sorted(r.data for r in rejects) == ["no id", "no set", "no truth"]
 
 
 @pytest.fixture
@@ -110,3 +129,10 @@ def test_invoice_records_are_built_where_they_are_paired(spark, tables):
     assert [(x.description, x.quantity) for x in found["3"].truth.line_items[:2]] == [("blue ring 3", 2.0), ("second name", 2.0)]
     assert len(found["3"].truth.line_items) == 6
     assert [x.quantity for x in found["7"].truth.line_items] == [2.0, 4.0, 6.0]
+
+
+def test_a_stream_of_orders_gives_the_batch_result(spark, tables):
+    columns = ["model", "effort", "dataset", "path", "tp", "fp", "fn", "tn"]
+    stream = sorted(map(str, tracking.incremental_scores(spark, tables).select(*columns).collect()))
+    batch = sorted(map(str, evaluation.eval_field_stats(spark, tables).select(*columns).collect()))
+    assert stream == batch
